@@ -47,7 +47,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = cut(representatives(sets.where("doc IS NOT NULL"), "doc"), "reps")
 
     def with_text(members: DataFrame) -> DataFrame:
-        return members.join(plain.withColumnRenamed("doc", "first"), "first")
+        # Always a shuffle join: which side is small must not decide whether texts move.
+        return members.join(plain.withColumnRenamed("doc", "first").hint("merge"), "first")
 
     linked = near_links(reps, with_text, threshold=threshold, bands=bands, rows=rows, tolerance=tolerance, tile_shingles=tile_shingles, size=size)
     found = reps.select("id", "k2", "copies", F.col("first").alias("copy_of")).join(linked, "id", "left").select("id", "k2", "copies", "copy_of", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root"))
