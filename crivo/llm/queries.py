@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from crivo.llm._common import read_table
+from crivo.llm.embedding_dedup import embedding_dedup
 from crivo.llm.mixing import mix_sources
 from crivo.llm.ngram_join import ngram_jaccard_join
+from crivo.llm.packing import pack_documents
 from crivo.llm.paragraph_dedup import paragraph_dedup
 from crivo.llm.quality import quality_rules
 from crivo.llm.token_counts import token_counts
@@ -30,6 +32,14 @@ def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(read_table(spark, sf_dir, "documents"))
 
@@ -38,6 +48,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_temperature_mixing, op2_token_counts, op4_paragraph_dedup, op8_ngram_jaccard_join, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_temperature_mixing, op2_token_counts, op4_paragraph_dedup, op5_best_fit_packing, op6_embedding_dedup, op8_ngram_jaccard_join, op9_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
