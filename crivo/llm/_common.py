@@ -121,10 +121,11 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES):
         first = min(last, n)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of the texts in ``data`` and the row that each stands in."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, with_places: bool = False) -> tuple[np.ndarray, ...]:
+    """Hash of every word of the texts in ``data``, the row that each stands in, and its bounds if asked for."""
     if len(data) == 0:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
+        nowhere = np.zeros(0, np.int64)
+        return (np.zeros(0, U64), nowhere, nowhere, nowhere)[: 4 if with_places else 2]
     word = ~_IS_SPACE[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
@@ -137,7 +138,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         sums = np.concatenate((np.zeros(1, U64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=U64)))
         hashes = splitmix((sums[ends] - sums[starts]) * down[starts])
     rows = np.searchsorted(offsets, starts, "right") - 1
-    return hashes, rows
+    return (hashes, rows, starts, ends) if with_places else (hashes, rows)
 
 
 _FACTORS = splitmix(np.arange(64, dtype=U64) + U64(31)) | U64(1)

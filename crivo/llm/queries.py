@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from crivo.llm._common import read_table
 from crivo.llm.embedding_dedup import embedding_dedup
+from crivo.llm.lattice_lm import lattice_scores
 from crivo.llm.mixing import mix_sources
 from crivo.llm.ngram_join import ngram_jaccard_join
 from crivo.llm.packing import pack_documents
@@ -40,6 +41,10 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(read_table(spark, sf_dir, "embeddings"))
 
 
+def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(read_table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_temperature_mixing, op2_token_counts, op4_paragraph_dedup, op5_best_fit_packing, op6_embedding_dedup, op8_ngram_jaccard_join, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_temperature_mixing, op2_token_counts, op4_paragraph_dedup, op5_best_fit_packing, op6_embedding_dedup, op7_lattice_lm, op8_ngram_jaccard_join, op9_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
