@@ -79,7 +79,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # Counts of the whole corpus come from the scan alone; only labelled texts take part in the join.
     count = lambda df, name: df.select(F.explode("f").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
     raw = {r["bucket"]: r["raw"] for r in count(rows, "raw").collect()}
-    named = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("t")).join(trusted, F.col("doc") == F.col("trusted"), "left_semi")
+    # Always a shuffle join: which side is small must not decide whether texts move.
+    named = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("t")).hint("merge").join(trusted, F.col("doc") == F.col("trusted"), "left_semi")
     named = named.select(features(words_of(F.coalesce("t", F.lit("")))).alias("f"))
     target = {r["bucket"]: r["n"] for r in count(named, "n").collect()}
     n_raw, n_target = sum(raw.values()), sum(target.values())
