@@ -39,7 +39,7 @@ MARK = "▁"
 BLOCK_BYTES = 48 << 20
 PIECE_PRIOR = 0.1
 #: Rounds of expectation maximisation over all distinct training words.
-ROUNDS = 4
+ROUNDS = 2
 #: Size of the urn at a text's start: a word's probability is (its earlier occurrences in the text +
 #: URN * its lattice probability) / (tokens so far + URN).
 URN = 1000.0
@@ -130,32 +130,41 @@ def word_table(texts: DataFrame, block_bytes: int) -> DataFrame:
     return texts.mapInArrow(run, "block long, h long, word binary, n long")
 
 
+def prefixed(values: dict) -> dict:
+    """``values`` with None under every proper prefix, so that a search knows where to stop."""
+    table = {p[:k]: None for p in values for k in range(1, len(p))}
+    return table | values
+
+
 class Lattice:
     """Natural-log probability of words, summed over their segmentations."""
 
     def __init__(self, pieces: list[str], scores: np.ndarray) -> None:
-        self.score = {p: float(s) for p, s in zip(pieces, scores, strict=True)}
-        self.longest = max((len(p) for p in self.score), default=1)
-        self.bytes = [self.score.get(f"<0x{b:02X}>", -30.0) for b in range(256)]
+        self.table = prefixed({p: float(s) for p, s in zip(pieces, scores, strict=True)})
+        self.bytes = [self.table.get(f"<0x{b:02X}>") or -30.0 for b in range(256)]
 
     def __call__(self, word: str) -> float:
-        text, score, longest = MARK + word, self.score, self.longest
-        reach = [0.0] + [-math.inf] * len(text)
-        for end in range(1, len(text) + 1):
-            arcs = []
-            for start in range(max(0, end - longest), end):
-                s = score.get(text[start:end])
-                if s is not None:
-                    arcs.append(reach[start] + s)
-            # A character can always be spelled by its bytes.
-            if not arcs or text[end - 1] not in score:
-                arcs.append(reach[end - 1] + sum(self.bytes[b] for b in text[end - 1].encode()))
-            if len(arcs) == 1:
-                reach[end] = arcs[0]
-            else:
-                top = max(arcs)
-                reach[end] = top + math.log(sum(math.exp(a - top) for a in arcs))
-        return reach[-1]
+        text, find, exp, log = MARK + word, self.table.get, math.exp, math.log
+        n = len(text)
+        arcs: list[list[float]] = [[] for _ in range(n + 1)]
+        reach = 0.0
+        for start in range(n):
+            if start:
+                here = arcs[start]
+                top = max(here)
+                reach = top if len(here) == 1 else top + log(sum([exp(a - top) for a in here]))
+            # A character that is no piece is spelled by its bytes.
+            if find(text[start]) is None:
+                arcs[start + 1].append(reach + sum(self.bytes[b] for b in text[start].encode()))
+            for end in range(start + 1, n + 1):
+                score = find(text[start:end], 0)
+                if score == 0:
+                    break
+                if score is not None:
+                    arcs[end].append(reach + score)
+        here = arcs[n]
+        top = max(here)
+        return top + log(sum([exp(a - top) for a in here]))
 
 
 class Expectation:
@@ -165,37 +174,38 @@ class Expectation:
     LIFT, LONGEST_WORD = 20.0, 100
 
     def __init__(self, pieces: list[str], scores: np.ndarray) -> None:
-        self.arc = {p: (k, math.exp(s) * self.LIFT ** len(p)) for k, (p, s) in enumerate(zip(pieces, scores, strict=True))}
-        self.longest = max((len(p) for p in self.arc), default=1)
-        self.byte = {b: self.arc.get(f"<0x{b:02X}>", (0, 1e-9)) for b in range(256)}
+        self.table = prefixed({p: (k, math.exp(s) * self.LIFT ** len(p)) for k, (p, s) in enumerate(zip(pieces, scores, strict=True))})
+        self.byte = [(self.table.get(f"<0x{b:02X}>") or (0, 0))[0] for b in range(256)]
         self.scores = scores
         self.total = [0.0] * len(pieces)
 
-    def add(self, word: str, weight: float) -> None:
+    def add(self, word: str) -> None:
         if len(word) > self.LONGEST_WORD:
             for at in range(0, len(word), self.LONGEST_WORD):
-                self.add(word[at : at + self.LONGEST_WORD], weight)
+                self.add(word[at : at + self.LONGEST_WORD])
             return
-        text, find, longest, total = MARK + word, self.arc.get, self.longest, self.total
+        text, find, total = MARK + word, self.table.get, self.total
         n = len(text)
-        ahead, arcs = [1.0] + [0.0] * n, []
-        for end in range(1, n + 1):
-            here = 0.0
-            for start in range(end - longest if end > longest else 0, end):
-                got = find(text[start:end])
+        ahead, arcs = [0.0] * (n + 1), []
+        ahead[0] = 1.0
+        for start in range(n):
+            here = ahead[start]
+            if find(text[start]) is None:
+                several = [self.byte[b] for b in text[start].encode()]
+                p = math.exp(float(sum(self.scores[k] for k in several))) * self.LIFT
+                ahead[start + 1] += here * p
+                arcs.append((start, start + 1, several, p))
+            for end in range(start + 1, n + 1):
+                got = find(text[start:end], 0)
+                if got == 0:
+                    break
                 if got is not None:
-                    here += ahead[start] * got[1]
-                    arcs.append((start, end, got))
-            if text[end - 1] not in self.arc:
-                several = [self.byte[b][0] for b in text[end - 1].encode()]
-                got = (several, math.exp(float(sum(self.scores[k] for k in several))) * self.LIFT)
-                here += ahead[end - 1] * got[1]
-                arcs.append((end - 1, end, got))
-            ahead[end] = here
+                    ahead[end] += here * got[1]
+                    arcs.append((start, end, *got))
         if not 0.0 < ahead[n] < math.inf:
             return
-        back = [0.0] * n + [weight / ahead[n]]
-        for start, end, (name, p) in reversed(arcs):
+        back = [0.0] * n + [1.0 / ahead[n]]
+        for start, end, name, p in reversed(arcs):
             flow = p * back[end]
             back[start] += flow
             if isinstance(name, list):
@@ -205,14 +215,41 @@ class Expectation:
                 total[name] += ahead[start] * flow
 
 
-def learn_scores(words: DataFrame, pieces: list[str], rounds: int) -> np.ndarray:
+def segmented(words: DataFrame, model_file: str) -> DataFrame:
+    """(piece, n) of the words' segmentation by the vocabulary's library, each distinct word counted once."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        total = np.zeros(model.get_piece_size(), np.int64)
+        for batch in batches:
+            texts = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
+            for ids in model.encode(texts, num_threads=1):
+                for k in ids:
+                    total[k] += 1
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.float64))], names=["piece", "n"])
+
+    return words.mapInArrow(run, "piece int, n double")
+
+
+def learn_scores(words: DataFrame, pieces: list[str], model_file: str, rounds: int) -> np.ndarray:
     """Natural-log unigram scores of the pieces.
 
     Spelled paths serve words that are new or rare, so every distinct training word counts once, however
-    often it stands in the texts.  The start is the same chance for every character of a piece.
+    often it stands in the texts.  The start is the vocabulary's own segmentation.
     """
-    scores = np.array([-3.0 * len(p) if not p.startswith("<0x") else -9.0 for p in pieces])
-    scores -= math.log(np.exp(scores).sum())
+    distinct = words.where("c > 0").select("word")
+
+    def scores_of(counted: DataFrame) -> np.ndarray:
+        weight = np.full(len(pieces), PIECE_PRIOR)
+        for row in counted.groupBy("piece").agg(F.sum("n").alias("n")).collect():
+            weight[row["piece"]] += row["n"]
+        return np.log(weight / weight.sum())
+
+    scores = scores_of(segmented(distinct, model_file))
     for _ in range(rounds):
 
         def run(batches: Iterator, scores=scores) -> Iterator:
@@ -221,15 +258,11 @@ def learn_scores(words: DataFrame, pieces: list[str], rounds: int) -> np.ndarray
             step = Expectation(pieces, scores)
             for batch in batches:
                 for w in batch.column(0).to_pylist():
-                    step.add(w.decode("utf-8", "replace"), 1.0)
+                    step.add(w.decode("utf-8", "replace"))
             some = [k for k, x in enumerate(step.total) if x]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([step.total[k] for k in some], pa.float64())], names=["piece", "n"])
 
-        counted = words.where("c > 0").select("word").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-        weight = np.full(len(pieces), PIECE_PRIOR)
-        for row in counted.collect():
-            weight[row["piece"]] += row["n"]
-        scores = np.log(weight / weight.sum())
+        scores = scores_of(distinct.mapInArrow(run, "piece int, n double"))
     return scores
 
 
@@ -269,7 +302,7 @@ def lattice_scores(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
 
     # A word opens with a marked piece, so the first draw is normalised over the marked pieces.
     pieces = vocabulary(model_file)
-    scores = learn_scores(words, pieces, rounds)
+    scores = learn_scores(words, pieces, model_file, rounds)
     opening = -math.log(sum(math.exp(x) for x, p in zip(scores, pieces, strict=True) if p.startswith(MARK)))
     # The end is a token like a word; as a new token it would be one of V.
     end_spelled = -math.log(v + 1)
