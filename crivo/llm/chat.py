@@ -1,6 +1,6 @@
 """Chat formatting: turn-aligned windows under a token budget, with a loss mask.
 
-A turn is written as ``<|role|>``, a line feed, the text and ``</s>`` with a line feed.  Inside roles and
+A turn is written as ``<|:role|>``, a line feed, the text and ``</s>`` with a line feed.  Inside roles and
 texts a backslash is doubled and the second character of every control string gets a backslash before
 it, so that no control string is left and removing single backslashes gives the text back.
 
@@ -35,7 +35,8 @@ HISTORY = 256
 TURN_TOKENS = 6
 #: Control strings of the template and of templates that readers may mistake it for (fixed values).
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-OPEN, HEAD, CLOSE = "<|", "|>\n", "</s>\n"
+#: The colon keeps a role that starts with > from forming a control string with the opening.
+OPEN, HEAD, CLOSE = "<|:", "|>\n", "</s>\n"
 TARGET_ROLE, SYSTEM_ROLE = "assistant", "system"
 
 
@@ -61,7 +62,7 @@ def parse(window: str) -> list[tuple[str, str, int, int]]:
     while at < len(window):
         if not window.startswith(OPEN, at):
             raise ValueError("not a window of this template")
-        head = window.index(HEAD, at)
+        head = window.index(HEAD, at + len(OPEN))
         start = head + len(HEAD)
         end = window.index(CLOSE, start)
         turns.append((unescape(window[at + len(OPEN) : head]), unescape(window[start:end]), start, end))
