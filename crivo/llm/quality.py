@@ -20,12 +20,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crivo.llm._common import SPACE_CLASS, WORD_CLASS, free_name, words_of
+from crivo.llm._common import SPACE_CLASS, WORD_CLASS, words_of
 
 BUCKETS = 1 << 15
 PSEUDO_COUNT = 4.0
 #: Mean natural-log ratio below which a document is rejected.
-THRESHOLD = -0.05
+THRESHOLD = -0.12
 #: Log ratios are kept as integers of this many units.
 UNITS = 1_000_000
 WINDOW = 8
@@ -93,34 +93,46 @@ def table_of(ratios: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<bigint>")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Counts, score and verdict of every row of ``docs``.
+def measures(text: Column, ratios: list[int], threshold: float) -> Column:
+    """Counts, score and verdict of a text as one struct.
 
-    ``keep`` names columns of ``docs`` to carry along; without it only the id is carried.
+    Everything that is used twice is bound once, so that a filter on the verdict that the optimiser moves
+    below other operators computes no part of it again.
     """
+    table = table_of(ratios)
+
+    def score(f: Column) -> Column:
+        total = F.aggregate(f, F.lit(0).cast("long"), lambda s, b: s + F.get(table, b))
+        return F.when(F.size(f) > 0, total / F.size(f) / F.lit(float(UNITS))).otherwise(F.lit(0.0))
+
+    def counts(z: Column) -> Column:
+        t, w = z["t"], z["w"]
+        lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD_CLASS))
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.regexp_replace(t, SPACE_CLASS + "+", "")).cast("long").alias("word_chars"),
+            (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+            let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
+            repeated_words(w).alias("n_repeat_words"),
+            let(features(w), score).alias("llr"),
+        )
+
+    def verdict(m: Column) -> Column:
+        failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr")
+        return F.struct(*[m[n].alias(n) for n in names], failed.alias("base_failed"), (~failed & (m["llr"] >= F.lit(threshold))).alias("kept"))
+
+    plain = F.coalesce(text.cast("string"), F.lit(""))
+    return let(F.struct(plain.alias("t"), words_of(plain).alias("w")), lambda z: let(counts(z), verdict))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Id, counts, score and verdict of every row of ``docs``."""
     ratios = fit(docs, labels, id_col, text_col)
-    carried = list(keep) if keep is not None else [id_col]
-    text, words = free_name(docs, "q_text"), free_name(docs, "q_words")
-    rows = docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn(words, words_of(F.col(text)))
-    t, w = F.col(text), F.col(words)
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD_CLASS))
-    total = lambda f: F.aggregate(f, F.lit(0).cast("long"), lambda s, b: s + F.get(table_of(ratios), b))
-    counted = rows.select(
-        *carried,
-        F.size(w).cast("long").alias("n_words"),
-        F.length(F.regexp_replace(t, SPACE_CLASS + "+", "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-        repeated_words(w).alias("n_repeat_words"),
-        let(features(w), lambda f: F.when(F.size(f) > 0, total(f) / F.size(f) / F.lit(float(UNITS))).otherwise(F.lit(0.0))).alias("llr"),
-    )
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
+    judged = docs.select(F.col(id_col).alias("doc"), measures(F.col(text_col), ratios, threshold).alias("m"))
+    return judged.select(F.col("doc").alias(id_col), "m.*")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns of ``docs`` only."""
-    inner = docs.withColumns({free_name(docs, f"q_in_{k}"): F.col(f"`{c}`") for k, c in enumerate(docs.columns)})
-    names = [free_name(docs, f"q_in_{k}") for k in range(len(docs.columns))]
-    judged = quality_rules(inner.select(*names), labels, names[docs.columns.index(id_col)], names[docs.columns.index(text_col)], threshold, tuple(names))
-    return judged.where("kept").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    """The rows of ``docs`` that the rules keep."""
+    return docs.where(measures(F.col(text_col), fit(docs, labels, id_col, text_col), threshold)["kept"])
