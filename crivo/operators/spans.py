@@ -59,13 +59,17 @@ def extract(document: Column, kind: T.DataType, criterion: str, macros: dict[str
     return F.coalesce(found.cast(SPAN), F.array().cast(SPAN))
 
 
+def with_meta(meta: Column):
+    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), meta.alias("meta"))
+
+
 def extract_many(text: Column, criteria: Sequence[Mapping[str, str]], key: str = "regex", drop: Sequence[str] = ()) -> Column:
     """Spans of several criteria, each with its criterion's other keys as a map, sorted by their start."""
     parts = []
     for c in criteria:
         meta = [F.lit(x) for k, v in c.items() if k != key and k not in drop for x in (k, str(v))]
         labels = F.create_map(*meta) if meta else F.create_map().cast("map<string,string>")
-        parts.append(F.transform(spans_of_text(text, compiled("r:" + c[key])), lambda s, labels=labels: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.to_json(labels).alias("meta"))))
+        parts.append(F.transform(spans_of_text(text, compiled("r:" + c[key])), with_meta(F.to_json(labels))))
     return F.array_sort(F.flatten(F.array(*parts)))
 
 
