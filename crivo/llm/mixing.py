@@ -20,6 +20,8 @@ an empty table, gives an empty result; further columns don't matter.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +44,8 @@ def temperature_weights(totals: DataFrame, budget: int, max_repeats: float | Non
 
     ``target_entropy`` is a fraction of the largest possible entropy, that of equal weights.
     """
-    shares = totals.where("tokens > 0").select("source", "tokens", (F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(0)))).alias("share"))
-    shares = cut(shares, "shares")
+    everything = totals.agg(F.sum("tokens")).first()[0] or 1
+    shares = cut(totals.where("tokens > 0").select("source", "tokens", (F.col("tokens") / F.lit(everything)).alias("share")), "shares")
     n = shares.count()
     low, high = 0.0, 1.0
 
@@ -59,7 +61,7 @@ def temperature_weights(totals: DataFrame, budget: int, max_repeats: float | Non
                 ask.append(F.max(weight * F.lit(float(budget)) / F.col("tokens")))
         found = shares.agg(*[x.alias(f"v{k}") for k, x in enumerate(ask)]).first()
         if target_entropy is not None:
-            return [v <= target_entropy * F_log(n) for v in found]
+            return [v <= target_entropy * log(n) for v in found]
         return [v <= (max_repeats if max_repeats is not None else float("inf")) for v in found]
 
     if n > 1:
@@ -76,12 +78,6 @@ def temperature_weights(totals: DataFrame, budget: int, max_repeats: float | Non
     return shares.select("source", "tokens", (F.pow("share", F.lit(exponent)) / F.lit(norm)).alias("weight")), exponent
 
 
-def F_log(n: int) -> float:
-    from math import log
-
-    return log(n) if n > 0 else 0.0
-
-
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", budget_tokens: int | None = None, max_repeats: float | None = 4.0, target_entropy: float | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each reading of a document: id, source, pass_no, block, n_tokens, at (tokens of the
     source read before it) and order_key (that, as a fraction of the source's budget: sorting by it
