@@ -39,7 +39,7 @@ MARK = "▁"
 BLOCK_BYTES = 48 << 20
 PIECE_PRIOR = 0.1
 #: Rounds of expectation maximisation over all distinct training words.
-ROUNDS = 2
+ROUNDS = 1
 #: Size of the urn at a text's start: a word's probability is (its earlier occurrences in the text +
 #: URN * its lattice probability) / (tokens so far + URN).
 URN = 1000.0
