@@ -6,6 +6,14 @@ the fewest bands that find a pair at the threshold with the wanted chance (10 ba
 paragraphs collapse before any comparison, pairs that share a band are verified exactly, and of each
 component the first occurrence (smallest document id, then position) stays.
 
+A passage of ``PASSAGE_WORDS`` (50) words or more that stands word for word elsewhere is found wherever
+line feeds are.  Of every run of 50 words at least one 25-word gram is its neighbourhood's smallest hash
+(winnowing), so a run that occurs twice has a selected gram that occurs twice; around those grams all
+50-word windows are compared exactly, and windows that follow one another in both places make a passage.
+The first occurrence of a window is its source.  A passage is marked if ``min_words`` or more of its words
+stand outside the lines that are dropped; its row has a null ``paragraph``, and so has its source's row.
+In one text a window counts as a copy only of one that it doesn't overlap.
+
 Defined cases: a null or empty text has no paragraphs; rows with a null id are not compared; repeated
 rows of one id repeat its paragraphs, and rows that can't be told apart are marked alike; a text without
 line feeds is one paragraph; an empty table gives an empty result; further columns don't matter.
@@ -19,12 +27,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crivo.llm._common import SHINGLE_WORDS, cut, string_buffers, word_hashes
+from crivo.llm._common import SHINGLE_WORDS, U64, chunks, cut, splitmix, string_buffers, word_hashes
 from crivo.llm.near_sets import TILE_SHINGLES, hashed, near_links, representatives, tune_bands
 
 ROWS = 3
 RECALL = 0.999
 MIN_WORDS = 20
+#: Words of a window, and of the grams that are selected among the windows' grams.
+PASSAGE_WORDS = 50
+GRAM_WORDS = 25
 
 
 def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -37,13 +48,21 @@ def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.clip(row, 0, len(offsets) - 2), starts, ends
 
 
+def small_batches(batches: Iterator, text_column: int) -> Iterator:
+    """The same rows in batches of about ``CHUNK_BYTES`` of text, which bounds a task's memory."""
+    for batch in batches:
+        _, offsets = string_buffers(batch.column(text_column))
+        for a, b in chunks(offsets):
+            yield batch.slice(a, b - a)
+
+
 def described(texts: DataFrame, bands: int, rows: int, size: int, min_words: int) -> DataFrame:
     """(doc, paragraph, start, n_chars, n_words, k1, k2, n, bands) of the paragraphs of (doc, text) rows."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             data, offsets = string_buffers(batch.column(1))
             if not len(data):
                 continue
@@ -76,10 +95,140 @@ def described(texts: DataFrame, bands: int, rows: int, size: int, min_words: int
     return texts.mapInArrow(run, "doc long, paragraph int, start int, n_chars int, n_words int, k1 long, k2 long, n int, bands array<long>")
 
 
+def grams(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the ``size`` words from each word on, and whether they stand in one text."""
+    n = max(0, len(words) - size + 1)
+    mixed = np.zeros(n, U64)
+    factors = splitmix(np.arange(size, dtype=U64) + U64(7001)) | U64(1)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            mixed += words[k : k + n] * factors[k]
+    return splitmix(mixed), rows[:n] == rows[len(rows) - n :]
+
+
+def selected_grams(texts: DataFrame) -> DataFrame:
+    """(h, doc, t, pos): of each run of ``PASSAGE_WORDS`` words the gram with the smallest hash."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in small_batches(batches, 2):
+            data, offsets = string_buffers(batch.column(2))
+            words, rows = word_hashes(data, offsets)
+            if len(words) < PASSAGE_WORDS:
+                continue
+            hashes, _ = grams(words, rows, GRAM_WORDS)
+            whole = rows[: len(words) - PASSAGE_WORDS + 1] == rows[PASSAGE_WORDS - 1 :]
+            span = PASSAGE_WORDS - GRAM_WORDS + 1
+            runs = np.lib.stride_tricks.sliding_window_view(hashes, span)
+            at = np.unique((runs.argmin(1) + np.arange(len(runs)))[whole])
+            if not len(at):
+                continue
+            first = np.searchsorted(rows, rows[at], "left")
+            where = pa.array(rows[at])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), batch.column(0).take(where), batch.column(1).take(where), pa.array((at - first).astype(np.int32))], names=["h", "doc", "t", "pos"])
+
+    return texts.mapInArrow(run, "h long, doc long, t long, pos int")
+
+
+def windows_near(texts: DataFrame) -> DataFrame:
+    """(h, doc, t, pos) of the windows that hold one of the grams at the positions ``at``."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for doc, t, text, at in zip(*(batch.column(k) for k in range(4)), strict=True):
+                data, offsets = string_buffers(pa.array([text.as_py()], pa.large_string()))
+                words, rows = word_hashes(data, offsets)
+                hashes, _ = grams(words, rows, PASSAGE_WORDS)
+                near = np.zeros(len(hashes), bool)
+                for p in at.as_py():
+                    near[max(0, p - PASSAGE_WORDS + GRAM_WORDS) : p + 1] = True
+                pos = np.flatnonzero(near)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[pos].view(np.int64)), pa.array(np.full(len(pos), doc.as_py())), pa.array(np.full(len(pos), t.as_py())), pa.array(pos.astype(np.int32))], names=["h", "doc", "t", "pos"])
+
+    return texts.select("doc", "t", "text", "at").mapInArrow(run, "h long, doc long, t long, pos int")
+
+
+def joined_windows(found: DataFrame) -> DataFrame:
+    """(doc, t, pos, n_words, own, fd, ft, fp): windows that follow one another in both places, joined."""
+
+    def run(key, table):
+        import pyarrow as pa
+
+        doc, t = (k.as_py() for k in key)
+        columns = [table.column(c).to_numpy() for c in ("fd", "ft", "fp", "pos")]
+        fd, ft, fp, pos = np.unique(np.stack(columns).astype(np.int64), axis=1)
+        same = (fd == doc) & (ft == t)
+        # A window that overlaps its source in the same text is no copy.
+        stay = ~same | (pos == fp) | (pos - fp >= PASSAGE_WORDS)
+        fd, ft, fp, pos, same = (x[stay] for x in (fd, ft, fp, pos, same))
+        order = np.lexsort((pos, pos - fp, ft, fd))
+        fd, ft, fp, pos, same = (x[order] for x in (fd, ft, fp, pos, same))
+        new = np.ones(len(pos), bool)
+        new[1:] = (fd[1:] != fd[:-1]) | (ft[1:] != ft[:-1]) | (pos[1:] - pos[:-1] != 1) | (fp[1:] - fp[:-1] != 1)
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(pos))) + PASSAGE_WORDS - 1
+        values = (np.full(len(first), doc), np.full(len(first), t), pos[first], n, (same & (pos == fp))[first], fd[first], ft[first], fp[first])
+        return pa.table(dict(zip(("doc", "t", "pos", "n_words", "own", "fd", "ft", "fp"), values, strict=True)))
+
+    return found.groupBy("doc", "t").applyInArrow(run, "doc long, t long, pos long, n_words long, own boolean, fd long, ft long, fp long")
+
+
+def placed_passages(rows: DataFrame) -> DataFrame:
+    """The runs of each text with their places in characters and their words outside the dropped lines."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                data, offsets = string_buffers(pa.array([row["text"]], pa.large_string()))
+                _, _, starts, ends = word_hashes(data, offsets, with_places=True)
+                chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+                starts, ends = chars[starts], chars[ends]
+                bare = np.ones(len(starts), bool)
+                for line in row["gone"] or []:
+                    bare[np.searchsorted(starts, line["start"]) : np.searchsorted(starts, line["start"] + line["n_chars"])] = False
+                before = np.concatenate(([0], np.cumsum(bare)))
+                for x in row["runs"]:
+                    a, b = x["pos"], x["pos"] + x["n_words"]
+                    out.append({**x, "doc": row["doc"], "t": row["t"], "start": int(starts[a]), "n_chars": int(ends[b - 1] - starts[a]), "bare": int(before[b] - before[a])})
+            kinds = [(k, pa.bool_() if k == "own" else pa.int64()) for k in ("doc", "t", "pos", "n_words", "own", "fd", "ft", "fp", "start", "n_chars", "bare")]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema(kinds))
+
+    return rows.mapInArrow(run, "doc long, t long, pos long, n_words long, own boolean, fd long, ft long, fp long, start long, n_chars long, bare long")
+
+
+def passages(plain: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
+    """Marks of passages of (doc, text) rows, given the marks of whole lines."""
+    texts = plain.where("text IS NOT NULL").select("doc", F.xxhash64("text").alias("t"), "text")
+    chosen = cut(selected_grams(texts), "grams")
+    # Hashes alone are counted, on the scan's side first, so a passage of many copies is no large group.
+    twice = chosen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    near = chosen.join(twice, "h").groupBy("doc", "t").agg(F.collect_set("pos").alias("at"))
+    windows = cut(windows_near(texts.hint("merge").join(near, ["doc", "t"])), "windows")
+    firsts = windows.groupBy("h").agg(F.min(F.struct("doc", "t", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = windows.join(firsts, "h").select("doc", "t", "pos", F.col("f.doc").alias("fd"), F.col("f.t").alias("ft"), F.col("f.pos").alias("fp"))
+    runs = joined_windows(found).groupBy("doc", "t").agg(F.collect_list(F.struct("pos", "n_words", "own", "fd", "ft", "fp")).alias("runs"))
+    gone = lines.where("NOT kept").groupBy("doc").agg(F.collect_list(F.struct("start", "n_chars")).alias("gone"))
+    # Rows that repeat have the same runs, so one of them is looked at and each is marked through its id.
+    placed = cut(placed_passages(texts.hint("merge").join(runs, ["doc", "t"]).join(gone, "doc", "left").dropDuplicates(["doc", "t"]).select("doc", "t", "text", "runs", "gone")), "passages")
+    copies = placed.where((~F.col("own")) & (F.col("bare") >= min_words)).drop("own", "bare")
+    sources = placed.where("own").select(F.col("doc").alias("fd"), F.col("t").alias("ft"), F.col("pos").alias("sp"), F.col("n_words").alias("sn"), F.col("start").alias("ss"), F.col("n_chars").alias("sc"))
+    linked = copies.join(sources, ["fd", "ft"]).where("fp >= sp AND fp + n_words <= sp + sn")
+    linked = cut(linked.withColumn("class_id", F.xxhash64("fd", "ft", "sp")), "linked")
+    size = linked.groupBy("class_id").agg((F.count(F.lit(1)) + 1).alias("n_class"), F.first(F.struct("fd", "ss", "sc", "sn")).alias("s"))
+    mark = lambda df, doc, start, chars, words, kept: df.select(F.col(doc).alias("doc"), F.lit(None).cast("int").alias("paragraph"), F.col(start).cast("int").alias("start"), F.col(chars).cast("int").alias("n_chars"), F.col(words).cast("int").alias("n_words"), "class_id", F.col(kept[0]).alias("class_doc"), "n_class", F.lit(kept[1]).alias("kept"))
+    return mark(linked.join(size.drop("s"), "class_id"), "doc", "start", "n_chars", "n_words", ("fd", False)).unionByName(mark(size, "s.fd", "s.ss", "s.sc", "s.sn", ("s.fd", True)))
+
+
 def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = SHINGLE_WORDS, min_words: int = MIN_WORDS, rows: int = ROWS, recall: float = RECALL, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
-    """One row for each occurrence of a paragraph that has an equal or similar one elsewhere.
+    """One row for each occurrence of a paragraph or passage that has an equal or similar one elsewhere.
 
-    Columns: id, paragraph (number of the line, from 0), start and n_chars (in characters), n_words,
+    Columns: id, paragraph (number of the line, from 0; null for a passage), start and n_chars (in characters), n_words,
     class_id, class_doc (smallest document id of the class), n_class (occurrences), kept (the first).
     """
     bands = tune_bands(threshold, recall, rows)
@@ -95,8 +244,8 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(reps.select("id", "k2", "copies", "first").join(linked.select("id", "root"), "id", "left").select("id", "k2", "copies", "first", F.coalesce("root", "id").alias("root")), "classes")
     whole = classes.groupBy("root").agg(F.sum("copies").alias("n_class"), F.min("first").alias("head")).where("n_class > 1")
     marked = classes.join(whole, "root").select(F.col("id").alias("k1"), "k2", "root", "n_class", "head")
-    return found.drop("bands").join(marked, ["k1", "k2"]).select(
-        F.col("doc").alias(id_col),
+    lines = found.drop("bands").join(marked, ["k1", "k2"]).select(
+        "doc",
         "paragraph",
         "start",
         "n_chars",
@@ -106,11 +255,28 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "n_class",
         ((F.col("doc") == F.col("head.doc")) & (F.col("paragraph") == F.col("head.paragraph"))).alias("kept"),
     )
+    lines = cut(lines, "lines")
+    return lines.unionByName(passages(plain, lines, min_words)).withColumnRenamed("doc", id_col)
 
 
 def remove_paragraphs(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the paragraphs that ``marks`` doesn't keep; a text that loses all becomes empty."""
-    drop = marks.where("NOT kept").groupBy(F.col(id_col).alias("_gone_id")).agg(F.collect_set("paragraph").alias("_gone"))
-    lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    out = docs.join(drop, F.col(id_col) == F.col("_gone_id"), "left")
+    """``docs`` without the paragraphs and passages that ``marks`` doesn't keep; a text that loses all becomes empty."""
+    spans = F.struct("start", F.when(F.col("paragraph").isNull(), F.col("n_chars")).alias("cut"), "paragraph")
+    drop = marks.where("NOT kept").groupBy(F.col(id_col).alias("_gone_id")).agg(F.collect_set(spans).alias("_gone"))
+    numbers = F.transform(F.filter("_gone", lambda x: x["paragraph"].isNotNull()), lambda x: x["paragraph"])
+    within = F.filter("_gone", lambda x: x["paragraph"].isNull())
+    parts = F.split(F.col(text_col), "\n", -1)
+    begins = F.aggregate(parts, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x) + 1)))
+
+    def left_of(line, begin):
+        """``line`` without the passages' parts in it."""
+        end = begin + F.length(line)
+        inside = F.array_sort(F.transform(F.filter(within, lambda g: (g["start"] < end) & (g["start"] + g["cut"] > begin)), lambda g: F.struct(F.greatest(g["start"] - begin, F.lit(0)).alias("a"), F.least(g["start"] + g["cut"] - begin, F.length(line)).alias("b"))))
+        state = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
+        step = lambda s, g: F.struct(F.concat(s["text"], F.substring(line, s["at"] + 1, F.greatest(g["a"] - s["at"], F.lit(0)))).alias("text"), F.greatest(s["at"], g["b"]).alias("at"))
+        return F.aggregate(inside, state, step, lambda s: F.concat(s["text"], F.substring(line, s["at"] + 1, F.length(line))))
+
+    placed = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.get("_begins", i).alias("b"))), lambda z: ~F.array_contains(F.col("_numbers"), z["i"]))
+    lines = F.transform(placed, lambda z: left_of(z["x"], z["b"]))
+    out = docs.join(drop, F.col(id_col) == F.col("_gone_id"), "left").withColumn("_begins", begins).withColumn("_numbers", numbers)
     return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))).select(*docs.columns)

@@ -109,3 +109,17 @@ def test_paragraph_dedup_equals_brute_force(spark, pages):
 def test_paragraph_dedup_of_nothing(no_docs, docs):
     assert paragraph_dedup(no_docs).collect() == []
     assert {r.doc_id for r in paragraph_dedup(docs).collect()} >= {1, 2, 3}
+
+
+def test_passages_inside_longer_lines_are_marked(spark):
+    shared = prose(31, 55)
+    rows = [(k, f"{prose(300 + k, 40)} {shared} {prose(400 + k, 40)}") for k in range(4)] + [(9, prose(500, 90) + "\n" + "é " + shared)]
+    rows += [(20, prose(32, 49) + " " + prose(601, 60)), (21, prose(602, 60) + " " + prose(32, 49)), (30, "again " * 300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = paragraph_dedup(table)
+    got = [r for r in marks.collect() if r.doc_id < 20]
+    texts = dict(rows)
+    assert sorted((r.doc_id, r.kept, r.class_doc, r.n_class, r.n_words) for r in got) == [(k, k == 0, 0, 5, 55) for k in (0, 1, 2, 3, 9)]
+    assert all(texts[r.doc_id][r.start : r.start + r.n_chars] == shared for r in got)
+    clean = {r.doc_id: r.text for r in remove_paragraphs(table, marks).collect()}
+    assert clean == {k: t if k in (0, 20, 21) else "again " * 50 + " " if k == 30 else t.replace(shared, "") for k, t in texts.items()}
