@@ -6,7 +6,7 @@ found by a forward recursion in log space; the lattice of a word seen in trainin
 whole word.  Whole-word arcs weigh (count - D) / N, and what the discount D takes, D * V / N, is the
 weight of the spelled paths, so all words and the end share one unit of probability.  D is estimated from
 the words seen once and twice.  The vocabulary is given; its scores are learned from all distinct training
-words by expectation maximisation over the same lattices.
+words by expectation maximisation over the same lattices, whose arcs are built once for all rounds.
 
 Texts repeat their words and stay in one language, so the score draws each text from an urn that starts
 with the lattice's probabilities and gets every drawn word once more (a Dirichlet compound).  The plain
@@ -39,7 +39,7 @@ MARK = "▁"
 BLOCK_BYTES = 48 << 20
 PIECE_PRIOR = 0.1
 #: Rounds of expectation maximisation over all distinct training words.
-ROUNDS = 1
+ROUNDS = 4
 #: Size of the urn at a text's start: a word's probability is (its earlier occurrences in the text +
 #: URN * its lattice probability) / (tokens so far + URN).
 URN = 1000.0
@@ -167,52 +167,103 @@ class Lattice:
         return top + log(sum([exp(a - top) for a in here]))
 
 
-class Expectation:
-    """Expected piece counts of words under the current scores (one step of expectation maximisation)."""
+class Arcs:
+    """The arcs of a word's lattice, which don't depend on the scores: piece, start and end in one number.
 
-    #: Keeps products of many small numbers in range; words are cut at this many characters here.
-    LIFT, LONGEST_WORD = 20.0, 100
+    A character that is no piece has one arc over its bytes, with -1 less its code point as the piece.
+    """
 
-    def __init__(self, pieces: list[str], scores: np.ndarray) -> None:
-        self.table = prefixed({p: (k, math.exp(s) * self.LIFT ** len(p)) for k, (p, s) in enumerate(zip(pieces, scores, strict=True))})
-        self.byte = [(self.table.get(f"<0x{b:02X}>") or (0, 0))[0] for b in range(256)]
-        self.scores = scores
-        self.total = [0.0] * len(pieces)
+    #: Words are cut at this many characters, so that a place fits in 8 bits.
+    LONGEST_WORD = 100
 
-    def add(self, word: str) -> None:
-        if len(word) > self.LONGEST_WORD:
-            for at in range(0, len(word), self.LONGEST_WORD):
-                self.add(word[at : at + self.LONGEST_WORD])
-            return
-        text, find, total = MARK + word, self.table.get, self.total
+    def __init__(self, pieces: list[str]) -> None:
+        self.table = prefixed({p: k for k, p in enumerate(pieces)})
+
+    def __call__(self, word: str) -> list[list[int]]:
+        """One list of arcs, ordered by start, for each part of at most ``LONGEST_WORD`` characters."""
+        most = self.LONGEST_WORD
+        if len(word) > most:
+            return [x for at in range(0, len(word), most) for x in self(word[at : at + most])]
+        text, find, arcs = MARK + word, self.table.get, []
         n = len(text)
-        ahead, arcs = [0.0] * (n + 1), []
-        ahead[0] = 1.0
         for start in range(n):
-            here = ahead[start]
             if find(text[start]) is None:
-                several = [self.byte[b] for b in text[start].encode()]
-                p = math.exp(float(sum(self.scores[k] for k in several))) * self.LIFT
-                ahead[start + 1] += here * p
-                arcs.append((start, start + 1, several, p))
+                arcs.append((-1 - ord(text[start])) << 16 | start << 8 | start + 1)
             for end in range(start + 1, n + 1):
-                got = find(text[start:end], 0)
-                if got == 0:
+                got = find(text[start:end], -1)
+                if got == -1:
                     break
                 if got is not None:
-                    ahead[end] += here * got[1]
-                    arcs.append((start, end, *got))
-        if not 0.0 < ahead[n] < math.inf:
+                    arcs.append(got << 16 | start << 8 | end)
+        return [arcs]
+
+
+class Expectation:
+    """Expected piece counts of words under the current scores (one step of expectation maximisation)."""
+
+    #: Keeps products of many small numbers in range.
+    LIFT = 20.0
+
+    def __init__(self, pieces: list[str], scores: np.ndarray) -> None:
+        self.pieces, self.scores = pieces, np.asarray(scores)
+        self.p = np.exp(self.scores) * self.LIFT ** np.array([len(x) for x in pieces], np.float64)
+        names = {x: k for k, x in enumerate(pieces)}
+        self.byte = [names.get(f"<0x{b:02X}>", 0) for b in range(256)]
+        self.total = np.zeros(len(pieces))
+
+    def add(self, word: str) -> None:
+        for arcs in Arcs(self.pieces)(word):
+            self.add_arcs(np.array(arcs, np.int64), np.array([len(arcs)]))
+
+    def add_arcs(self, arcs: np.ndarray, counts: np.ndarray) -> None:
+        """Add many words at once: their arcs one after another, and how many each has."""
+        if not len(arcs):
             return
-        back = [0.0] * n + [1.0 / ahead[n]]
-        for start, end, name, p in reversed(arcs):
-            flow = p * back[end]
-            back[start] += flow
-            if isinstance(name, list):
-                for k in name:
-                    total[k] += ahead[start] * flow
-            else:
-                total[name] += ahead[start] * flow
+        name, start, end = arcs >> 16, (arcs >> 8) & 255, arcs & 255
+        first = np.cumsum(counts) - counts
+        n = np.maximum.reduceat(end, first)
+        base = np.cumsum(n + 1) - (n + 1)
+        p = self.p[np.maximum(name, 0)]
+        spelled = np.flatnonzero(name < 0)
+        characters, which = np.unique(-1 - name[spelled], return_inverse=True)
+        several = [[self.byte[b] for b in chr(c).encode("utf-8", "replace")] for c in characters.tolist()]
+        p[spelled] = np.array([math.exp(float(self.scores[k].sum())) * self.LIFT for k in several])[which] if several else 0
+        order = np.argsort(start, kind="stable")
+        bounds = np.searchsorted(start[order], np.arange(int(start.max()) + 2))
+        at = np.repeat(base, counts)
+        left, right, chance = (at + start)[order], (at + end)[order], p[order]
+        ahead = np.zeros(int(base[-1] + n[-1]) + 1)
+        ahead[base] = 1.0
+        # Arcs of one start reach different places, so none is added to twice here.
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            ahead[right[a:b]] += ahead[left[a:b]] * chance[a:b]
+        whole = ahead[base + n]
+        good = (whole > 0.0) & (whole < math.inf)
+        back = np.zeros(len(ahead))
+        back[(base + n)[good]] = 1.0 / whole[good]
+        for a, b in zip(bounds[-2::-1], bounds[:0:-1], strict=True):
+            np.add.at(back, left[a:b], chance[a:b] * back[right[a:b]])
+        ahead[~np.repeat(good, n + 1)] = 0.0
+        flow = np.empty(len(arcs))
+        flow[order] = ahead[left] * chance * back[right]
+        known = name >= 0
+        self.total += np.bincount(name[known], flow[known], len(self.total))
+        for k, x in zip(several, np.bincount(which, flow[spelled], len(several)).tolist(), strict=True):
+            np.add.at(self.total, k, x)
+
+
+def lattices(words: DataFrame, pieces: list[str]) -> DataFrame:
+    """(arcs): one array for each word, built once for all rounds."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        build = Arcs(pieces)
+        for batch in batches:
+            found = [x for w in batch.column(0).to_pylist() for x in build(w.decode("utf-8", "replace"))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], names=["arcs"])
+
+    return words.mapInArrow(run, "arcs array<long>")
 
 
 def segmented(words: DataFrame, model_file: str) -> DataFrame:
@@ -250,6 +301,7 @@ def learn_scores(words: DataFrame, pieces: list[str], model_file: str, rounds: i
         return np.log(weight / weight.sum())
 
     scores = scores_of(segmented(distinct, model_file))
+    spelled = cut(lattices(distinct, pieces), "lattices") if rounds else None
     for _ in range(rounds):
 
         def run(batches: Iterator, scores=scores) -> Iterator:
@@ -257,12 +309,12 @@ def learn_scores(words: DataFrame, pieces: list[str], model_file: str, rounds: i
 
             step = Expectation(pieces, scores)
             for batch in batches:
-                for w in batch.column(0).to_pylist():
-                    step.add(w.decode("utf-8", "replace"))
-            some = [k for k, x in enumerate(step.total) if x]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([step.total[k] for k in some], pa.float64())], names=["piece", "n"])
+                lists = batch.column(0)
+                step.add_arcs(lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()).astype(np.int64))
+            some = np.flatnonzero(step.total)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(step.total[some])], names=["piece", "n"])
 
-        scores = scores_of(distinct.mapInArrow(run, "piece int, n double"))
+        scores = scores_of(spelled.mapInArrow(run, "piece int, n double"))
     return scores
 
 

@@ -257,6 +257,24 @@ def test_lattice_sums_all_segmentations():
     assert math.isclose(sum(step.total[k] * len(x) for k, x in enumerate(pieces) if not x.startswith("<")), 5, rel_tol=1e-9)
 
 
+def test_rounds_over_stored_arcs_raise_the_likelihood():
+    pieces = lattice_lm.vocabulary(PIECES)
+    plain = sorted(set(prose(1, 300).split()))
+    words = [*plain, "héé", "漢字x", "a" * 250, "q"]
+    found = [x for w in words for x in lattice_lm.Arcs(pieces)(w)]
+    scores, likelihood = np.full(len(pieces), -math.log(len(pieces))), []
+    for _ in range(4):
+        likelihood.append(sum(map(lattice_lm.Lattice(pieces, scores), plain)))
+        one, many = lattice_lm.Expectation(pieces, scores), lattice_lm.Expectation(pieces, scores)
+        for w in words:
+            one.add(w)
+        many.add_arcs(np.array([a for x in found for a in x]), np.array([len(x) for x in found]))
+        assert np.allclose(one.total, many.total) and many.total.sum() > len(words)
+        weight = many.total + lattice_lm.PIECE_PRIOR
+        scores = np.log(weight / weight.sum())
+    assert lattice_lm.ROUNDS >= 4 and likelihood[0] < likelihood[1] < likelihood[3]
+
+
 def test_held_out_text_of_the_language_beats_noise(spark):
     rows = [(k, prose(k, 200)) for k in range(60)] + [(1000 + k, " ".join("qzxwvk"[(k * j) % 6] * 3 + str(j * k) for j in range(200))) for k in range(20)]
     got = lattice_lm.lattice_scores(spark.createDataFrame(rows, "doc_id long, text string").where("doc_id < 1000 OR crc32(CAST(doc_id AS STRING)) % 7 = 2"), PIECES).where("held_out").collect()
