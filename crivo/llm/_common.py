@@ -1,8 +1,8 @@
 """Helpers shared by the training-data operators: tables, durable cuts of lineage, hashing of words.
 
 ``cut`` writes a table into the shared folder that the session names in ``spark.checkpoint.dir`` and
-reads it back, so that lost executors cost a re-read and not a recomputation.  Nothing here collects
-rows to the driver.
+reads it back, so that lost executors cost a re-read and not a recomputation; ``release`` empties a table
+that nothing reads any more.  Nothing here collects rows to the driver.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ SHINGLE_WORDS = 5
 
 U64 = np.uint64
 CHUNK_BYTES = 2 << 20
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,20 +29,38 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the session; one of our own only where the setting is absent (tests)."""
+    """The folder named by the session; one of our own only in local mode, where the setting may be absent."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-crivo-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table."""
+    """Write ``df`` to the shared folder and return the written table.
+
+    What the writing job shuffled is removed when it ends: later jobs read the table.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/crivo/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Empty tables made by ``cut`` once everything that reads them is written itself."""
+    for table in tables:
+        table.sparkSession.createDataFrame([], table.schema).coalesce(1).write.mode("overwrite").parquet(table.written_to)
 
 
 def text_or_empty(column: Column | str) -> Column:
@@ -122,13 +141,34 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES):
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, with_places: bool = False) -> tuple[np.ndarray, ...]:
-    """Hash of every word of the texts in ``data``, the row that each stands in, and its bounds if asked for."""
-    if len(data) == 0:
+    """Hash of every word of the texts in ``data``, the row that each stands in, and its bounds if asked for.
+
+    Long texts are walked in ranges that end at white space, so memory beside the result stays bounded.
+    """
+    parts, at = [], 0
+    while at < len(data):
+        upto = at + CHUNK_BYTES
+        while upto < len(data) and not _IS_SPACE[data[upto]]:
+            gaps = np.flatnonzero(_IS_SPACE[data[upto : upto + CHUNK_BYTES]])
+            upto = upto + int(gaps[0]) if len(gaps) else upto + CHUNK_BYTES
+        upto = min(upto, len(data))
+        first, last = np.searchsorted(offsets, (at, upto), "left")
+        hashes, starts, ends = _words_in(data[at:upto], offsets[first:last] - at)
+        parts.append((hashes, starts + at, ends + at))
+        at = upto
+    if not parts:
         nowhere = np.zeros(0, np.int64)
         return (np.zeros(0, U64), nowhere, nowhere, nowhere)[: 4 if with_places else 2]
+    hashes, starts, ends = (np.concatenate(x) if len(parts) > 1 else x[0] for x in zip(*parts, strict=True))
+    rows = np.searchsorted(offsets, starts, "right") - 1
+    return (hashes, rows, starts, ends) if with_places else (hashes, rows)
+
+
+def _words_in(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends) of the words of a range of bytes in which texts begin at ``begins``."""
     word = ~_IS_SPACE[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
-    edge[offsets] = True
+    edge[begins] = True
     before = np.concatenate(([False], word[:-1])) & ~edge[:-1]
     after = np.concatenate((word[1:], [False])) & ~edge[1:]
     starts = np.flatnonzero(word & ~before)
@@ -136,9 +176,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, with_places: bool = False
     up, down = _power_tables(len(data))
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, U64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=U64)))
-        hashes = splitmix((sums[ends] - sums[starts]) * down[starts])
-    rows = np.searchsorted(offsets, starts, "right") - 1
-    return (hashes, rows, starts, ends) if with_places else (hashes, rows)
+        return splitmix((sums[ends] - sums[starts]) * down[starts]), starts, ends
 
 
 _FACTORS = splitmix(np.arange(64, dtype=U64) + U64(31)) | U64(1)
@@ -221,31 +259,65 @@ def min_hashes(shingles: np.ndarray, starts: np.ndarray, n_hashes: int) -> np.nd
     return out
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an edge list: (node, component), component the smallest node reached.
+#: Edges that one task labels at once (some 20 MB); larger graphs are contracted first.
+SMALL_GRAPH = 1_000_000
 
-    Each round hooks every node to its smallest neighbour, jumps once and contracts the edges, so the
-    graph shrinks geometrically; every round's tables are cut.  Nodes without an edge do not appear.
+
+def labelled(table):
+    """(node, component) of a bounded edge list (a, b), by union and find."""
+    import pyarrow as pa
+
+    nodes, ends = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
+    up = list(range(len(nodes)))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for x, y in zip(*ends.reshape(2, -1).tolist(), strict=True):
+        x, y = top(x), top(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    return pa.table({"node": pa.array(nodes), "component": pa.array(nodes[[top(x) for x in range(len(nodes))]])})
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", small: int = SMALL_GRAPH) -> DataFrame:
+    """Connected components of an edge list of longs: (node, component), component the smallest node reached.
+
+    In each round every node hooks to the neighbour (or itself) that is first in an order drawn anew from
+    a hash, jumps once and the edges are contracted, so that about a third of the nodes is left whatever
+    their numbering: chains of ascending ids take as many rounds as any others.  Once ``small`` edges or
+    fewer are left, one task labels them.  Every round's tables are cut.  Nodes without an edge do not
+    appear.
     """
-    spark = edges.sparkSession
     left = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = cut(left, "edges")
-    kind = left.schema["a"].dataType
     found: DataFrame | None = None
-    while not left.isEmpty():
-        both = left.select(F.col("b").alias("node"), F.col("a").alias("near")).unionByName(left.select(F.col("a").alias("node"), F.col("a").alias("near")))
-        hook = cut(both.groupBy("node").agg(F.min("near").alias("up")), "hooks")
+    turn = 0
+
+    def carried(moved: DataFrame) -> DataFrame:
+        """The labels so far after a step (node, up) of the contracted nodes."""
+        if found is None:
+            return moved.select("node", F.col("up").alias("component"))
+        step = moved.select(F.col("node").alias("component"), "up")
+        return found.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+
+    while left.count() > small:
+        rank = lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("v"))
+        both = left.select(F.col("b").alias("node"), F.col("a").alias("near")).unionByName(left.select(F.col("a").alias("node"), F.col("b").alias("near")))
+        best = both.groupBy("node").agg(F.min(rank("near")).alias("m"))
+        hook = best.select("node", F.least(F.col("m"), rank("node"))["v"].alias("up"))
         top = hook.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-        hook = cut(hook.join(top, "up", "left").select("node", F.coalesce("upper", "up").alias("up")), "hooks")
-        ends = hook.select(F.col("node").alias("a"), F.col("up").alias("ua"))
-        other = hook.select(F.col("node").alias("b"), F.col("up").alias("ub"))
+        jump = cut(hook.join(top, "up").select("node", F.col("upper").alias("up")), "jumps")
+        ends = jump.select(F.col("node").alias("a"), F.col("up").alias("ua"))
+        other = jump.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         moved = left.join(ends, "a").join(other, "b").where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
-        left = cut(moved, "edges")
-        if found is None:
-            found = hook.select("node", F.col("up").alias("component"))
-        else:
-            step = hook.select(F.col("node").alias("component"), "up")
-            found = cut(found.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
+        left, found, turn = cut(moved, "edges"), cut(carried(jump), "labels") if turn else carried(jump), turn + 1
+    rest = left.groupBy().applyInArrow(labelled, "node long, component long")
     if found is None:
-        return spark.createDataFrame([], "node long, component long").select(F.col("node").cast(kind), F.col("component").cast(kind))
-    return found
+        return cut(rest, "labels")
+    found = cut(carried(rest.withColumnRenamed("component", "up")), "labels")
+    least = found.groupBy("component").agg(F.min("node").alias("least"))
+    return found.join(least, "component").select("node", F.col("least").alias("component"))

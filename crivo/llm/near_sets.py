@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crivo.llm._common import SHINGLE_WORDS, U64, chunks, components, cut, min_hashes, set_keys, shingle_sets, splitmix, string_buffers
+from crivo.llm._common import SHINGLE_WORDS, U64, chunks, components, cut, min_hashes, release, set_keys, shingle_sets, splitmix, string_buffers
 
 #: Shingles in a tile; a text counts as TILE_TEXT more, which bounds the texts in a tile.
 TILE_SHINGLES = 150_000
@@ -103,7 +103,7 @@ def near_links(reps: DataFrame, with_text, *, threshold: float, bands: int, rows
     spread = held.join(dealt.where("large").select("id", "tile"), "id").select("bucket", "tile").distinct()
     meet = spread.alias("x").join(spread.alias("y"), F.expr("x.bucket = y.bucket AND x.tile < y.tile")).select(F.col("x.tile").alias("ta"), F.col("y.tile").alias("tb")).distinct()
     meet = cut(meet, "meet")
-    texts = with_text(dealt.drop("large", "n"))
+    texts = cut(with_text(dealt.drop("large", "n")).select("id", "copies", "component", "tile", "text"), "texts")
     sides = meet.select(F.col("ta").alias("tile"), "ta", "tb").unionByName(meet.select(F.col("tb").alias("tile"), "ta", "tb"))
     own = texts.select("id", "copies", "component", "tile", "text", F.col("tile").alias("ta"), F.col("tile").alias("tb"))
     across = texts.join(sides, "tile").select("id", "copies", "component", "tile", "text", "ta", "tb")
@@ -113,6 +113,7 @@ def near_links(reps: DataFrame, with_text, *, threshold: float, bands: int, rows
         return compare_tile(pdf, threshold, bands, rows, need, size)
 
     pairs = cut(own.unionByName(across).groupBy("ta", "tb").applyInPandas(compare, "id long, links long, root long"), "links")
+    release(held, members, dealt, meet, texts)
     roots = components(pairs, "id", "root")
     counts = pairs.groupBy("id").agg(F.sum("links").alias("links"))
     return counts.join(roots.select(F.col("node").alias("id"), F.col("component").alias("root")), "id", "left").select("id", "links", F.coalesce("root", "id").alias("root"))

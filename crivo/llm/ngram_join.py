@@ -55,16 +55,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = cut(found, "classes")
     least = found.groupBy("root").agg(F.min("copy_of").alias("least"))
     classes = found.join(least, "root").select(F.col("id").alias("k1"), "k2", "copy_of", F.col("least").alias("class"), (F.col("links") + F.col("copies") - 1).alias("links"))
-    alone = F.col("class").isNull()
-    return (
-        sets.select("doc", F.when(F.col("doc").isNotNull() & (F.col("n") > 0), F.col("k1")).alias("k1"), "k2")
-        .join(classes, ["k1", "k2"], "left")
-        .select(
-            F.col("doc").alias(id_col),
-            F.when(alone, F.col("doc")).otherwise(F.col("class")).alias("class_id"),
-            F.when(alone, F.col("doc")).otherwise(F.col("copy_of")).alias("copy_of"),
-            F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        )
+    # Rows without words or id have no class to look up, so they stay out of the join, which they would skew.
+    compared = F.col("doc").isNotNull() & (F.col("n") > 0)
+    linked = sets.where(compared).select("doc", "k1", "k2").join(classes, ["k1", "k2"])
+    alone = sets.where(~compared)
+    return linked.select(F.col("doc").alias(id_col), F.col("class").alias("class_id"), "copy_of", F.col("links").cast("long").alias("n_links")).unionByName(
+        alone.select(F.col("doc").alias(id_col), F.col("doc").alias("class_id"), F.col("doc").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
     )
 
 

@@ -1,16 +1,18 @@
 """Substring dedup on paragraphs: MinHash banding, exact Jaccard, removals by connected components.
 
-A paragraph is a text's part between line feeds that has ``min_words`` words or more (shorter ones are
-headings and menu lines, which line dedup treats).  Bands are tuned for recall: with rows of 3 values,
-the fewest bands that find a pair at the threshold with the wanted chance (10 bands: 99.9 %).  Equal
-paragraphs collapse before any comparison, pairs that share a band are verified exactly, and of each
-component the first occurrence (smallest document id, then position) stays.
+A paragraph is a text's part between line feeds that has ``min_words`` words or more; shorter ones are
+headings and menu lines, which this operator leaves to line dedup: ``min_words=1`` compares them too.
+Bands are tuned for recall: with rows of 3 values, the fewest bands that find a pair at the threshold
+with the wanted chance (10 bands: 99.9 %).  Equal paragraphs collapse before any comparison, pairs that
+share a band are verified exactly, and of each component the first occurrence (smallest document id, then
+position) stays.
 
 A passage of ``PASSAGE_WORDS`` (50) words or more that stands word for word elsewhere is found wherever
 line feeds are.  Of every run of 50 words at least one 25-word gram is its neighbourhood's smallest hash
 (winnowing), so a run that occurs twice has a selected gram that occurs twice; around those grams all
 50-word windows are compared exactly, and windows that follow one another in both places make a passage.
-The first occurrence of a window is its source.  A passage is marked if ``min_words`` or more of its words
+This covers what the lines leave: windows that stand wholly in dropped lines are not looked at.  The
+first occurrence of a window is its source.  A passage is marked if ``min_words`` or more of its words
 stand outside the lines that are dropped; its row has a null ``paragraph``, and so has its source's row.
 In one text a window counts as a copy only of one that it doesn't overlap.
 
@@ -24,10 +26,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crivo.llm._common import SHINGLE_WORDS, U64, chunks, cut, splitmix, string_buffers, word_hashes
+from crivo.llm._common import SHINGLE_WORDS, U64, chunks, cut, release, splitmix, string_buffers, word_hashes
 from crivo.llm.near_sets import TILE_SHINGLES, hashed, near_links, representatives, tune_bands
 
 ROWS = 3
@@ -107,122 +109,102 @@ def grams(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, n
 
 
 def selected_grams(texts: DataFrame) -> DataFrame:
-    """(h, doc, t, pos): of each run of ``PASSAGE_WORDS`` words the gram with the smallest hash."""
+    """(h, doc, t, pos, line): of each run of ``PASSAGE_WORDS`` words the gram with the smallest hash.
+
+    ``line`` is the number of the line that holds all windows around the gram, null if they reach over it.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in small_batches(batches, 2):
             data, offsets = string_buffers(batch.column(2))
-            words, rows = word_hashes(data, offsets)
+            words, rows, starts, _ = word_hashes(data, offsets, with_places=True)
             if len(words) < PASSAGE_WORDS:
                 continue
             hashes, _ = grams(words, rows, GRAM_WORDS)
             whole = rows[: len(words) - PASSAGE_WORDS + 1] == rows[PASSAGE_WORDS - 1 :]
             span = PASSAGE_WORDS - GRAM_WORDS + 1
-            runs = np.lib.stride_tricks.sliding_window_view(hashes, span)
-            at = np.unique((runs.argmin(1) + np.arange(len(runs)))[whole])
+            at = np.unique((np.lib.stride_tricks.sliding_window_view(hashes, span).argmin(1) + np.arange(len(whole)))[whole])
             if not len(at):
                 continue
-            first = np.searchsorted(rows, rows[at], "left")
+            feeds = np.flatnonzero(data == 10)
+            line = np.searchsorted(feeds, starts) - np.searchsorted(feeds, offsets[rows])
+            first, last = np.searchsorted(rows, rows[at], "left"), np.searchsorted(rows, rows[at], "right") - 1
+            low, high = np.maximum(at - (PASSAGE_WORDS - GRAM_WORDS), first), np.minimum(at + PASSAGE_WORDS - 1, last)
             where = pa.array(rows[at])
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), batch.column(0).take(where), batch.column(1).take(where), pa.array((at - first).astype(np.int32))], names=["h", "doc", "t", "pos"])
+            lines = pa.array(line[at].astype(np.int32), mask=line[low] != line[high])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), batch.column(0).take(where), batch.column(1).take(where), pa.array((at - first).astype(np.int32)), lines], names=["h", "doc", "t", "pos", "line"])
+
+    return texts.mapInArrow(run, "h long, doc long, t long, pos int, line int")
 
-    return texts.mapInArrow(run, "h long, doc long, t long, pos int")
 
+def bare_windows(rows: DataFrame) -> DataFrame:
+    """(h, doc, t, pos, first, last, before, upto): windows around the grams at the positions ``at``.
 
-def windows_near(texts: DataFrame) -> DataFrame:
-    """(h, doc, t, pos) of the windows that hold one of the grams at the positions ``at``."""
+    ``gone`` are the places of dropped lines; a window is given if a word of it stands outside of them.
+    ``first`` and ``last`` bound it in characters, ``before`` and ``upto`` count such words at its bounds.
+    """
+    kinds = "h long, doc long, t long, pos int, first int, last int, before int, upto int"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for doc, t, text, at in zip(*(batch.column(k) for k in range(4)), strict=True):
+            for doc, t, text, at, gone in zip(*(batch.column(k) for k in range(5)), strict=True):
                 data, offsets = string_buffers(pa.array([text.as_py()], pa.large_string()))
-                words, rows = word_hashes(data, offsets)
+                words, rows, starts, ends = word_hashes(data, offsets, with_places=True)
                 hashes, _ = grams(words, rows, PASSAGE_WORDS)
+                chars = np.concatenate((np.zeros(1, np.int32), np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)))
+                starts, ends = chars[starts], chars[ends]
+                bare = np.ones(len(words), bool)
+                for line in gone.as_py() or []:
+                    bare[np.searchsorted(starts, line["start"]) : np.searchsorted(starts, line["start"] + line["n_chars"])] = False
+                sums = np.concatenate((np.zeros(1, np.int32), np.cumsum(bare, dtype=np.int32)))
                 near = np.zeros(len(hashes), bool)
                 for p in at.as_py():
                     near[max(0, p - PASSAGE_WORDS + GRAM_WORDS) : p + 1] = True
-                pos = np.flatnonzero(near)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[pos].view(np.int64)), pa.array(np.full(len(pos), doc.as_py())), pa.array(np.full(len(pos), t.as_py())), pa.array(pos.astype(np.int32))], names=["h", "doc", "t", "pos"])
-
-    return texts.select("doc", "t", "text", "at").mapInArrow(run, "h long, doc long, t long, pos int")
-
-
-def joined_windows(found: DataFrame) -> DataFrame:
-    """(doc, t, pos, n_words, own, fd, ft, fp): windows that follow one another in both places, joined."""
-
-    def run(key, table):
-        import pyarrow as pa
-
-        doc, t = (k.as_py() for k in key)
-        columns = [table.column(c).to_numpy() for c in ("fd", "ft", "fp", "pos")]
-        fd, ft, fp, pos = np.unique(np.stack(columns).astype(np.int64), axis=1)
-        same = (fd == doc) & (ft == t)
-        # A window that overlaps its source in the same text is no copy.
-        stay = ~same | (pos == fp) | (pos - fp >= PASSAGE_WORDS)
-        fd, ft, fp, pos, same = (x[stay] for x in (fd, ft, fp, pos, same))
-        order = np.lexsort((pos, pos - fp, ft, fd))
-        fd, ft, fp, pos, same = (x[order] for x in (fd, ft, fp, pos, same))
-        new = np.ones(len(pos), bool)
-        new[1:] = (fd[1:] != fd[:-1]) | (ft[1:] != ft[:-1]) | (pos[1:] - pos[:-1] != 1) | (fp[1:] - fp[:-1] != 1)
-        first = np.flatnonzero(new)
-        n = np.diff(np.append(first, len(pos))) + PASSAGE_WORDS - 1
-        values = (np.full(len(first), doc), np.full(len(first), t), pos[first], n, (same & (pos == fp))[first], fd[first], ft[first], fp[first])
-        return pa.table(dict(zip(("doc", "t", "pos", "n_words", "own", "fd", "ft", "fp"), values, strict=True)))
-
-    return found.groupBy("doc", "t").applyInArrow(run, "doc long, t long, pos long, n_words long, own boolean, fd long, ft long, fp long")
-
-
-def placed_passages(rows: DataFrame) -> DataFrame:
-    """The runs of each text with their places in characters and their words outside the dropped lines."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                data, offsets = string_buffers(pa.array([row["text"]], pa.large_string()))
-                _, _, starts, ends = word_hashes(data, offsets, with_places=True)
-                chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-                starts, ends = chars[starts], chars[ends]
-                bare = np.ones(len(starts), bool)
-                for line in row["gone"] or []:
-                    bare[np.searchsorted(starts, line["start"]) : np.searchsorted(starts, line["start"] + line["n_chars"])] = False
-                before = np.concatenate(([0], np.cumsum(bare)))
-                for x in row["runs"]:
-                    a, b = x["pos"], x["pos"] + x["n_words"]
-                    out.append({**x, "doc": row["doc"], "t": row["t"], "start": int(starts[a]), "n_chars": int(ends[b - 1] - starts[a]), "bare": int(before[b] - before[a])})
-            kinds = [(k, pa.bool_() if k == "own" else pa.int64()) for k in ("doc", "t", "pos", "n_words", "own", "fd", "ft", "fp", "start", "n_chars", "bare")]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema(kinds))
+                near &= sums[PASSAGE_WORDS:] > sums[: len(hashes)]
+                every = np.flatnonzero(near)
+                for k in range(0, len(every), 1 << 16):
+                    pos = every[k : k + (1 << 16)]
+                    same = (np.full(len(pos), doc.as_py()), np.full(len(pos), t.as_py()))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hashes[pos].view(np.int64), *same, pos.astype(np.int32), starts[pos], ends[pos + PASSAGE_WORDS - 1], sums[pos], sums[pos + PASSAGE_WORDS])], names=["h", "doc", "t", "pos", "first", "last", "before", "upto"])
 
-    return rows.mapInArrow(run, "doc long, t long, pos long, n_words long, own boolean, fd long, ft long, fp long, start long, n_chars long, bare long")
+    return rows.select("doc", "t", "text", "at", "gone").mapInArrow(run, kinds)
 
 
 def passages(plain: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
     """Marks of passages of (doc, text) rows, given the marks of whole lines."""
     texts = plain.where("text IS NOT NULL").select("doc", F.xxhash64("text").alias("t"), "text")
-    chosen = cut(selected_grams(texts), "grams")
+    dropped = lines.where("NOT kept").select("doc", F.col("paragraph").alias("line")).distinct()
+    chosen = cut(selected_grams(texts).join(dropped, ["doc", "line"], "left_anti").select("h", "doc", "t", "pos"), "grams")
     # Hashes alone are counted, on the scan's side first, so a passage of many copies is no large group.
     twice = chosen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     near = chosen.join(twice, "h").groupBy("doc", "t").agg(F.collect_set("pos").alias("at"))
-    windows = cut(windows_near(texts.hint("merge").join(near, ["doc", "t"])), "windows")
-    firsts = windows.groupBy("h").agg(F.min(F.struct("doc", "t", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = windows.join(firsts, "h").select("doc", "t", "pos", F.col("f.doc").alias("fd"), F.col("f.t").alias("ft"), F.col("f.pos").alias("fp"))
-    runs = joined_windows(found).groupBy("doc", "t").agg(F.collect_list(F.struct("pos", "n_words", "own", "fd", "ft", "fp")).alias("runs"))
-    gone = lines.where("NOT kept").groupBy("doc").agg(F.collect_list(F.struct("start", "n_chars")).alias("gone"))
-    # Rows that repeat have the same runs, so one of them is looked at and each is marked through its id.
-    placed = cut(placed_passages(texts.hint("merge").join(runs, ["doc", "t"]).join(gone, "doc", "left").dropDuplicates(["doc", "t"]).select("doc", "t", "text", "runs", "gone")), "passages")
+    gone = lines.where("NOT kept").groupBy("doc").agg(F.collect_set(F.struct("start", "n_chars")).alias("gone"))
+    # Rows that repeat have the same windows, so one of them is looked at and each is marked through its id.
+    near = cut(near.join(gone, "doc", "left"), "near")
+    looked_at = texts.hint("merge").join(near, ["doc", "t"]).dropDuplicates(["doc", "t"])
+    windows = cut(bare_windows(looked_at), "windows")
+    firsts = windows.groupBy("h").agg(F.min(F.struct("doc", "t", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "f")
+    found = windows.join(firsts, "h").select("doc", "t", "pos", "first", "last", "before", "upto", F.col("f.doc").alias("fd"), F.col("f.t").alias("ft"), F.col("f.pos").alias("fp"), (F.col("pos") - F.col("f.pos")).alias("ahead"))
+    # A window that overlaps its source in the same text is no copy.
+    own = F.expr("doc = fd AND t = ft AND ahead = 0")
+    found = found.where(own | F.expr(f"doc <> fd OR t <> ft OR ahead >= {PASSAGE_WORDS}"))
+    # Windows that follow one another in both places have the same distance and the same start.
+    by = ["doc", "t", "fd", "ft", "ahead"]
+    start = F.col("pos") - F.row_number().over(Window.partitionBy(*by).orderBy("pos"))
+    runs = found.withColumn("start", start).groupBy(*by, "start").agg(F.min("pos").alias("pos"), (F.max("pos") - F.min("pos") + PASSAGE_WORDS).alias("n_words"), F.min("first").alias("first"), F.max("last").alias("last"), (F.max("upto") - F.min("before")).alias("bare"))
+    placed = cut(runs.select("doc", "t", "fd", "ft", "pos", (F.col("pos") - F.col("ahead")).alias("fp"), "n_words", "first", (F.col("last") - F.col("first")).alias("n_chars"), "bare", own.alias("own")), "passages")
+    release(chosen, near, windows)
     copies = placed.where((~F.col("own")) & (F.col("bare") >= min_words)).drop("own", "bare")
-    sources = placed.where("own").select(F.col("doc").alias("fd"), F.col("t").alias("ft"), F.col("pos").alias("sp"), F.col("n_words").alias("sn"), F.col("start").alias("ss"), F.col("n_chars").alias("sc"))
+    sources = placed.where("own").select(F.col("doc").alias("fd"), F.col("t").alias("ft"), F.col("pos").alias("sp"), F.col("n_words").alias("sn"), F.col("first").alias("ss"), F.col("n_chars").alias("sc"))
     linked = copies.join(sources, ["fd", "ft"]).where("fp >= sp AND fp + n_words <= sp + sn")
     linked = cut(linked.withColumn("class_id", F.xxhash64("fd", "ft", "sp")), "linked")
     size = linked.groupBy("class_id").agg((F.count(F.lit(1)) + 1).alias("n_class"), F.first(F.struct("fd", "ss", "sc", "sn")).alias("s"))
-    mark = lambda df, doc, start, chars, words, kept: df.select(F.col(doc).alias("doc"), F.lit(None).cast("int").alias("paragraph"), F.col(start).cast("int").alias("start"), F.col(chars).cast("int").alias("n_chars"), F.col(words).cast("int").alias("n_words"), "class_id", F.col(kept[0]).alias("class_doc"), "n_class", F.lit(kept[1]).alias("kept"))
-    return mark(linked.join(size.drop("s"), "class_id"), "doc", "start", "n_chars", "n_words", ("fd", False)).unionByName(mark(size, "s.fd", "s.ss", "s.sc", "s.sn", ("s.fd", True)))
+    mark = lambda df, doc, first, chars, words, kept: df.select(F.col(doc).alias("doc"), F.lit(None).cast("int").alias("paragraph"), F.col(first).cast("int").alias("start"), F.col(chars).cast("int").alias("n_chars"), F.col(words).cast("int").alias("n_words"), "class_id", F.col(kept[0]).alias("class_doc"), "n_class", F.lit(kept[1]).alias("kept"))
+    return mark(linked.join(size.drop("s"), "class_id"), "doc", "first", "n_chars", "n_words", ("fd", False)).unionByName(mark(size, "s.fd", "s.ss", "s.sc", "s.sn", ("s.fd", True)))
 
 
 def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = SHINGLE_WORDS, min_words: int = MIN_WORDS, rows: int = ROWS, recall: float = RECALL, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
@@ -256,6 +238,7 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ((F.col("doc") == F.col("head.doc")) & (F.col("paragraph") == F.col("head.paragraph"))).alias("kept"),
     )
     lines = cut(lines, "lines")
+    release(found, reps, classes)
     return lines.unionByName(passages(plain, lines, min_words)).withColumnRenamed("doc", id_col)
 
 

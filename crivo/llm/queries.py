@@ -36,7 +36,8 @@ def op3_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_dedup(read_table(spark, sf_dir, "documents"))
+    # Lines of fewer than 20 words (headings, notices, menus) are no paragraphs here; line dedup treats them.
+    return paragraph_dedup(read_table(spark, sf_dir, "documents"), min_words=20)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

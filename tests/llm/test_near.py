@@ -50,10 +50,21 @@ def test_gram_counts_equal_plain_intersections():
     assert overlaps(sets, left, right, group).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(left, right, strict=True)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 20, 1000])
+def test_components(spark, small):
     edges = [(k, k + 1) for k in range(1, 60)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200, 205), (205, 203)]
-    found = {r.node: r.component for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = {r.node: r.component for r in C.components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
     assert found == {**{k: 1 for k in range(1, 61)}, 100: 100, 101: 100, 200: 200, 205: 200, 203: 200}
+    assert C.components(spark.createDataFrame([], "a long, b long"), small=small).collect() == []
+
+
+def test_components_of_an_ascending_chain_take_few_rounds(spark, monkeypatch):
+    names, write = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda df, name: names.append(name) or write(df, name))
+    n = 10_000
+    found = C.components(spark.range(n).selectExpr("id AS a", "id + 1 AS b"), small=0)
+    assert found.groupBy("component").count().collect()[0]["count"] == n + 1
+    assert names.count("jumps") <= 14
 
 
 def expected(rows):
