@@ -1,49 +1,51 @@
-"""Language-model scores from a subword lattice.
-
-The model draws tokens one by one: a word, or the end of the text.  A word's probability is the sum over
-all ways to spell it with the pieces of an existing vocabulary, each piece weighted by its unigram score,
-found by a forward recursion in log space; the lattice of a word seen in training has one more arc, the
-whole word.  Whole-word arcs weigh (count - D) / N, and what the discount D takes, D * V / N, is the
-weight of the spelled paths, so all words and the end share one unit of probability.  D is estimated from
-the words seen once and twice.  The vocabulary is given; its scores are learned from all distinct training
-words by expectation maximisation over the same lattices, whose arcs are built once for all rounds.
-
-Texts repeat their words and stay in one language, so the score draws each text from an urn that starts
-with the lattice's probabilities and gets every drawn word once more (a Dirichlet compound).  The plain
-product of lattice probabilities is returned beside it.
-
-How it runs.  Rows of the texts' scan are grouped into blocks; each block gives its distinct words with
-their training counts.  One shuffle by word sums the counts, each distinct word is scored once, and the
-scores return to their blocks, where texts are summed.  Words reach the driver in no form; what does is
-one number a piece of the vocabulary and five totals.
+"""Language-model scores from a subword lattice: the marginal probability of whole texts.
+
+A text is drawn token by token: a word, or the end of the text.  A word's lattice has one arc for each
+piece of an existing vocabulary at each place where it fits, weighted by the piece's unigram score; a
+character that is no piece has an arc over its bytes; the lattice of a word seen in training has one more
+arc, the whole word.  A word's probability is the sum over all paths, found by a forward recursion in log
+space, and a text's is the product over its words and its end, since every path passes the words' bounds.
+
+Pieces that open a word carry the vocabulary's mark and others don't, so the draws of pieces up to the
+next marked one are a word: the spelled words share one unit of probability (or less, where bytes make no
+characters).  Whole-word arcs weigh (count - D) / N, and what the discount D takes, D * V / N, is the
+weight of the spelled paths.  D is estimated from the words seen once and twice.  The vocabulary is given;
+its scores are learned from all distinct training words by expectation maximisation over the lattices.
+
+How it runs.  Texts are written once with the block that each belongs to; each block gives its distinct
+words with their training counts.  One shuffle by word sums the counts, each distinct word is scored once,
+and the scores return to their blocks, where texts are summed.  The lattices of many words are walked
+together, one place at a time, in arrays.  Words reach the driver in no form; what does is one number a
+piece of the vocabulary and five totals.
 
 Defined cases: a null text counts as empty and has one token, the end; a null id takes part in training
-(its text is taken as the empty string); with no training rows all counts are 0 and every piece has the
-same score; repeated rows are scored each; very long words are spelled like any other; an empty table
-gives an empty result; further columns don't matter.
+(its text is taken as the empty string); with no training rows the end and all words share the
+probability by halves and every piece has the same score; repeated rows are scored each; very long words
+are spelled like any other; an empty table gives an empty result; further columns don't matter.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crivo.llm._common import U64, chunks, cut, string_buffers, word_hashes
+from crivo.llm._common import U64, chunks, cut, release, splitmix, string_buffers, word_hashes
 
 MARK = "▁"
 #: Text bytes in a block; a block never reaches over a partition of the scan.
 BLOCK_BYTES = 48 << 20
+#: Bytes of words whose lattices are walked together.
+GROUP_BYTES = 1 << 18
 PIECE_PRIOR = 0.1
 #: Rounds of expectation maximisation over all distinct training words.
 ROUNDS = 4
-#: Size of the urn at a text's start: a word's probability is (its earlier occurrences in the text +
-#: URN * its lattice probability) / (tokens so far + URN).
-URN = 1000.0
-END_HASH = 0
+#: Score of a byte that the vocabulary has no piece for.
+NO_BYTE = -30.0
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -99,171 +101,167 @@ class Words:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, block)), pa.array(self.hashes[a:b].view(np.int64)), text.take(pa.array(self.places[a:b])), pa.array(self.counts[a:b])], names=["block", "h", "word", "n"])
 
 
-def blocks_of(batches: Iterator, partition: int, block_bytes: int):
-    """(block, batch) with the same numbers each time that the same partition is read."""
-    number, held = 0, 0
-    for batch in batches:
-        size = batch.column(batch.num_columns - 1).nbytes
-        if held and held + size > block_bytes:
-            number, held = number + 1, 0
-        held += size
-        yield (partition << 24) + number, batch
-
-
-def word_table(texts: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, h, word, n): the distinct lower-cased words of each block and their training counts."""
+def with_blocks(texts: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, doc, train, text): the rows of each partition in blocks of about ``block_bytes``."""
 
     def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
         from pyspark import TaskContext
 
+        number, held = TaskContext.get().partitionId() << 24, 0
+        for batch in batches:
+            size = batch.column(2).nbytes
+            if held and held + size > block_bytes:
+                number, held = number + 1, 0
+            held += size
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), number)), *batch.columns], names=["block", "doc", "train", "text"])
+
+    return texts.mapInArrow(run, "block long, doc long, train boolean, text string")
+
+
+def word_table(texts: DataFrame) -> DataFrame:
+    """(block, h, word, n): the distinct lower-cased words of each block and their training counts.
+
+    A block that is read in two parts has two rows for the words of both.
+    """
+
+    def run(batches: Iterator) -> Iterator:
         words, current = Words(), None
-        for block, batch in blocks_of(batches, TaskContext.get().partitionId(), block_bytes):
-            if current is not None and block != current:
-                yield from words.rows(current)
-                words = Words()
-            current = block
-            data, offsets = string_buffers(batch.column(batch.num_columns - 1))
-            words.add(lowered(data), offsets, batch.column(1).to_numpy(zero_copy_only=False).astype(bool))
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            for a, b in zip(edges := np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])), np.append(edges[1:], len(blocks)), strict=True):
+                if current is not None and blocks[a] != current:
+                    yield from words.rows(current)
+                    words = Words()
+                current = int(blocks[a])
+                part = batch.slice(a, b - a)
+                data, offsets = string_buffers(part.column(2))
+                words.add(lowered(data), offsets, part.column(1).to_numpy(zero_copy_only=False).astype(bool))
         if current is not None:
             yield from words.rows(current)
 
-    return texts.mapInArrow(run, "block long, h long, word binary, n long")
-
-
-def prefixed(values: dict) -> dict:
-    """``values`` with None under every proper prefix, so that a search knows where to stop."""
-    table = {p[:k]: None for p in values for k in range(1, len(p))}
-    return table | values
+    return texts.select("block", "train", "text").mapInArrow(run, "block long, h long, word binary, n long")
 
 
 class Lattice:
-    """Natural-log probability of words, summed over their segmentations."""
+    """Lattices of many words at once, under natural-log scores of the pieces.
 
-    def __init__(self, pieces: list[str], scores: np.ndarray) -> None:
-        self.table = prefixed({p: float(s) for p, s in zip(pieces, scores, strict=True)})
-        self.bytes = [self.table.get(f"<0x{b:02X}>") or -30.0 for b in range(256)]
-
-    def __call__(self, word: str) -> float:
-        text, find, exp, log = MARK + word, self.table.get, math.exp, math.log
-        n = len(text)
-        arcs: list[list[float]] = [[] for _ in range(n + 1)]
-        reach = 0.0
-        for start in range(n):
-            if start:
-                here = arcs[start]
-                top = max(here)
-                reach = top if len(here) == 1 else top + log(sum([exp(a - top) for a in here]))
-            # A character that is no piece is spelled by its bytes.
-            if find(text[start]) is None:
-                arcs[start + 1].append(reach + sum(self.bytes[b] for b in text[start].encode()))
-            for end in range(start + 1, n + 1):
-                score = find(text[start:end], 0)
-                if score == 0:
-                    break
-                if score is not None:
-                    arcs[end].append(reach + score)
-        here = arcs[n]
-        top = max(here)
-        return top + log(sum([exp(a - top) for a in here]))
-
-
-class Arcs:
-    """The arcs of a word's lattice, which don't depend on the scores: piece, start and end in one number.
-
-    A character that is no piece has one arc over its bytes, with -1 less its code point as the piece.
+    ``pieces`` may hold empty strings, which fit nowhere; ``<0x41>`` and the like stand for bytes.
     """
 
-    #: Words are cut at this many characters, so that a place fits in 8 bits.
-    LONGEST_WORD = 100
-
-    def __init__(self, pieces: list[str]) -> None:
-        self.table = prefixed({p: k for k, p in enumerate(pieces)})
-
-    def __call__(self, word: str) -> list[list[int]]:
-        """One list of arcs, ordered by start, for each part of at most ``LONGEST_WORD`` characters."""
-        most = self.LONGEST_WORD
-        if len(word) > most:
-            return [x for at in range(0, len(word), most) for x in self(word[at : at + most])]
-        text, find, arcs = MARK + word, self.table.get, []
-        n = len(text)
-        for start in range(n):
-            if find(text[start]) is None:
-                arcs.append((-1 - ord(text[start])) << 16 | start << 8 | start + 1)
-            for end in range(start + 1, n + 1):
-                got = find(text[start:end], -1)
-                if got == -1:
-                    break
-                if got is not None:
-                    arcs.append(got << 16 | start << 8 | end)
-        return [arcs]
-
-
-class Expectation:
-    """Expected piece counts of words under the current scores (one step of expectation maximisation)."""
-
-    #: Keeps products of many small numbers in range.
-    LIFT = 20.0
-
     def __init__(self, pieces: list[str], scores: np.ndarray) -> None:
-        self.pieces, self.scores = pieces, np.asarray(scores)
-        self.p = np.exp(self.scores) * self.LIFT ** np.array([len(x) for x in pieces], np.float64)
-        names = {x: k for k, x in enumerate(pieces)}
-        self.byte = [names.get(f"<0x{b:02X}>", 0) for b in range(256)]
-        self.total = np.zeros(len(pieces))
-
-    def add(self, word: str) -> None:
-        for arcs in Arcs(self.pieces)(word):
-            self.add_arcs(np.array(arcs, np.int64), np.array([len(arcs)]))
-
-    def add_arcs(self, arcs: np.ndarray, counts: np.ndarray) -> None:
-        """Add many words at once: their arcs one after another, and how many each has."""
-        if not len(arcs):
-            return
-        name, start, end = arcs >> 16, (arcs >> 8) & 255, arcs & 255
-        first = np.cumsum(counts) - counts
-        n = np.maximum.reduceat(end, first)
-        base = np.cumsum(n + 1) - (n + 1)
-        p = self.p[np.maximum(name, 0)]
+        self.scores = np.asarray(scores, np.float64)
+        self.bytes = np.full(256, -1)
+        tables: list[dict[str, int]] = []
+        for k, p in enumerate(pieces):
+            if byte := re.fullmatch("<0x([0-9A-F]{2})>", p):
+                self.bytes[int(byte[1], 16)] = k
+                continue
+            for n in range(1, len(p) + 1):
+                if n > len(tables):
+                    tables.append({})
+                if n == len(p):
+                    tables[n - 1][p] = k
+                else:
+                    tables[n - 1].setdefault(p[:n], -1)
+        with np.errstate(over="ignore"):
+            self.powers = np.multiply.accumulate(np.concatenate(([U64(1)], np.full(len(tables), 0xD6E8FEB86659FD93, U64))))
+        self.tables = []
+        for n, names in enumerate(tables, 1):
+            codes = np.frombuffer("".join(names).encode("utf-32-le"), "<u4").reshape(len(names), n)
+            with np.errstate(over="ignore"):
+                hashes = (self.mixed(codes) * self.powers[:n]).sum(axis=1, dtype=U64)
+            order = np.argsort(hashes)
+            self.tables.append((hashes[order], np.array(list(names.values()))[order]))
+
+    @staticmethod
+    def mixed(codes: np.ndarray) -> np.ndarray:
+        return splitmix(codes.astype(U64) + U64(0x5151))
+
+    def arcs(self, codes: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(start, end, piece) of all arcs, ordered by their start's place in the word; a byte arc has -1."""
+        n = len(codes)
+        word = np.repeat(np.arange(len(begins)), stops - begins)
+        mixed = self.mixed(codes)
+        inner = codes == ord(MARK)
+        inner[begins] = False
+        mixed[inner] = U64(0x7777)  # a mark inside a word is an ordinary character without a piece
+        stop = stops[word]
+        active, hashes = np.arange(n), np.zeros(n, U64)
+        starts, ends, names, single = [], [], [], np.zeros(n, bool)
+        for size, (known, pieces) in enumerate(self.tables, 1):
+            inside = active + size <= stop[active]
+            active, hashes = active[inside], hashes[inside]
+            if not len(active):
+                break
+            with np.errstate(over="ignore"):
+                hashes = hashes + mixed[active + (size - 1)] * self.powers[size - 1]
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            fits = known[at] == hashes
+            active, hashes, piece = active[fits], hashes[fits], pieces[at[fits]]
+            whole = piece >= 0
+            starts.append(active[whole])
+            ends.append(active[whole] + size)
+            names.append(piece[whole])
+            if size == 1:
+                single[active[whole]] = True
+        spelled = np.flatnonzero(~single)
+        start, end = np.concatenate([*starts, spelled]), np.concatenate([*ends, spelled + 1])
+        name = np.concatenate([*names, np.full(len(spelled), -1)])
+        order = np.lexsort((start, start - begins[word[start]]))
+        return start[order], end[order], name[order], word
+
+    def byte_ids(self, codes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Pieces of the bytes of each distinct character, and which one each of ``codes`` is."""
+        characters, which = np.unique(codes, return_inverse=True)
+        return [self.bytes[list(chr(c).encode("utf-8", "replace"))] for c in characters.tolist()], which
+
+    def walk(self, data: np.ndarray, offsets: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+        """Log probability of every word; with ``total``, expected piece counts are added to it."""
+        if len(offsets) < 2:
+            return np.zeros(0)
+        raw, mark = data.tobytes(), MARK.encode()
+        text = b"".join([mark + raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]).decode("utf-8", "replace")
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        sizes = np.diff(np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]) + 1
+        stops = np.cumsum(sizes)
+        begins = stops - sizes
+        start, end, name, word = self.arcs(codes, begins, stops)
+        score = np.where(name >= 0, self.scores[name], 0.0)
         spelled = np.flatnonzero(name < 0)
-        characters, which = np.unique(-1 - name[spelled], return_inverse=True)
-        several = [[self.byte[b] for b in chr(c).encode("utf-8", "replace")] for c in characters.tolist()]
-        p[spelled] = np.array([math.exp(float(self.scores[k].sum())) * self.LIFT for k in several])[which] if several else 0
-        order = np.argsort(start, kind="stable")
-        bounds = np.searchsorted(start[order], np.arange(int(start.max()) + 2))
-        at = np.repeat(base, counts)
-        left, right, chance = (at + start)[order], (at + end)[order], p[order]
-        ahead = np.zeros(int(base[-1] + n[-1]) + 1)
-        ahead[base] = 1.0
+        ids, which = self.byte_ids(codes[start[spelled]])
+        if len(spelled):
+            score[spelled] = np.array([np.where(k >= 0, self.scores[k], NO_BYTE).sum() for k in ids])[which]
+        # Each word has one node more than characters.
+        of = word[start]
+        left, right = start + of, end + of
+        first, last = begins + np.arange(len(begins)), stops + np.arange(len(begins))
+        ahead = np.full(len(codes) + len(begins), -np.inf)
+        ahead[first] = 0.0
+        place = start - begins[of]
+        bounds = np.searchsorted(place, np.arange(int(place[-1]) + 2)).tolist()
         # Arcs of one start reach different places, so none is added to twice here.
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            ahead[right[a:b]] += ahead[left[a:b]] * chance[a:b]
-        whole = ahead[base + n]
-        good = (whole > 0.0) & (whole < math.inf)
-        back = np.zeros(len(ahead))
-        back[(base + n)[good]] = 1.0 / whole[good]
+            ahead[right[a:b]] = np.logaddexp(ahead[right[a:b]], ahead[left[a:b]] + score[a:b])
+        found = ahead[last]
+        if total is None:
+            return found
+        back = np.full(len(ahead), -np.inf)
+        back[last] = -found
         for a, b in zip(bounds[-2::-1], bounds[:0:-1], strict=True):
-            np.add.at(back, left[a:b], chance[a:b] * back[right[a:b]])
-        ahead[~np.repeat(good, n + 1)] = 0.0
-        flow = np.empty(len(arcs))
-        flow[order] = ahead[left] * chance * back[right]
+            same = np.flatnonzero(np.append(True, left[a + 1 : b] != left[a : b - 1]))
+            back[left[a:b][same]] = np.logaddexp.reduceat(score[a:b] + back[right[a:b]], same)
+        flow = np.exp(ahead[left] + score + back[right])
         known = name >= 0
-        self.total += np.bincount(name[known], flow[known], len(self.total))
-        for k, x in zip(several, np.bincount(which, flow[spelled], len(several)).tolist(), strict=True):
-            np.add.at(self.total, k, x)
-
-
-def lattices(words: DataFrame, pieces: list[str]) -> DataFrame:
-    """(arcs): one array for each word, built once for all rounds."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        build = Arcs(pieces)
-        for batch in batches:
-            found = [x for w in batch.column(0).to_pylist() for x in build(w.decode("utf-8", "replace"))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], names=["arcs"])
+        total += np.bincount(name[known], flow[known], len(total))
+        for k, x in zip(ids, np.bincount(which, flow[spelled], len(ids)).tolist(), strict=True):
+            np.add.at(total, k[k >= 0], x)
+        return found
 
-    return words.mapInArrow(run, "arcs array<long>")
+    def many(self, column, total: np.ndarray | None = None) -> np.ndarray:
+        """The same for an Arrow array of words, walked in bounded groups."""
+        data, offsets = string_buffers(column)
+        return np.concatenate([np.zeros(0), *(self.walk(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], total) for a, b in chunks(offsets, GROUP_BYTES))])
 
 
 def segmented(words: DataFrame, model_file: str) -> DataFrame:
@@ -293,100 +291,74 @@ def learn_scores(words: DataFrame, pieces: list[str], model_file: str, rounds: i
     often it stands in the texts.  The start is the vocabulary's own segmentation.
     """
     distinct = words.where("c > 0").select("word")
+    fits = np.array([bool(p) for p in pieces])
 
     def scores_of(counted: DataFrame) -> np.ndarray:
         weight = np.full(len(pieces), PIECE_PRIOR)
         for row in counted.groupBy("piece").agg(F.sum("n").alias("n")).collect():
             weight[row["piece"]] += row["n"]
+        weight = np.where(fits, weight, 1e-300)
         return np.log(weight / weight.sum())
 
     scores = scores_of(segmented(distinct, model_file))
-    spelled = cut(lattices(distinct, pieces), "lattices") if rounds else None
     for _ in range(rounds):
 
         def run(batches: Iterator, scores=scores) -> Iterator:
             import pyarrow as pa
 
-            step = Expectation(pieces, scores)
+            lattice, total = Lattice(pieces, scores), np.zeros(len(pieces))
             for batch in batches:
-                lists = batch.column(0)
-                step.add_arcs(lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()).astype(np.int64))
-            some = np.flatnonzero(step.total)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(step.total[some])], names=["piece", "n"])
+                lattice.many(batch.column(0), total)
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["piece", "n"])
 
-        scores = scores_of(spelled.mapInArrow(run, "piece int, n double"))
+        scores = scores_of(distinct.mapInArrow(run, "piece int, n double"))
     return scores
 
 
-def urn_terms(rows: np.ndarray, at: np.ndarray, lp: np.ndarray, urn: float) -> np.ndarray:
-    """log10(earlier occurrences in the same text + urn * probability) of every token."""
-    order = np.argsort(rows * np.int64(len(lp)) + at, kind="stable")
-    new = np.ones(len(at), bool)
-    new[1:] = (rows[order][1:] != rows[order][:-1]) | (at[order][1:] != at[order][:-1])
-    starts = np.flatnonzero(new)
-    earlier = np.empty(len(at), np.int64)
-    earlier[order] = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
-    first = math.log10(urn) + lp[at]
-    return np.where(earlier > 0, np.log10(np.maximum(earlier, 1) + urn * np.power(10.0, lp[at])), first)
-
-
 def vocabulary(model_file: str) -> list[str]:
+    """Pieces by id; those that stand for no text (control pieces, the unknown one) are empty."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    return [model.id_to_piece(k) for k in range(model.get_piece_size())]
+    return ["" if model.is_control(k) or model.is_unknown(k) or model.is_unused(k) else model.id_to_piece(k) for k in range(model.get_piece_size())]
 
 
-def lattice_scores(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, rounds: int = ROUNDS, urn: float = URN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row a document: id, held_out, n_tokens, n_known, train_tokens, base_score, score and
-    lattice_score (log10 probabilities, with and without adaptation to the text)."""
+def lattice_scores(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row a document: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of
+    the text's probability, summed over all segmentations)."""
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), (fold != held_fold).alias("train"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    table = cut(word_table(texts, block_bytes), "block_words")
-    by_word = table.repartition("h")
-    words = cut(by_word.groupBy("h").agg(F.first("word").alias("word"), F.sum("n").alias("c")), "words")
+    plain = docs.select(F.col(id_col).cast("long").alias("doc"), (fold != held_fold).alias("train"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = cut(with_blocks(plain, block_bytes), "texts")
+    table = cut(word_table(texts), "block_words")
+    words = cut(table.groupBy("h").agg(F.first("word").alias("word"), F.sum("n").alias("c")), "words")
     ends = texts.where("train").count()
     facts = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum((F.col("c") == 1).cast("long")), F.lit(0)).alias("once"), F.coalesce(F.sum((F.col("c") == 2).cast("long")), F.lit(0)).alias("twice")).first()
     n, v = facts["n"] + ends, facts["v"] + (ends > 0)
     once, twice = facts["once"] + (ends == 1), facts["twice"] + (ends == 2)
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
-    spelled = math.log(discount * v / n) if n else 0.0
-
-    # A word opens with a marked piece, so the first draw is normalised over the marked pieces.
+    # Without training texts the spelled words and the end share the probability.
+    spelled = math.log(discount * v / n) if n else math.log(0.5)
+    end_score = math.log10((ends - discount) / n) if n else math.log10(0.5)
     pieces = vocabulary(model_file)
     scores = learn_scores(words, pieces, model_file, rounds)
-    opening = -math.log(sum(math.exp(x) for x, p in zip(scores, pieces, strict=True) if p.startswith(MARK)))
-    # The end is a token like a word; as a new token it would be one of V.
-    end_spelled = -math.log(v + 1)
-
-    def both(count: int, path: float) -> float:
-        """log10 of the whole-word arc and the spelled paths together."""
-        path += spelled
-        whole = math.log((count - discount) / n) if count > 0 else -math.inf
-        top = max(path, whole)
-        return (top + math.log(math.exp(path - top) + math.exp(whole - top))) / math.log(10)
 
     def weigh(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         lattice = Lattice(pieces, scores)
         for batch in batches:
-            counts = batch.column(2).to_pylist()
-            found = [both(c, lattice(w.decode("utf-8", "replace")) + opening) for w, c in zip(batch.column(1).to_pylist(), counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(found, pa.float64())], names=["h", "c", "lp"])
+            counts = batch.column(2).to_numpy()
+            with np.errstate(divide="ignore"):
+                whole = np.log(np.where(counts > 0, counts - discount, 0.0) / max(n, 1))
+            found = np.logaddexp(lattice.many(batch.column(1)) + spelled, whole) / math.log(10)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found)], names=["h", "c", "lp"])
 
     weighed = cut(words.select("h", "word", "c").mapInArrow(weigh, "h long, c long, lp double"), "weighed")
-    answers = by_word.select("block", "h").join(weighed.hint("merge"), "h")
-    end_score = both(ends, end_spelled)
+    answers = cut(table.select("block", "h").join(weighed.hint("merge"), "h").select("block", "h", "c", "lp"), "answers")
+    release(table, words, weighed)
     bottom = n + v + 1
 
-    def placed(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        for block, batch in blocks_of(batches, TaskContext.get().partitionId(), block_bytes):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), block)), *batch.columns], names=["block", "doc", "train", "text"])
-
     def total_up(key, left, right):
         import pyarrow as pa
 
@@ -396,24 +368,14 @@ def lattice_scores(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
         c = right.column("c").combine_chunks().to_numpy()[order]
         lp = right.column("lp").combine_chunks().to_numpy()[order]
         base = np.log10((c + 1) / bottom)
-        parts = []
+        parts = [np.zeros((4, 0))]
         for chunk in left.column("text").chunks:
             data, offsets = string_buffers(chunk)
-            data = lowered(data)
             for a, b in chunks(offsets):
-                hashes, rows = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                if not len(hashes):
-                    parts.append([np.zeros(b - a)] * 5)
-                    continue
+                hashes, rows = word_hashes(lowered(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a])
                 at = np.searchsorted(h, hashes)
-                if at.max() >= len(h) or not (h[at] == hashes).all():
-                    raise RuntimeError("the documents changed between two readings: a block has words that it didn't have")
-                adapted = np.bincount(rows, urn_terms(rows, at, lp, urn), b - a)
-                parts.append([np.bincount(rows, minlength=b - a), np.bincount(rows, c[at] > 0, b - a), np.bincount(rows, base[at], b - a), np.bincount(rows, lp[at], b - a), adapted])
-        tokens, known, base_sum, plain, adapted = (np.concatenate([p[k] for p in parts]) for k in range(5))
-        # The draws of a text's words and its end, divided by the growing size of the urn.
-        sizes = np.concatenate(([0.0], np.cumsum(np.log10(np.arange(int(tokens.max(initial=0)) + 1) + urn))))
-        adapted += end_score + math.log10(urn) - sizes[tokens.astype(np.int64) + 1]
+                parts.append(np.stack([np.bincount(rows, x, b - a) for x in (None, c[at] > 0, base[at], lp[at])]))
+        tokens, known, base_sum, marginal = np.concatenate(parts, axis=1)
         return pa.table(
             {
                 "doc": left.column("doc"),
@@ -421,12 +383,10 @@ def lattice_scores(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
                 "n_tokens": pa.array(tokens.astype(np.int64) + 1),
                 "n_known": pa.array(known.astype(np.int64) + int(ends > 0)),
                 "base_score": pa.array(base_sum + math.log10((ends + 1) / bottom)),
-                "score": pa.array(adapted),
-                "lattice_score": pa.array(plain + end_score),
+                "score": pa.array(marginal + end_score),
             }
         )
 
-    rows = texts.mapInArrow(placed, "block long, doc long, train boolean, text string")
-    schema = "doc long, held_out boolean, n_tokens long, n_known long, base_score double, score double, lattice_score double"
-    summed = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(total_up, schema)
-    return summed.select(F.col("doc").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "lattice_score")
+    schema = "doc long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    summed = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(total_up, schema)
+    return summed.select(F.col("doc").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,4 +1,6 @@
+import functools
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -234,45 +236,92 @@ def test_base_scores(docs, odd_docs, no_docs):
     for table in (docs, odd_docs):
         got = lattice_lm.lattice_scores(table, PIECES).collect()
         assert sorted(((r.doc_id is not None, r.doc_id or 0), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-        assert all(r.score < 0 and math.isfinite(r.score) and math.isfinite(r.lattice_score) for r in got)
+        assert all(r.score < 0 and math.isfinite(r.score) for r in got)
     assert lattice_lm.lattice_scores(no_docs, PIECES).collect() == []
 
 
-def test_lattice_sums_all_segmentations():
-    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "<0xC3>", "<0xA9>"]
-    scores = np.log(np.array([0.1, 0.2, 0.15, 0.15, 0.1, 0.1, 0.1, 0.1]))
-    p = dict(zip(pieces, np.exp(scores), strict=True))
+def bytes_of(words):
+    data = b"".join(w.encode() for w in words)
+    return np.frombuffer(data, np.uint8), np.cumsum([0, *(len(w.encode()) for w in words)])
+
 
-    def all_ways(text):
-        if not text:
-            return 1.0
-        total = sum(p[x] * all_ways(text[len(x) :]) for x in p if text.startswith(x))
-        return total + (p["<0xC3>"] * p["<0xA9>"] * all_ways(text[1:]) if text[0] == "é" else 0)
+@functools.cache
+def places(pieces):
+    """Ids of the pieces that are text, and of all pieces."""
+    return {x: k for k, x in enumerate(pieces) if x and not re.fullmatch("<0x..>", x)}, {x: k for k, x in enumerate(pieces)}
 
-    lattice = lattice_lm.Lattice(pieces, scores)
-    for word in ("a", "ab", "abab", "aabb", "éab"):
-        assert math.isclose(lattice(word), math.log(all_ways("▁" + word)), rel_tol=1e-12)
-    step = lattice_lm.Expectation(pieces, scores)
-    step.add("abab")
-    assert math.isclose(sum(step.total[k] * len(x) for k, x in enumerate(pieces) if not x.startswith("<")), 5, rel_tol=1e-9)
 
+def plain_lattice(pieces, p, word):
+    """(probability, expected counts) of a word by trying every arc, in plain probabilities."""
+    text, (index, spell) = "▁" + word, places(tuple(pieces))
+    arcs = []
+    for i in range(len(text)):
+        inner = text[i] == "▁" and i
+        arcs += [(i, j, [index[text[i:j]]]) for j in range(i + 1, len(text) + 1) if text[i:j] in index and "▁" not in text[max(i, 1) : j]]
+        if inner or text[i] not in index:
+            arcs.append((i, i + 1, [spell[f"<0x{b:02X}>"] for b in text[i].encode()]))
+    ahead, back = [1.0] + [0.0] * len(text), [0.0] * len(text) + [1.0]
+    for i, j, ks in sorted(arcs):
+        ahead[j] += ahead[i] * math.prod(p[k] for k in ks)
+    for i, j, ks in sorted(arcs, reverse=True):
+        back[i] += back[j] * math.prod(p[k] for k in ks)
+    counts = Counter()
+    for i, j, ks in arcs:
+        for k in ks:
+            counts[k] += ahead[i] * math.prod(p[x] for x in ks) * back[j] / ahead[-1]
+    return ahead[-1], counts
 
-def test_rounds_over_stored_arcs_raise_the_likelihood():
+
+def test_lattice_sums_all_segmentations():
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "", *(f"<0x{b:02X}>" for b in range(256))]
+    dice = np.random.default_rng(5)
+    p = dice.random(len(pieces))
+    p /= p.sum()
+    lattice = lattice_lm.Lattice(pieces, np.log(p))
+    words = ["a", "ab", "abab", "aabb", "éab", "a▁b", "<0x41>", "漢" * 30, "q"]
+    total = np.zeros(len(pieces))
+    found = lattice.walk(*bytes_of(words), total)
+    want = [plain_lattice(pieces, p, w) for w in words]
+    assert np.allclose(found, np.log([x for x, _ in want]), rtol=1e-10)
+    assert np.allclose(total, [sum(c[k] for _, c in want) for k in range(len(pieces))])
+    assert np.isfinite(lattice.walk(*bytes_of(["ab" * 5000, "漢" * 3000]))).all()
+
+
+def test_spelled_words_share_one_unit():
+    lattice = lattice_lm.Lattice(["▁a", "b"], np.log([0.5, 0.5]))
+    assert math.isclose(np.exp(lattice.walk(*bytes_of(["a" + "b" * k for k in range(50)]))).sum(), 1)
+    pieces, p = ["▁", "▁a", "a", "b", "ab"], np.array([0.3, 0.1, 0.2, 0.2, 0.2])
+    words = [""] + ["".join(w) for n in range(1, 12) for w in itertools.product("ab", repeat=n)]
+    assert 0.9 < np.exp(lattice_lm.Lattice(pieces, np.log(p)).walk(*bytes_of(words))).sum() <= 1
+
+
+def test_scores_equal_brute_force(spark):
+    import sentencepiece
+
+    rows = [(k, prose(k, 30 + k) + (" Héé 漢字 </s> <0x41> a▁b" if k % 4 == 0 else "")) for k in range(24)] + [(30, ""), (31, None), (32, "zzq zzq")]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    texts = {i: [w.decode() for w in low_words(t)] for i, t in rows}
+    counts = Counter(w for i, ws in texts.items() if i not in held for w in ws)
+    ends = len(rows) - len(held)
+    n, v = sum(counts.values()) + ends, len(counts) + 1
+    once, twice = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+    discount = min(0.95, max(0.05, once / (once + 2 * twice)))
     pieces = lattice_lm.vocabulary(PIECES)
-    plain = sorted(set(prose(1, 300).split()))
-    words = [*plain, "héé", "漢字x", "a" * 250, "q"]
-    found = [x for w in words for x in lattice_lm.Arcs(pieces)(w)]
-    scores, likelihood = np.full(len(pieces), -math.log(len(pieces))), []
-    for _ in range(4):
-        likelihood.append(sum(map(lattice_lm.Lattice(pieces, scores), plain)))
-        one, many = lattice_lm.Expectation(pieces, scores), lattice_lm.Expectation(pieces, scores)
-        for w in words:
-            one.add(w)
-        many.add_arcs(np.array([a for x in found for a in x]), np.array([len(x) for x in found]))
-        assert np.allclose(one.total, many.total) and many.total.sum() > len(words)
-        weight = many.total + lattice_lm.PIECE_PRIOR
-        scores = np.log(weight / weight.sum())
-    assert lattice_lm.ROUNDS >= 4 and likelihood[0] < likelihood[1] < likelihood[3]
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    total = Counter(k for w in counts for k in model.encode(w))
+    for turn in range(lattice_lm.ROUNDS + 1):
+        weight = np.array([total[k] + lattice_lm.PIECE_PRIOR if p else 1e-300 for k, p in enumerate(pieces)])
+        p = (weight / weight.sum()).tolist()
+        if turn < lattice_lm.ROUNDS:
+            total = Counter()
+            for w in counts:
+                total.update(plain_lattice(pieces, p, w)[1])
+    chance = {w: (counts[w] - discount) / n * (counts[w] > 0) + discount * v / n * plain_lattice(pieces, p, w)[0] for ws in texts.values() for w in ws}
+    assert sum(chance[w] for w in counts) + (ends - discount) / n <= 1
+    got = {r.doc_id: r for r in lattice_lm.lattice_scores(spark.createDataFrame(rows, "doc_id long, text string"), PIECES).collect()}
+    assert lattice_lm.ROUNDS == 4 and {i for i, r in got.items() if r.held_out} == held and held
+    for i, ws in texts.items():
+        assert math.isclose(got[i].score, sum(math.log10(chance[w]) for w in ws) + math.log10((ends - discount) / n), rel_tol=1e-6)
 
 
 def test_held_out_text_of_the_language_beats_noise(spark):
