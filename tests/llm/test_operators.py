@@ -25,45 +25,85 @@ PIECES, IDS, RANKS = P.path("piece_bpe_32k.model"), P.path("byte_bpe_50k.json"),
 # --- 1: mixing ---
 
 
-def test_mixture_meets_budgets(spark):
+def weights_by_hand(totals, exponent):
+    everything = sum(totals.values())
+    power = {s: (n / everything) ** exponent for s, n in totals.items()}
+    return {s: x / sum(power.values()) for s, x in power.items()}
+
+
+def bisected(fits, low, high):
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if fits(middle) else (middle, high)
+    return high
+
+
+def entropy(weights):
+    return -sum(x * math.log(x) for x in weights.values()) / math.log(len(weights))
+
+
+def test_mixture_equals_brute_force(spark):
+    from pyspark.sql import functions as F
+
     rows = [(k, prose(k, 20 + k % 50), "abc"[min(2, k % 7 // 3)]) for k in range(400)]
-    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n", F.lit(1))
+    encode = packing.Encoder(IDS, RANKS)
+    sizes = {i: len(encode(t)) for i, t, _ in rows}
     totals = Counter()
-    for _, t, s in rows:
-        totals[s] += len(t.split())
-    for options in ({"max_repeats": 1.5}, {"target_entropy": 0.97}, {"budget_tokens": 3 * sum(totals.values()), "max_repeats": 4.0}):
-        got = mixing.mix_sources(table, block_tokens=300, **options).collect()
-        budget = options.get("budget_tokens", sum(totals.values()))
-        read = Counter()
-        for r in got:
-            read[r.source] += r.n_tokens
-        if "target_entropy" in options:
-            w = [x / sum(read.values()) for x in read.values()]
-            assert abs(-sum(x * math.log(x) for x in w) / math.log(3) - 0.97) < 0.01
-        else:
-            assert all(read[s] <= options["max_repeats"] * totals[s] + 70 for s in totals)
-        assert abs(sum(read.values()) - budget) < 3 * 70
-        assert max(Counter((r.doc_id, r.pass_no) for r in got).values()) == 1
+    for i, _, s in rows:
+        totals[s] += sizes[i]
+    everything = sum(totals.values())
+    repeats = lambda w, longest: max(w[s] * longest / totals[s] for s in totals)
+    once = lambda w: max(totals[s] / w[s] for s in totals)
+    natural = entropy(weights_by_hand(totals, 1))
+    cases = [
+        ({"max_repeats": 1.5}, lambda a: repeats(weights_by_hand(totals, a), once(weights_by_hand(totals, a))) <= 1.5, 1),
+        ({"max_repeats": 1.2, "budget_tokens": everything}, lambda a: repeats(weights_by_hand(totals, a), everything) <= 1.2, 1),
+        ({"target_entropy": (1 + natural) / 2, "max_repeats": 4.0}, lambda a: entropy(weights_by_hand(totals, a)) <= (1 + natural) / 2, 8),
+        ({"target_entropy": natural - 0.1}, lambda a: entropy(weights_by_hand(totals, a)) <= natural - 0.1, 8),
+    ]
+    for options, fits, steepest in cases:
+        exponent = bisected(fits, 0, steepest)
+        assert 0.01 < abs(exponent - 1) and 0 < exponent < 8
+        weights = weights_by_hand(totals, exponent)
+        longest = options.get("budget_tokens", once(weights))
+        got = mixing.mix_sources(table, IDS, RANKS, block_tokens=300, **options).collect()
         by = defaultdict(list)
         for r in got:
-            by[r.source].append((r.at, r.n_tokens))
-        for spans in by.values():
-            spans.sort()
-            assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False))
+            assert r.n_tokens == sizes[r.doc_id] and math.isclose(r.weight, weights[r.source], rel_tol=1e-6)
+            by[r.source].append(r)
+        for source, read in by.items():
+            budget = weights[source] * longest
+            assert budget - 1 <= sum(r.n_tokens for r in read) <= budget + max(sizes.values())
+            assert max(Counter((r.doc_id, r.pass_no) for r in read).values()) == 1
+            read.sort(key=lambda r: r.at)
+            assert all(x.at + x.n_tokens == y.at and (x.pass_no, x.block) <= (y.pass_no, y.block) for x, y in zip(read, read[1:], strict=False))
+            first = [r.doc_id for r in read if r.pass_no == 1]
+            assert len({r.block for r in read}) > 2 and first != sorted(first)
+            if "budget_tokens" not in options:
+                assert len(first) == sum(s == source for _, _, s in rows)
+
+
+def test_mixture_says_what_it_cannot_meet(spark):
+    rows = [(k, "a b c", "ab"[k > 0]) for k in range(100)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for options in ({"max_repeats": 4.0, "target_entropy": 0.99}, {"max_repeats": 2.0, "budget_tokens": 10**4}):
+        with pytest.raises(ValueError):
+            mixing.mix_sources(table, **options)
+    even = spark.createDataFrame([(k, "a b c", "ab"[k % 2]) for k in range(10)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError):
+        mixing.mix_sources(even, target_entropy=0.5)
 
 
-def test_mixing_odd_tables(docs, odd_docs, no_docs):
+def test_mixing_odd_tables(docs, odd_docs, no_docs, spark):
     assert mixing.mix_sources(no_docs).collect() == []
     read = mixing.mix_sources(docs, max_repeats=1.0).collect()
-    assert {r.source for r in read} >= {"a", "b", "c"}
+    assert sorted(str(r.doc_id) for r in read) == sorted(str(i) for i, *_ in documents())
     assert len(mixing.mix_sources(odd_docs, max_repeats=1.0, keep=tuple(odd_docs.columns)).collect()) == len(read)
-
-
-def test_blank_documents_have_no_tokens(spark):
-    t = spark.createDataFrame([("",), (None,), (" \n",), ("a",), (" a  b\nc ",)], "x string")
-    from pyspark.sql import functions as F
-
-    assert [r.n for r in t.select(mixing.token_estimate(F.col("x")).alias("n")).collect()] == [0, 0, 0, 1, 3]
+    blank = spark.createDataFrame([(1, "", "a"), (2, None, "a"), (3, "b", None)], "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in mixing.mix_sources(blank, IDS, RANKS, max_repeats=2.0).collect()) == [1, 2, 3]
+    alike = spark.createDataFrame([(None, "same words here", "a")] * 400, "doc_id long, text string, source string")
+    assert len({r.block for r in mixing.mix_sources(alike, block_tokens=300).collect()}) > 10
 
 
 # --- 2: token counts ---
@@ -96,22 +136,24 @@ def test_safe_cuts(text):
 
 
 def test_line_dedup_sql(spark):
-    d = "/root/testdata/sf0.001"
+    d = "/root/testdata/sf0.01"
     duckdb_rows = duckdb.connect()
     duckdb_rows.sql(f"CREATE VIEW pages AS SELECT * FROM '{d}/pages.parquet'")
     want = duckdb_rows.sql(queries.ORACLE_SQL["op3_site_line_dedup"]).df()
     got = queries.op3_site_line_dedup(spark, d).toPandas()
     key = lambda df: sorted(map(tuple, df[sorted(want.columns)].astype(str).values.tolist()))
-    assert key(got) == key(want)
+    assert key(got) == key(want) and got.n_dropped.sum() > 0
 
 
 def test_line_dedup_by_host(spark):
     rows = [(k, f"http://h.org/{k}", f"<p>menu</p><p>own line {k}</p><div>{'twice' if k < 3 else 'x' + str(k)}</div>") for k in range(40)]
+    rows += [(200 + k, "http://few.org", f"<p>{'often' if k < 3 else 'seldom'}</p><p>{'pair' if k < 2 else k}</p>") for k in range(5)]
     rows += [(100, "http://u@H.org:80/z", "<li>menu</li>&amp;lt;<script>menu</script>"), (101, None, None), (102, "nowhere", ""), (None, "http://small.org", "<p>menu</p>")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r for r in line_dedup.page_line_dedup(table).collect()}
     assert got[5].text.split() == ["own", "line", "5", "x5"] and got[5].n_dropped == 1
     assert "twice" in got[1].text
+    assert [got[200 + k].n_dropped for k in range(5)] == [1, 1, 1, 0, 0] and "pair" in got[200].text
     assert got[100].host == "h.org" and got[100].n_dropped == 1 and got[100].text.strip() == "&lt;"
     assert got[101].text is None and got[101].n_lines == 0 and got[102].text == ""
     assert got[None].n_dropped == 0
@@ -121,7 +163,7 @@ def test_line_dedup_by_host(spark):
 def test_line_dedup_carries_columns(odd_docs):
     from pyspark.sql import functions as F
 
-    out = line_dedup.drop_site_lines(odd_docs, F.col("source"), "text", ratio=0.3, min_pages=2)
+    out = line_dedup.drop_site_lines(odd_docs, F.col("source"), "text", ratio=0.3, min_held=2)
     assert out.columns[: len(odd_docs.columns)] == odd_docs.columns and len(out.columns) == len(odd_docs.columns) + 2
     assert out.count() == odd_docs.count()
 
@@ -362,13 +404,13 @@ def test_quality_counts(spark, docs, odd_docs, no_docs, labels):
 def test_quality_ratio_equals_brute_force(spark):
     rows = [(k, prose(k, 60)) for k in range(30)] + [(100 + k, " ".join(f"z{j * k % 13}%%" for j in range(60))) for k in range(30)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 30, 2)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 30, 2)] + [(1, 1, 1)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality.quality_rules(table, labels).collect()}
-    feats = {r.doc_id: r.f for r in table.select("doc_id", quality.features(quality.words_of(table.text)).alias("f")).collect()}
+    feats = {r.doc_id: r.f for r in table.select("doc_id", quality.features(quality.hashed(quality.words_of(table.text))).alias("f")).collect()}
     raw = Counter(b for f in feats.values() for b in f)
     target = Counter(b for k in range(0, 30, 2) for b in feats[k])
     scale = sum(target.values()) / sum(raw.values())
-    ratio = {b: round(1e6 * math.log((target[b] + 4) / (raw[b] * scale + 4))) for b in raw}
+    ratio = {b: round(1e6 * math.log((target[b] + 16) / (raw[b] * scale + 16))) for b in raw}
     assert all(len(f) == 119 for f in feats.values())
     assert all(math.isclose(got[k].llr, sum(ratio[b] for b in f) / len(f) / 1e6, abs_tol=1e-9) for k, f in feats.items())
     assert all(got[k].llr > quality.THRESHOLD > got[100 + k].llr for k in range(30))
@@ -391,13 +433,17 @@ def test_windows(spark, budget, history):
     for conv in range(8):
         roles = (["system"] if conv % 2 else []) + ["user", "assistant"] * (conv * 3)
         rows += [(conv, k, r, prose(conv * 100 + k, 1 + (k * 7) % 30)) for k, r in enumerate(roles)]
-    rows += [(50, 0, "user", None), (50, 0, "user", None), (50, None, None, "x"), (None, 1, "assistant", "</s><|a|>\\"), (51, 3, "system", "late"), (51, 1, "assistant", "a\\n")]
+    rows += [(50, 0, "user", None), (50, 0, "user", None), (50, None, None, "x"), (None, 1, "assistant", "</s><|a|>\\"), (None, 1, "user", "q"), (51, 3, "system", "late"), (51, 1, "assistant", "a\\n")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS conv", "2 AS tokens", "3 AS window")
     windows = chat.format_chats(table, budget=budget, history=history)
-    got = {r.conv_id: r for r in chat.read_back(windows).collect()}
+    back = chat.read_back(windows).collect()
+    assert sorted(back, key=str) == sorted(chat.read_back(windows, dealt=True).collect(), key=str)
+    got = {r.conv_id: r for r in back if r.conv_id is not None}
     by = defaultdict(list)
     for c, t, r, x in rows:
         by[c].append(((t is not None, t or 0), r or "", x or ""))
+    lone = [hashlib.sha256(f"{r}\n{x}\n".encode()).hexdigest() for _, r, x in by.pop(None)]
+    assert sorted((r.n_turns, r.turns_sha256) for r in back if r.conv_id is None) == sorted((1, x) for x in lone)
     assert set(got) == set(by)
     for c, turns in by.items():
         turns.sort()
@@ -413,3 +459,19 @@ def test_windows(spark, budget, history):
         if w.window and w.conv_id is not None and w.conv_id < 50 and w.conv_id % 2:
             assert turns[0][0] == "system" and w.n_repeated >= 1
     assert chat.read_back(chat.format_chats(table.limit(0))).collect() == []
+
+
+def test_windows_hold_the_vocabulary_s_tokens(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = [(conv, k, ["user", "assistant"][k % 2], prose(conv * 100 + k, 5 + (k * 11) % 60)) for conv in range(3) for k in range(12)]
+    windows = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), PIECES, budget=200, history=80).collect()
+    texts = {x for *_, x in rows}
+    assert len(windows) > 6
+    for w in windows:
+        turns = chat.parse(w.formatted)
+        cost = [len(model.encode(x)) + chat.TURN_TOKENS for _, x, _, _ in turns]
+        assert {x for _, x, _, _ in turns} <= texts
+        assert sum(cost) <= 200 or len(turns) == w.n_repeated + 1 == 1
+        assert sum(cost[: w.n_repeated]) <= 80
