@@ -1,13 +1,14 @@
 """Line dedup by site-relative frequency: lines that stand on too many of a host's pages are dropped.
 
 A line's ratio is the number of the host's pages that hold it (once or more) over the number of the
-host's pages.  Lines above ``ratio`` are boilerplate, on hosts with at least ``min_pages`` pages, since
-on smaller ones a single page is already a large part.  Lines are compared without surrounding white
-space; blank lines are kept as they are and counted nowhere.
+host's pages.  Lines above ``ratio`` that stand on ``min_held`` pages or more are boilerplate: on a small
+host one page, or a page and its copy, is already a large part.  Lines are compared without surrounding
+white space; blank lines are kept as they are and counted nowhere.
 
 Counting takes one row for each distinct line of a page, summed on the scan's side first.  A host has at
 most (lines a page / ratio) boilerplate lines, whatever its size, so they fit in one array a host, and
-pages meet that array in a join by host; a host with a third of all pages is dealt over ``SALTS`` keys.
+pages meet that array in a join by host.  That join is always shuffled and left to Spark's skew handling,
+which reads the pages of a large host in as many tasks as its size asks for.
 
 Defined cases: a null text stays null and has no lines; a null host is a host of its own; rows that
 repeat are pages each; a page that loses all lines keeps an empty text; an empty table gives an empty
@@ -22,8 +23,7 @@ from pyspark.sql import functions as F
 from crivo.llm._common import free_name
 
 RATIO = 0.1
-MIN_PAGES = 30
-SALTS = 32
+MIN_HELD = 3
 TRIMMED = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 #: Elements that end a line of text, and entities that stand for one character (fixed values).
 BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
@@ -50,17 +50,15 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.regexp_replace(line, TRIMMED, ""))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(pages: DataFrame, text: str, ratio: float, min_held: int) -> DataFrame:
     """(host_key, boilerplate): hashes of the lines above the ratio, for hosts that have any."""
-    totals = pages.groupBy("host_key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    totals = pages.groupBy("host_key").agg(F.count(F.lit(1)).alias("pages"))
     lines = F.array_distinct(F.transform(F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), line_key))
-    held = pages.select("host_key", F.explode(lines).alias("line")).groupBy("host_key", "line").agg(F.count(F.lit(1)).alias("held"))
-    # A line below this count is below the ratio on every host that is large enough.
-    often = held.where(F.col("held") > ratio * min_pages)
-    return often.join(totals, "host_key").where(F.col("held") > ratio * F.col("pages")).groupBy("host_key").agg(F.sort_array(F.collect_list("line")).alias("boilerplate"))
+    held = pages.select("host_key", F.explode(lines).alias("line")).groupBy("host_key", "line").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= min_held)
+    return held.join(totals, "host_key").where(F.col("held") > ratio * F.col("pages")).groupBy("host_key").agg(F.sort_array(F.collect_list("line")).alias("boilerplate"))
 
 
-def drop_site_lines(pages: DataFrame, host: Column, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True) -> DataFrame:
+def drop_site_lines(pages: DataFrame, host: Column, text_col: str, ratio: float = RATIO, min_held: int = MIN_HELD, counts: bool = True) -> DataFrame:
     """``pages`` with boilerplate lines taken out of ``text_col``.
 
     With ``counts`` two columns follow: n_lines (lines that aren't blank) and n_dropped.
@@ -69,9 +67,8 @@ def drop_site_lines(pages: DataFrame, host: Column, text_col: str, ratio: float
     rows = pages.select(host.cast("string").alias("host"), *[F.col(f"`{c}`").alias(n) for c, n in named.items()])
     rows = rows.withColumn("host_key", F.concat(F.when(F.col("host").isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce("host", F.lit(""))))
     text = named[text_col]
-    found = boilerplate(rows.select("host_key", F.col(text)), "host_key", text, ratio, min_pages)
-    salted = found.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).select(F.concat_ws("/", F.col("salt").cast("string"), "host_key").alias("salted"), "boilerplate")
-    met = rows.withColumn("salted", F.concat_ws("/", F.pmod(F.xxhash64(*named.values()), F.lit(SALTS)).cast("string"), "host_key")).join(salted, "salted", "left")
+    found = boilerplate(rows.select("host_key", F.col(text)), text, ratio, min_held)
+    met = rows.hint("merge").join(found, "host_key", "left")
     lines = F.split(F.col(text), "\n", -1)
     known = lambda x: F.array_contains(F.col("boilerplate"), line_key(x))
     blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
@@ -86,7 +83,7 @@ def drop_site_lines(pages: DataFrame, host: Column, text_col: str, ratio: float
     return out.select(*columns)
 
 
-def page_line_dedup(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def page_line_dedup(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = RATIO, min_held: int = MIN_HELD) -> DataFrame:
     """One row a web page: id, host, text (lines left), n_lines, n_dropped."""
     plain = pages.select(F.col(id_col).alias(id_col), host_of(F.col(url_col)).alias("host"), html_lines(F.col(html_col)).alias("text"))
-    return drop_site_lines(plain, F.col("host"), "text", ratio, min_pages)
+    return drop_site_lines(plain, F.col("host"), "text", ratio, min_held)
