@@ -4,7 +4,8 @@ A turn is written as ``<|:role|>``, a line feed, the text and ``</s>`` with a li
 texts a backslash is doubled and the second character of every control string gets a backslash before
 it, so that no control string is left and removing single backslashes gives the text back.
 
-Turns enter windows in order.  Prefix sums of turn tokens say how far a window reaches: a window holds
+Turns enter windows in order.  Prefix sums of turn tokens (those of the given vocabulary for the text, and
+``TURN_TOKENS`` for what stands around it) say how far a window reaches: a window holds
 the system turn (the conversation's first turn, where its role is system), as many of the turns before
 its own as the history budget and the rest of the budget allow, and then its own turns.  A turn that
 exceeds the budget alone is not cut; it stands in a window without history.  Only the texts of a window's
@@ -15,8 +16,8 @@ Conversations are dealt by id and sorted by turn; a task streams through its tur
 a window and its history, so a conversation of any length passes through one task without being gathered.
 
 Defined cases: null texts and roles count as empty; rows of the same turn are ordered by role, then text,
-and repeated rows are turns each; a null turn number comes first; rows with a null id are one
-conversation; further columns don't matter; an empty table gives an empty result.
+and repeated rows are turns each; a null turn number comes first; a row with a null id is a conversation
+of its own; further columns don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crivo.llm.token_counts import PieceCounter
+
 BUDGET = 1024
 HISTORY = 256
 #: Tokens of a turn beside those of its text.
@@ -51,9 +54,17 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
-def token_estimate(text: Column) -> Column:
-    """Tokens of a text: a quarter of its bytes, rounded up."""
-    return F.ceil(F.octet_length(text) / F.lit(4)).cast("long")
+def turn_counter(model_file: str | None):
+    """Tokens of texts: the vocabulary's, or a quarter of the bytes, rounded up, where none is given."""
+    if model_file is None:
+        return lambda texts: [-(-len(t.encode()) // 4) for t in texts]
+    return PieceCounter(model_file).counts
+
+
+def by_id(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows dealt by conversation and sorted; those without an id are dealt by their content."""
+    loose = F.when(F.col("conv").isNull(), F.xxhash64(*order))
+    return rows.repartition("conv", loose).sortWithinPartitions("conv", *order)
 
 
 def parse(window: str) -> list[tuple[str, str, int, int]]:
@@ -119,22 +130,23 @@ class Windows:
         return self.number - 1, "".join(parts), repeated, starts, ends
 
 
-def by_conversation(rows: Iterator, key: str) -> Iterator:
-    """(whether it is the first row of its key, row) for rows that are sorted by the key."""
-    last, any_row = None, False
-    for batch in rows:
-        for row in batch.to_pylist():
-            new = not any_row or row[key] != last
-            any_row, last = True, row[key]
-            yield new, row
+def by_conversation(batches: Iterator) -> Iterator:
+    """(whether it is the first row of its conversation, row) for rows that are sorted by it."""
+    last = None
+    for batch in batches:
+        for at in range(0, len(batch), 1024):
+            rows = batch.slice(at, 1024).to_pylist()
+            for row in rows:
+                new = row["conv"] is None or row["conv"] != last
+                last = row["conv"]
+                yield new, row
 
 
-def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def format_chats(turns: DataFrame, model_file: str | None = None, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """One row a window: id, window, formatted, n_repeated (turns repeated from earlier windows),
     loss_starts and loss_ends (character bounds of the targets in formatted)."""
     rows = turns.select(F.col(id_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("tokens", token_estimate(F.col("text")) + TURN_TOKENS)
-    dealt = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
+    dealt = by_id(rows, "turn", "role", "text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -147,8 +159,15 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv", "window", "formatted", "n_repeated", "loss_starts", "loss_ends"])
 
-        windows, conv = None, None
-        for new, row in by_conversation(batches, "conv"):
+        windows, conv, count = None, None, turn_counter(model_file)
+
+        def with_tokens():
+            for batch in batches:
+                for at in range(0, len(batch), 256):
+                    part = batch.slice(at, 256)
+                    yield part.append_column("tokens", pa.array([n + TURN_TOKENS for n in count(part.column("text").to_pylist())], pa.int64()))
+
+        for new, row in by_conversation(with_tokens()):
             if new:
                 if windows:
                     out.append((conv, *windows.close()))
@@ -164,9 +183,13 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     return dealt.mapInArrow(run, schema).withColumnRenamed("conv", id_col)
 
 
-def read_back(windows: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Digests of the conversations, read from their formatted windows alone."""
-    dealt = windows.withColumnRenamed(id_col, "conv").repartition("conv").sortWithinPartitions("conv", "window")
+def read_back(windows: DataFrame, id_col: str = "conv_id", dealt: bool = False) -> DataFrame:
+    """Digests of the conversations, read from their formatted windows alone.
+
+    ``dealt`` says that the windows come straight from ``format_chats``, each conversation whole and in order.
+    """
+    windows = windows.withColumnRenamed(id_col, "conv")
+    windows = windows if dealt else by_id(windows, "window", "formatted")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -178,7 +201,7 @@ def read_back(windows: DataFrame, id_col: str = "conv_id") -> DataFrame:
             if state:
                 done.append((state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5]))
 
-        for new, row in by_conversation(batches, "conv"):
+        for new, row in by_conversation(batches):
             if new:
                 finish()
                 state[:] = [row["conv"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -195,5 +218,5 @@ def read_back(windows: DataFrame, id_col: str = "conv_id") -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    found = dealt.mapInArrow(run, "conv long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    found = windows.mapInArrow(run, "conv long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return found.withColumnRenamed("conv", id_col)

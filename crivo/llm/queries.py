@@ -8,7 +8,7 @@ from crivo.llm._common import read_table
 from crivo.llm.chat import format_chats, read_back
 from crivo.llm.embedding_dedup import embedding_dedup
 from crivo.llm.lattice_lm import lattice_scores
-from crivo.llm.line_dedup import BLOCKS, ENTITIES, MIN_PAGES, RATIO, page_line_dedup
+from crivo.llm.line_dedup import BLOCKS, ENTITIES, MIN_HELD, RATIO, page_line_dedup
 from crivo.llm.mixing import mix_sources
 from crivo.llm.ngram_join import ngram_jaccard_join
 from crivo.llm.packing import pack_documents
@@ -24,7 +24,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(read_table(spark, sf_dir, "documents"), target_entropy=0.9)
+    return mix_sources(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"), max_repeats=1.25)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return read_back(format_chats(turns.unionByName(own)))
+    return read_back(format_chats(turns.unionByName(own), tokenizer_path("piece_bpe_32k.model")), dealt=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_temperature_mixing, op2_token_counts, op3_site_line_dedup, op4_paragraph_dedup, op5_best_fit_packing, op6_embedding_dedup, op7_lattice_lm, op8_ngram_jaccard_join, op9_quality_rules, op10_chat_formatting)}
@@ -84,7 +84,7 @@ l AS (SELECT page_id, host, unnest(lines) AS line, generate_subscripts(lines, 1)
 k AS (SELECT *, regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS trimmed FROM l),
 h AS (SELECT host, count(*) AS pages FROM t GROUP BY host),
 c AS (SELECT host, trimmed, count(DISTINCT page_id) AS held FROM k WHERE trimmed <> '' GROUP BY host, trimmed),
-b AS (SELECT c.host, c.trimmed, true AS gone FROM c JOIN h ON c.host IS NOT DISTINCT FROM h.host WHERE h.pages >= {MIN_PAGES} AND c.held > CAST({RATIO} AS DOUBLE) * h.pages)
+b AS (SELECT c.host, c.trimmed, true AS gone FROM c JOIN h ON c.host IS NOT DISTINCT FROM h.host WHERE c.held >= {MIN_HELD} AND c.held > CAST({RATIO} AS DOUBLE) * h.pages)
 SELECT k.page_id, k.host, coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (WHERE b.gone IS NULL), '') AS text,
        count(*) FILTER (WHERE k.trimmed <> '') AS n_lines, count(*) FILTER (WHERE b.gone) AS n_dropped
 FROM k LEFT JOIN b ON k.host IS NOT DISTINCT FROM b.host AND k.trimmed = b.trimmed

@@ -1,7 +1,7 @@
 """Token counts of whole texts, without the tokens: Arrow batches in, lengths out, no shuffle.
 
-Texts are encoded in groups of about ``GROUP_BYTES`` bytes, so that a group of long texts holds few of
-them.  A text above ``SPLIT_BYTES`` is cut at safe places and its parts are counted like texts of their
+Texts are taken from a batch in groups of about ``GROUP_BYTES`` bytes, so that a group of long texts holds
+few of them.  A text above ``SPLIT_BYTES`` is cut at safe places and its parts are counted like texts of their
 own: a single space between two characters that are neither spaces nor the library's own space mark.
 No vocabulary entry has such a mark after another character, so no merge reaches over the cut, and the
 space comes back as the mark that the library puts before every text.  Both facts are verified on the
@@ -18,6 +18,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crivo.llm._common import chunks, string_buffers
+
 GROUP_BYTES = 1 << 20
 SPLIT_BYTES = 1 << 16
 LIMIT = 4096
@@ -58,14 +60,17 @@ class PieceCounter:
             some = self.parts(text)
             parts += some
             owner += [k] * len(some)
-        total, group, begin, weight = [0] * len(texts), [], 0, 0
-        for k, part in enumerate(parts):
-            group.append(part)
-            weight += len(part)
-            if weight >= GROUP_BYTES or k == len(parts) - 1:
-                for j, ids in enumerate(self.model.encode(group, num_threads=1)):
-                    total[owner[begin + j]] += len(ids)
-                group, begin, weight = [], k + 1, 0
+        total = [0] * len(texts)
+        at = 0
+        while at < len(parts):
+            # Short texts go in together; the parts of a long one a few at a time.
+            upto, size = at + 1, len(parts[at].encode())
+            while upto < len(parts) and size < GROUP_BYTES:
+                size += len(parts[upto].encode())
+                upto += 1
+            for k, ids in zip(owner[at:upto], self.model.encode(parts[at:upto], num_threads=1), strict=True):
+                total[k] += len(ids)
+            at = upto
         return total
 
 
@@ -80,7 +85,10 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
         for batch in batches:
             texts = batch.column(1)
             texts = texts.fill_null("") if texts.null_count else texts
-            yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(texts).cast("int64"), pa.array(counter.counts(texts.to_pylist()), pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
+            _, offsets = string_buffers(texts)
+            for a, b in chunks(offsets, GROUP_BYTES):
+                some = texts.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pc.binary_length(some).cast("int64"), pa.array(counter.counts(some.to_pylist()), pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
     plain = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text_"))
     return plain.mapInArrow(run, f"`{id_col}` long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
