@@ -2,11 +2,14 @@
 
 Documents become token ids and, above the capacity, pieces; a full piece is a sequence of its own.  The
 other pieces are dealt at random into shards of about ``SHARD_ITEMS``, and every shard is packed by
-``ISLANDS`` populations that evolve apart for ``GENERATIONS`` and then, ``MIGRATIONS`` times, hand their
-best packing to the next island.  A crossover injects whole well-filled bins of one parent into the
-other, removes the bins that hold a second copy of an injected piece, and places what these lose by
-best fit, longest first.  The bins of a shard's best packing that are not well filled are opened again
-and their pieces go to the next level, where there are fewer shards, until one shard is left.
+``ISLANDS`` populations that start from packings in random order and evolve apart; ``MIGRATIONS`` times
+they hand their best packing to the next island and go on.  A crossover injects whole well-filled bins of
+one parent into the other, removes the bins that hold a second copy of an injected piece, lets displaced
+pieces take the place of shorter ones where they fill a bin better, and places what is left by best fit,
+longest first.  An island rests when its packing has as few bins as the sum of lengths allows, or after
+``STALL`` crossovers that don't improve it.  The bins of a shard's best packing that are not well filled
+are opened again and their pieces go to the next level, where the opened bins of all shards compete anew,
+until one shard is left or a level leaves more than half of its pieces open; that one is the last.
 
 Nothing is gathered beyond a shard; the driver sees counts only.  A piece is told from its equals by the
 number it gets when the pieces are written, so repeated rows and null ids are packed like any other.
@@ -31,7 +34,8 @@ CAPACITY = 2048
 SHARD_ITEMS = 1500
 ISLANDS = 2
 MIGRATIONS = 2
-GENERATIONS = 8
+GENERATIONS = 100
+STALL = 25
 POPULATION = 4
 #: A bin with at least this part of its capacity filled stays as it is when a level ends.
 WELL_FILLED = 0.985
@@ -136,8 +140,23 @@ def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[i
     return -len(bins), fill / max(1, len(bins))
 
 
+def refill(items: list[int], lengths: list[int], capacity: int, bins: list[list[int]], room: list[int]) -> None:
+    """Place displaced ``items``: first in exchange for shorter ones that leave more room unused, then by best fit."""
+    loose = sorted((lengths[i], i) for i in items)
+    for k, b in enumerate(bins):
+        for at, i in enumerate(b):
+            if not room[k] or not loose:
+                break
+            j = bisect_left(loose, (lengths[i] + room[k] + 1, -1)) - 1
+            if j >= 0 and loose[j][0] > lengths[i]:
+                size, b[at] = loose.pop(j)
+                insort(loose, (lengths[i], i))
+                room[k] -= size - lengths[i]
+    best_fit([i for _, i in reversed(loose)], lengths, capacity, bins, room)
+
+
 def cross(giver: list[list[int]], taker: list[list[int]], lengths: list[int], capacity: int, dice: random.Random) -> list[list[int]]:
-    """Inject well-filled bins of ``giver`` into ``taker`` and best-fit what they displace."""
+    """Inject well-filled bins of ``giver`` into ``taker`` and place again what they displace."""
     ranked = sorted(giver, key=lambda b: -sum(lengths[i] for i in b))
     good = ranked[: max(1, len(ranked) // 2)]
     injected = [b for b in good if dice.random() < 0.5] or good[:1]
@@ -148,29 +167,28 @@ def cross(giver: list[list[int]], taker: list[list[int]], lengths: list[int], ca
             bins.append(list(b))
         else:
             displaced += [i for i in b if i not in inside]
-    room = [capacity - sum(lengths[i] for i in b) for b in bins]
-    best_fit(sorted(displaced, key=lambda i: (-lengths[i], i)), lengths, capacity, bins, room)
+    refill(displaced, lengths, capacity, bins, [capacity - sum(lengths[i] for i in b) for b in bins])
     return bins
 
 
-def evolve(lengths: list[int], capacity: int, elites: list[list[list[int]]], seed: int, generations: int, population: int) -> list[list[int]]:
-    """The best packing that one island finds, starting from ``elites`` and new packings."""
+def evolve(lengths: list[int], capacity: int, elites: list[list[list[int]]], seed: int, generations: int, population: int, stall: int = STALL) -> list[list[int]]:
+    """The best packing that one island finds, starting from ``elites`` and packings in random order."""
     dice = random.Random(seed)
-    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
     least = -(-sum(lengths) // capacity)
     herd = [(fitness(e, lengths, capacity), e) for e in elites]
     while len(herd) < population:
-        shaken = order if not herd else sorted(order, key=lambda i: -lengths[i] * dice.uniform(0.8, 1.2))
-        bins: list[list[int]] = []
+        shaken, bins = dice.sample(range(len(lengths)), len(lengths)), []
         best_fit(shaken, lengths, capacity, bins, [])
         herd.append((fitness(bins, lengths, capacity), bins))
     herd.sort(key=lambda x: x[0], reverse=True)
+    calm = 0
     for _ in range(generations):
-        if -herd[0][0][0] <= least:
+        if -herd[0][0][0] <= least or calm >= stall:
             break
         one, two = dice.sample(range(len(herd)), 2)
         child = cross(herd[min(one, two)][1], herd[max(one, two)][1], lengths, capacity, dice)
         worth = fitness(child, lengths, capacity)
+        calm = 0 if worth > herd[0][0] else calm + 1
         if worth > herd[-1][0]:
             herd[-1] = (worth, child)
             herd.sort(key=lambda x: x[0], reverse=True)
@@ -215,7 +233,7 @@ def pack_level(items: DataFrame, shards: int, level: int, capacity: int, last: b
     schema = "shard long, island int, content array<struct<item:long,length:long>>, bins array<int>, worth_bins long, worth_fill double"
     islands = shard.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).repartition("shard", "island")
     packed = islands.select("shard", "island", "content").mapInArrow(lambda b: stage(b, True), schema)
-    for _ in range(MIGRATIONS - 1):
+    for _ in range(MIGRATIONS):
         # Each island's best goes to itself and to the next island of its shard.
         moved = packed.withColumn("island", F.explode(F.array(F.col("island"), ((F.col("island") + 1) % ISLANDS).cast("int"))))
         met = moved.groupBy("shard", "island").agg(F.first("content").alias("content"), F.collect_list("bins").alias("elites"))
@@ -247,13 +265,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, shard_items: int =
     """(item, sequence_id, offset) for (item, length) rows; full ones get sequences of their own."""
     placed = pieces.where(F.col("length") >= capacity).select("item", (-F.col("item") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity).select("item", "length")
-    left, level = rest.count(), 0
+    left, level, before = rest.count(), 0, None
     while left:
         shards = max(1, ceil(left / shard_items))
-        result = cut(pack_level(rest, shards, level, capacity, shards == 1 or level == 5), f"packed{level}")
+        last = shards == 1 or (before is not None and 2 * left > before)
+        result = cut(pack_level(rest, shards, level, capacity, last), f"packed{level}")
         placed = placed.unionByName(result.where("sequence_id IS NOT NULL").select("item", "sequence_id", "offset"))
         rest = result.where("sequence_id IS NULL").select("item", "length")
-        left, level = rest.count(), level + 1
+        before, left, level = left, rest.count(), level + 1
     return placed
 
 

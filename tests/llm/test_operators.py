@@ -229,6 +229,25 @@ def test_crossover_keeps_every_item_once():
     assert packing.listed(packing.numbered(child, 60)) == [sorted(b) for b in child]
 
 
+def test_crossover_saves_bins_that_best_fit_cannot():
+    import random
+
+    dice, lengths = random.Random(1), []
+    for _ in range(60):
+        a = dice.randrange(380, 490)
+        b = dice.randrange(250, (1000 - a) // 2)
+        lengths += [a, b, 1000 - a - b]
+    plain: list = []
+    packing.best_fit(sorted(range(180), key=lambda i: -lengths[i]), lengths, 1000, plain, [])
+    start = packing.evolve(lengths, 1000, [], 0, 0, 4)
+    islands = [packing.evolve(lengths, 1000, [], seed, packing.GENERATIONS, 4) for seed in (0, 1)]
+    moved = [packing.evolve(lengths, 1000, islands, seed, packing.GENERATIONS, 4) for seed in (2, 3)]
+    for bins in (*islands, *moved):
+        assert sorted(i for b in bins for i in b) == list(range(180)) and all(sum(lengths[i] for i in b) <= 1000 for b in bins)
+    assert min(map(len, moved)) <= min(map(len, islands)) < len(start) < len(plain)
+    assert len(plain) >= 70 and min(map(len, moved)) <= 63
+
+
 # --- 6: embeddings ---
 
 
