@@ -1,10 +1,12 @@
 """Embedding near-dedup with a forest of random-projection trees.
 
 Every tree splits the unit sphere by random planes, at the median of a bounded sample, down to leaves
-of about ``LEAF_ROWS`` vectors of one label; vectors near a plane go to both sides.  The sample
-(``SAMPLE_ROWS``) only places the planes: every vector is routed through every tree and compared, in
-double precision, with all vectors of its label in its leaves.  Where the tree is deeper than the sample
-can place, planes pass through the mean of the last sampled node.  Equal vectors collapse before that.
+of about ``LEAF_ROWS`` vectors of one label; vectors near a plane go to both sides (``SPILL``, in parts of
+the spread along the plane).  The sample (``SAMPLE_ROWS``) places the planes and says how many trees are
+needed: trees are added until ``RECALL`` of sampled vectors meet a made partner at the threshold in a leaf,
+so deeper trees come in larger numbers.  Every vector is routed through every tree and compared, in double
+precision, with all vectors of its label in its leaves.  Where the tree is deeper than the sample can
+place, planes pass through the mean of the last sampled node.  Equal vectors collapse before that.
 
 A leaf with more than ``LEAF_ROWS`` vectors is cut into tiles whose pairs are compared in tasks of their
 own.  A pair that shares several leaves counts in the first of them only, so links are counted without
@@ -25,11 +27,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crivo.llm._common import components, cut
+from crivo.llm._common import components, cut, release
 
-TREES = 8
 LEAF_ROWS = 512
-SPILL = 0.01
+SPILL = 0.08
+RECALL = 0.999
+MOST_TREES = 64
+#: Sampled vectors that get a partner.
+PROBES = 4000
 SAMPLE_ROWS = 20_000
 SAMPLE_NODE = 48
 ROW_GROUP = 4096
@@ -48,33 +53,53 @@ def matrix(column) -> np.ndarray:
 
 
 class Forest:
-    """Planes and offsets of all trees for vectors of one length."""
+    """Planes, offsets and margins of all trees for vectors of one length."""
 
-    def __init__(self, sample: np.ndarray, depth: int, trees: int, spill: float, seed: int) -> None:
-        dice = np.random.default_rng(seed)
+    def __init__(self, sample: np.ndarray, depth: int, spill: float, threshold: float, recall: float, seed: int) -> None:
+        self.dice = np.random.default_rng(seed)
         self.depth, self.spill = depth, spill
-        self.planes, self.offsets, self.centres = [], [], []
+        self.planes, self.offsets, self.centres, self.margins = [], [], [], []
+        probes = sample[:PROBES]
+        partners = self.partners(probes, threshold)
+        apart = np.ones(len(probes), bool)
+        while True:
+            self.add_tree(sample)
+            row, leaf = (np.concatenate(x) for x in zip(self.leaves(probes, -1), self.leaves(partners, -1), strict=True))
+            both = np.unique(np.stack((row, leaf)), axis=1, return_counts=True)
+            apart[both[0][0][both[1] > 1]] = False
+            if apart.sum() <= (1 - recall) * len(probes) or len(self.planes) == MOST_TREES:
+                break
+
+    def partners(self, x: np.ndarray, threshold: float) -> np.ndarray:
+        """For each vector one whose cosine with it is the threshold, in a random direction."""
+        away = self.dice.standard_normal(x.shape)
+        away -= (away * x).sum(axis=1, keepdims=True) * x
+        length = np.sqrt((away * away).sum(axis=1, keepdims=True))
+        return threshold * x + np.sqrt(1 - threshold**2) * away / np.where(length > 0, length, 1)
+
+    def add_tree(self, sample: np.ndarray) -> None:
         n_dims = sample.shape[1]
-        for _ in range(trees):
-            planes, offsets, nodes = [], [], {1: np.arange(len(sample))}
-            centres = {0: sample.mean(axis=0) if len(sample) else np.zeros(n_dims)}
-            for _level in range(depth):
-                plane = dice.standard_normal(n_dims)
-                plane /= np.sqrt(plane @ plane)
-                planes.append(plane)
-                offset, below = {}, {}
-                for node, rows in nodes.items():
-                    if len(rows) < SAMPLE_NODE:
-                        continue
-                    side = sample[rows] @ plane
-                    offset[node] = float(np.median(side))
-                    below[2 * node], below[2 * node + 1] = rows[side < offset[node]], rows[side >= offset[node]]
-                    centres[node] = sample[rows].mean(axis=0)
-                nodes = below
-                offsets.append(offset)
-            self.planes.append(planes)
-            self.offsets.append(offsets)
-            self.centres.append(centres)
+        planes, offsets, margins, nodes = [], [], [], {1: np.arange(len(sample))}
+        centres = {0: sample.mean(axis=0) if len(sample) else np.zeros(n_dims)}
+        for _level in range(self.depth):
+            plane = self.dice.standard_normal(n_dims)
+            plane /= np.sqrt(plane @ plane)
+            planes.append(plane)
+            side = sample @ plane
+            margins.append(self.spill * float(side.std()) if len(sample) else 0.0)
+            offset, below = {}, {}
+            for node, rows in nodes.items():
+                if len(rows) < SAMPLE_NODE:
+                    continue
+                offset[node] = float(np.median(side[rows]))
+                below[2 * node], below[2 * node + 1] = rows[side[rows] < offset[node]], rows[side[rows] >= offset[node]]
+                centres[node] = sample[rows].mean(axis=0)
+            nodes = below
+            offsets.append(offset)
+        self.planes.append(planes)
+        self.offsets.append(offsets)
+        self.centres.append(centres)
+        self.margins.append(margins)
 
     def offset(self, tree: int, level: int, node: int) -> float:
         known = self.offsets[tree][level].get(node)
@@ -92,13 +117,13 @@ class Forest:
             names, which = np.unique(nodes, return_inverse=True)
             offsets = np.array([self.offset(tree, level, int(n)) for n in names])
             side = (x @ self.planes[tree][level])[rows] - offsets[which]
-            left, right = side < self.spill, side >= -self.spill
+            left, right = side < self.margins[tree][level], side >= -self.margins[tree][level]
             rows, nodes = np.concatenate((rows[left], rows[right])), np.concatenate((2 * nodes[left], 2 * nodes[right] + 1))
         return rows, nodes
 
 
-def route(forests: dict[int, Forest], trees: int):
-    """For each vector: one row a leaf, with the sorted list of all its leaves (tree * 2^40 + node)."""
+def route(forests: dict[int, Forest]):
+    """Each vector with the sorted list of its leaves (tree * 2^40 + node)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -111,19 +136,15 @@ def route(forests: dict[int, Forest], trees: int):
                     rows = part.filter(pa.array(sizes == size))
                     x = unit(matrix(rows.column("vector")))
                     row, leaf = [], []
-                    for tree in range(trees):
+                    for tree in range(len(forests[int(size)].planes)):
                         r, n = forests[int(size)].leaves(x, tree)
                         row.append(r)
                         leaf.append(n + (tree << 40))
                     row, leaf = np.concatenate(row), np.concatenate(leaf)
                     order = np.lexsort((leaf, row))
-                    row, leaf = row[order], leaf[order]
-                    bounds = np.searchsorted(row, np.arange(len(x) + 1))
-                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(leaf)).take(pa.array(row))
-                    # The routed copies are sent in groups, since each carries its vector.
-                    for s in range(0, len(row), ROW_GROUP):
-                        take = pa.array(row[s : s + ROW_GROUP])
-                        yield pa.RecordBatch.from_arrays([*(rows.column(c).take(take) for c in ("id", "label", "size", "copies", "vector")), pa.array(leaf[s : s + ROW_GROUP]), lists.slice(s, ROW_GROUP)], names=["id", "label", "size", "copies", "vector", "leaf", "leaves"])
+                    bounds = np.searchsorted(row[order], np.arange(len(x) + 1))
+                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(leaf[order]))
+                    yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("id", "label", "size", "copies", "vector")), lists], names=["id", "label", "size", "copies", "vector", "leaves"])
 
     return run
 
@@ -175,7 +196,7 @@ def compare_leaf(table, threshold: float):
     return pa.table({"id": pa.array(ids[some], pa.int64()), "links": pa.array(links[some], pa.int64()), "root": pa.array(ids[root[some]], pa.int64())})
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, trees: int = TREES, leaf_rows: int = LEAF_ROWS, spill: float = SPILL, sample_rows: int = SAMPLE_ROWS, seed: int = 0) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, leaf_rows: int = LEAF_ROWS, spill: float = SPILL, recall: float = RECALL, sample_rows: int = SAMPLE_ROWS, seed: int = 0) -> DataFrame:
     """One row a vector: id, n_links, component_id (smallest id reachable) and kept (its own component)."""
     v = F.col(vector_col)
     bad = F.exists(v, lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double")) == F.lit(float("inf"))))
@@ -189,16 +210,16 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         of_size = reps.where(F.col("size") == row["size"])
         sample = of_size.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample_rows).select("vector").toPandas()["vector"]
         x = unit(np.array(sample.tolist(), np.float64).reshape(len(sample), row["size"]))
-        forests[row["size"]] = Forest(x, depth, trees, spill, seed)
-    routed = reps.select("id", "label", "size", "copies", "vector").mapInArrow(route(forests, trees), "id long, label string, size int, copies long, vector array<double>, leaf long, leaves array<long>")
+        forests[row["size"]] = Forest(x, depth, spill, threshold, recall, seed)
+    routed = cut(reps.select("id", "label", "size", "copies", "vector").mapInArrow(route(forests), "id long, label string, size int, copies long, vector array<double>, leaves array<long>"), "routed")
     at = ["label", "size", "leaf"]
-    held = reps.select("id", "label", "size", "copies", "vector").mapInArrow(route(forests, trees), routed.schema).groupBy(*at).agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    held = cut(held, "leaves")
+    held = routed.select("label", "size", F.explode("leaves").alias("leaf")).groupBy(*at).agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     parts = F.ceil(F.col("held") / F.lit(2 * leaf_rows)).cast("int")
-    dealt = routed.join(held, at).withColumn("parts", parts).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = routed.withColumn("leaf", F.explode("leaves")).join(held, at).withColumn("parts", parts).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.withColumn("ta", F.least("tile", "other")).withColumn("tb", F.greatest("tile", "other")).drop("other", "held", "parts", "size")
     found = cut(dealt.groupBy("label", "leaf", "ta", "tb").applyInArrow(lambda t: compare_leaf(t, threshold), "id long, links long, root long"), "links")
+    release(routed)
     roots = components(found, "id", "root").select(F.col("node").alias("id"), "component")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     done = reps.select("id", "label", "h1", "h2", "copies").join(counts, "id", "left").join(roots, "id", "left")

@@ -281,6 +281,22 @@ def test_embedding_links_equal_brute_force(spark):
     assert embedding_dedup(table.limit(0)).collect() == []
 
 
+def test_recall_of_deep_trees(spark):
+    dice = np.random.default_rng(11)
+    centres = dice.standard_normal((8, 32)) * 0.5
+    base = centres[dice.integers(0, 8, 3500)] + dice.standard_normal((3500, 32))
+    near = base[:1200] + dice.standard_normal((1200, 32)) * 0.2 * np.sqrt((base[:1200] ** 2).mean(axis=1, keepdims=True))
+    x = np.concatenate((base, near))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    want = np.triu(x @ x.T >= 0.98, 1)
+    want = want.sum(axis=0) + want.sum(axis=1)
+    table = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup(table, leaf_rows=16).collect()}
+    found = np.array([got[k] for k in range(len(x))])
+    assert np.ceil(np.log2(len(x) / 16)) >= 8 and want.sum() > 1000
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
+
+
 # --- 7: lattice ---
 
 
