@@ -21,6 +21,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def where_once(df: DataFrame, test: Column) -> DataFrame:
+    """The rows that pass a costly test.
+
+    A plain filter is moved below what stands under it, be it a repartition that deals the work, or
+    repeated where its parts are used again; a generated column holds the result, computed once a row.
+    """
+    return df.select("*", F.explode_outer(F.array(test)).alias("_passes")).where("_passes").drop("_passes")
+
+
 def words(text: Column) -> Column:
     """Words of a text and its line feeds, in order."""
     return F.transform(F.regexp_extract_all(full(text), F.lit(WORDS + "|\n"), 0), singular)

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crivo.functions.normalize import is_blank, light
 from crivo.functions.patterns import compiled, regex_error, route
-from crivo.functions.tokens import let, token_array
+from crivo.functions.tokens import let, token_array, where_once
 from crivo.operators.rewrite import Directives, rewritten, split_directives
 from crivo.operators.spans import SPAN, extract, highlight
 from crivo.plans.arrays import matches, prefilter
@@ -45,11 +45,20 @@ class Criterion:
             return F.lit(None).cast("boolean")
         text = rewritten(document, kind, self.directives)
         if self.kind != "dsl":
-            return any_part(text, kind, lambda x: light(x).rlike(compiled(f"{'l' if self.kind == 'like' else 'r'}:{self.body}", dict(self.macros or {}))))
+            return self.on_light(lightened(text, kind), kind)
         if isinstance(self.node, Blank):
             return every_part(text, kind, is_blank)
         return self.on_tokens(token_array(text, kind))
 
+    @property
+    def pattern(self) -> str:
+        """The Java pattern of a regex or LIKE criterion."""
+        return compiled(f"{'l' if self.kind == 'like' else 'r'}:{self.body}", dict(self.macros or {}))
+
+    def on_light(self, text: Column, kind: T.DataType) -> Column:
+        """A regex or LIKE criterion on a document that is lightly normalised already."""
+        return any_part(text, kind, lambda x: x.rlike(self.pattern))
+
     def on_tokens(self, tok: Column) -> Column:
         return F.lit(False) if self.node is None else let(tok, lambda x: matches(self.node, x, self.synonyms))
 
@@ -59,6 +68,14 @@ class Criterion:
         return F.lit(True) if found is None else found
 
 
+def lightened(document: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.ArrayType):
+        return F.transform(document, light)
+    if isinstance(kind, T.MapType):
+        return F.transform_values(document, lambda _, x: light(x))
+    return light(document)
+
+
 def any_part(document: Column, kind: T.DataType, test) -> Column:
     if isinstance(kind, T.ArrayType):
         return F.coalesce(F.exists(document, lambda x: F.coalesce(test(x), F.lit(False))), F.lit(False))
@@ -76,15 +93,19 @@ def every_part(document: Column, kind: T.DataType, test) -> Column:
 
 
 def compile_criterion(text: str, synonyms: Mapping[str, Sequence[str]] | None = None, equivalents: Mapping[str, Sequence[str]] | None = None, macros: Mapping[str, str] | None = None, spark=None) -> Criterion:
-    """Compile; what is wrong with the text goes into ``error``.  With ``spark``, patterns are tried on the JVM."""
+    """Compile; what is wrong with the text goes into ``error``.
+
+    Patterns are tried on ``spark``, by default the active session; without any they are taken as they are.
+    """
+    spark = spark or SparkSession.getActiveSession()
     try:
         directives = split_directives(text)
     except CriterionError as error:
         return Criterion("dsl", text, Directives(text), error=str(error))
     kind, body = route(directives.criterion)
     if kind != "dsl":
-        wrong = regex_error(spark, compiled(f"{'l' if kind == 'like' else 'r'}:{body}", dict(macros or {}))) if spark is not None else None
-        return Criterion(kind, body, directives, error=wrong, macros=macros)
+        made = Criterion(kind, body, directives, macros=macros)
+        return replace(made, error=regex_error(spark, made.pattern)) if spark is not None else made
     try:
         return Criterion(kind, body, directives, parse(body, equivalents), synonyms=synonyms)
     except CriterionError as error:
@@ -116,5 +137,4 @@ def matching(docs: DataFrame, criterion: Criterion | str, document: str = "text"
     if c.kind != "dsl" or c.node is None or isinstance(c.node, Blank) or c.error:
         return docs.where(c.on(F.col(document), kind))
     tok = token_array(rewritten(F.col(document), kind, c.directives), kind)
-    test = let(tok, lambda x: F.when(c.maybe_on_tokens(x), matches(c.node, x, c.synonyms)).otherwise(F.lit(False)))
-    return docs.where(test)
+    return where_once(docs, let(tok, lambda x: F.when(c.maybe_on_tokens(x), matches(c.node, x, c.synonyms)).otherwise(F.lit(False))))

@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crivo.functions.normalize import full, head_tail, light
-from crivo.functions.tokens import token_array
-from crivo.operators.criteria import Criterion, compile_criterion
+from crivo.functions.normalize import full, head_tail, is_blank, light
+from crivo.functions.tokens import let, token_array
+from crivo.operators.criteria import Criterion, compile_criterion, every_part, lightened
 from crivo.operators.rewrite import rewritten
 from crivo.operators.spans import SPAN, extract
 from crivo.plans.syntax import Blank
@@ -129,6 +129,9 @@ def trimmed(document: Column, kind: T.DataType, r: Rule, form) -> Column:
     return one(document)
 
 
+RESULTS = "array<struct<at:int,group:string,label:string,ok:boolean>>"
+
+
 def emitted(results: Column, first_of_group: bool) -> Column:
     """Results (group, label, ok) that give a label, in order."""
     kind = "array<string>"
@@ -145,33 +148,44 @@ def emitted(results: Column, first_of_group: bool) -> Column:
 
 
 def apply_rules(docs: DataFrame, rules: RuleSet, document: str = "text", first_of_group: bool = True, with_spans: bool = False, detail: bool = False) -> DataFrame:
-    """``docs`` with ``labels`` (in the order of emission) and on demand ``fired`` rules and ``spans``."""
-    kind, column = docs.schema[document].dataType, F.col(document)
-    out, made = docs, {}
+    """``docs`` with ``labels`` (in the order of emission) and on demand ``fired`` rules and ``spans``.
 
-    def made_column(key: tuple, value: Column) -> Column:
-        nonlocal out
-        if key not in made:
-            made[key] = f"_rules_{len(made)}"
-            out = out.withColumn(made[key], value)
-        return F.col(made[key])
-
-    results, spans = [], []
+    The texts that the rules need (cut to head and tail, rewritten) are bound once, then what is made of
+    them (light texts, tokens), and all rules are tested on these in one expression: a document is folded
+    and tokenised once for each different text, whatever the number of rules.
+    """
+    kind, column = docs.schema[document].dataType, F.col(document)
+    texts: dict[tuple, Column] = {}
+    forms: dict[tuple[int, str], int] = {}
+    tests, spans = [], []
     for at, (r, c) in enumerate(rules.rules):
         regex = c.kind != "dsl"
-        text = made_column(("text", regex and (r.head or r.tail), r.head, r.tail), trimmed(column, kind, r, light if regex else full))
-        text = made_column(("rewritten", made[("text", regex and (r.head or r.tail), r.head, r.tail)], replace(c.directives, criterion="")), rewritten(text, kind, c.directives)) if c.directives.any else text
-        plain = replace(c, directives=replace(c.directives, quotes=False, removals=(), crops=()))
-        if regex or isinstance(c.node, Blank):
-            ok = plain.on(text, kind)
-        else:
-            ok = plain.on_tokens(made_column(("tokens", str(text._jc.toString())), token_array(text, kind)))
-        results.append(F.struct(F.lit(at).alias("at"), F.lit(r.group).alias("group"), F.lit(r.label).alias("label"), F.coalesce(ok, F.lit(False)).alias("ok")))
+        key = (regex and bool(r.head or r.tail), r.head, r.tail, replace(c.directives, criterion=""))
+        if key not in texts:
+            text = trimmed(column, kind, r, light if regex else full)
+            texts[key] = rewritten(text, kind, c.directives) if c.directives.any else text
+        form = (list(texts).index(key), "light" if regex else "plain" if isinstance(c.node, Blank) else "tokens")
+        tests.append((at, r, c, forms.setdefault(form, len(forms))))
         if with_spans:
-            found = extract(text, kind, f"{'l' if c.kind == 'like' else 'r'}:{c.body}", dict(c.macros or {})) if regex else F.array().cast(SPAN)
-            spans.append(found)
-    results_kind = "array<struct<at:int,group:string,label:string,ok:boolean>>"
-    out = out.withColumn("_rules_found", emitted((F.array(*results) if results else F.array()).cast(results_kind), first_of_group))
+            spans.append(extract(texts[key], kind, f"{'l' if c.kind == 'like' else 'r'}:{c.body}", dict(c.macros or {})) if regex else F.array().cast(SPAN))
+    make = {"light": lightened, "tokens": token_array, "plain": lambda x, _: x}
+
+    def result(at: int, r: Rule, c: Criterion, made: Column) -> Column:
+        if c.kind != "dsl":
+            ok = c.on_light(made, kind)
+        else:
+            ok = every_part(made, kind, is_blank) if isinstance(c.node, Blank) else c.on_tokens(made)
+        return F.struct(F.lit(at).alias("at"), F.lit(r.group).alias("group"), F.lit(r.label).alias("label"), F.coalesce(ok, F.lit(False)).alias("ok"))
+
+    def found_in(made: Column) -> Column:
+        return emitted(F.array(*[result(at, r, c, made[f"f{k}"]) for at, r, c, k in tests]).cast(RESULTS), first_of_group)
+
+    if tests:
+        bound = F.struct(*[x.alias(f"x{k}") for k, x in enumerate(texts.values())])
+        found = let(bound, lambda z: let(F.struct(*[make[how](z[f"x{k}"], kind).alias(f"f{j}") for (k, how), j in forms.items()]), found_in))
+    else:
+        found = emitted(F.array().cast(RESULTS), first_of_group)
+    out = docs.withColumn("_rules_found", F.explode_outer(F.array(found)))
     out = out.withColumn("labels", F.col("_rules_found.labels"))
     if detail:
         listed = F.array(*[F.struct(F.lit(r.group).alias("group"), F.lit(r.label).alias("label"), F.lit(r.rule).alias("rule"), F.lit(c.and_or_not).alias("and_or_not")) for r, c in rules.rules])
@@ -179,9 +193,9 @@ def apply_rules(docs: DataFrame, rules: RuleSet, document: str = "text", first_o
     if with_spans:
         every = F.array(*spans) if spans else F.array().cast(f"array<{SPAN}>")
         out = out.withColumn("spans", F.flatten(F.transform(F.col("_rules_found.at"), lambda k: F.get(every, k))))
-    return out.drop("_rules_found", *made.values())
+    return out.drop("_rules_found")
 
 
 def label_rows(labelled: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, ord, label): one row a label."""
-    return labelled.select(id_col, F.posexplode("labels").alias("ord", "label"))
+    return labelled.select(id_col, F.posexplode_outer("labels").alias("ord", "label")).where("ord IS NOT NULL")

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crivo.functions.tokens import let
 from crivo.operators.criteria import Criterion, compile_criterion
 from crivo.plans.postings import search as postings_search
 from crivo.plans.syntax import words_of
@@ -46,15 +47,17 @@ def term_score(tok: Column, criterion: Criterion) -> Column:
 
 def pre_search(docs: DataFrame, criterion: Criterion, tok: str = "tok", limit: int | None = None, id_col: str = "doc_id") -> DataFrame:
     """Documents whose words allow a match, with their score; the best ones if there is a limit."""
-    found = docs.where(criterion.maybe_on_tokens(F.col(tok))).withColumn("score", term_score(F.col(tok), criterion))
+    score = let(F.col(tok), lambda x: F.when(criterion.maybe_on_tokens(x), term_score(x, criterion)))
+    found = docs.select(*[c for c in docs.columns if c != tok], F.explode_outer(F.array(score)).alias("score")).where("score IS NOT NULL")
     return found if limit is None else found.orderBy(F.desc("score"), id_col).limit(limit)
 
 
 def search(docs: DataFrame, criterion: Criterion | str, tok: str = "tok", id_col: str = "doc_id", limit: int = LIMIT) -> DataFrame:
-    """(id, score) of the ``limit`` best matches: cheap condition, exact test and top-k in one plan."""
+    """(id, score) of the ``limit`` best matches: cheap condition, exact test and score on tokens bound once."""
     c = compile_criterion(criterion) if isinstance(criterion, str) else criterion
-    found = pre_search(docs, c, tok, None, id_col).where(c.on_tokens(F.col(tok)))
-    return found.select(id_col, "score").orderBy(F.desc("score"), id_col).limit(limit)
+    score = let(F.col(tok), lambda x: F.when(c.maybe_on_tokens(x), F.when(c.on_tokens(x), term_score(x, c))))
+    found = docs.select(id_col, F.explode_outer(F.array(score)).alias("score")).where("score IS NOT NULL")
+    return found.orderBy(F.desc("score"), id_col).limit(limit)
 
 
 def search_postings(postings: DataFrame, docs: DataFrame, criterion: Criterion | str, id_col: str = "doc_id", limit: int = LIMIT) -> DataFrame:

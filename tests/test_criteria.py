@@ -7,8 +7,9 @@ from crivo.functions.tokens import posting_lists, postings, with_tokens
 from crivo.operators import session as S
 from crivo.operators.criteria import compile_criterion, evaluate, matching
 from crivo.operators.rewrite import removal_pattern, rewritten_text, split_directives
-from crivo.operators.rules import Rule, apply_rules, compile_rules, filter_rules, load_rules, rules_table
+from crivo.operators.rules import Rule, apply_rules, compile_rules, filter_rules, label_rows, load_rules, rules_table
 from crivo.operators.spans import extract_many, highlight
+from crivo.plans.parser import parse
 from crivo.plans.postings import search
 from crivo.plans.thesaurus import EQUIVALENTS, SYNONYMS
 from crivo.sources.ingest import read_rules, read_texts, rejoin_lines, split_pages, write_texts
@@ -270,3 +271,27 @@ def test_sessions(spark):
     assert [r.id for r in S.fresh(log, changed).collect()] == [1] and sorted(r.id for r in S.stale(log, changed).collect()) == [2, 3]
     with pytest.raises(ValueError):
         S.DocSource("t", text_col="nope").read(docs)
+
+
+def test_a_document_is_folded_and_tokenised_once_for_all_rules(spark):
+    docs = spark.createDataFrame([(1, "a casa de papel"), (2, "um muro 1234")], "doc_id long, text string")
+    rules = compile_rules([Rule("g", f"l{k}", c, k) for k, c in enumerate(("casa ADJ2 papel", "muro", "r:[0-9]{3}", "NAO telha", "casa OU telha", "r:cas."))])
+    labelled = label_rows(apply_rules(docs, rules, first_of_group=False))
+    plan = labelled._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[0-9]+|[a-z]+") == 1
+    assert sorted((r.doc_id, r.label) for r in labelled.collect()) == [(1, "l0"), (1, "l3"), (1, "l4"), (1, "l5"), (2, "l1"), (2, "l2"), (2, "l3")]
+
+
+def test_a_bad_pattern_is_an_error_of_its_rule(spark):
+    docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
+    assert matching(docs, "r:(abc").collect() == []
+    assert [r.matched for r in evaluate(docs, "r:(abc").collect()] == [None]
+    rules = compile_rules([Rule("g", "bad", "r:(abc", 1), Rule("g", "good", "r:abc", 2)])
+    assert [r.label for r, _ in rules.bad] == ["bad"] and [r.label for r in label_rows(apply_rules(docs, rules)).collect()] == ["good"]
+
+
+def test_equivalents_replace_whole_phrases():
+    table = {"casa_de_papel": ["maison", "la casa"], "muro": "parede"}
+    assert parse('"casa de papel"', table) == parse('("casa de papel" OU "maison" OU "la casa")')
+    assert parse('telha E ("muro" NAO "casa de papel azul")', table) == parse('telha E (("muro" OU "parede") NAO "casa de papel azul")')
+    assert parse("muro", table) == parse("muro")
