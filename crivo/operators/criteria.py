@@ -14,7 +14,7 @@ from crivo.functions.patterns import compiled, regex_error, route
 from crivo.functions.tokens import let, token_array, where_once
 from crivo.operators.rewrite import Directives, rewritten, split_directives
 from crivo.operators.spans import SPAN, extract, highlight
-from crivo.plans.arrays import matches, prefilter
+from crivo.plans.arrays import matches, positions, prefilter
 from crivo.plans.parser import parse
 from crivo.plans.syntax import Blank, CriterionError, Node, and_or_not, canonical
 
@@ -138,3 +138,20 @@ def matching(docs: DataFrame, criterion: Criterion | str, document: str = "text"
         return docs.where(c.on(F.col(document), kind))
     tok = token_array(rewritten(F.col(document), kind, c.directives), kind)
     return where_once(docs, let(tok, lambda x: F.when(c.maybe_on_tokens(x), matches(c.node, x, c.synonyms)).otherwise(F.lit(False))))
+
+
+def parts_of(node: Node) -> list[Node]:
+    """The sub-expressions of a tree, operands before what joins them, itself last."""
+    below = [getattr(node, name) for name in ("left", "right", "of") if hasattr(node, name)]
+    return [*(x for n in below for x in parts_of(n)), node]
+
+
+def trace(docs: DataFrame, criterion: Criterion | str, document: str = "text", name: str = "trace") -> DataFrame:
+    """``docs`` with each sub-expression of the criterion and the number of positions that it has."""
+    c = compile_criterion(criterion) if isinstance(criterion, str) else criterion
+    kind = docs.schema[document].dataType
+    parts = parts_of(c.node) if c.node is not None and not c.error else []
+    if not parts:
+        return docs.withColumn(name, F.array().cast("array<struct<part:string,n_positions:int>>"))
+    tok = token_array(rewritten(F.col(document), kind, c.directives), kind)
+    return docs.withColumn(name, let(tok, lambda x: F.array(*[F.struct(F.lit(canonical(n)).alias("part"), F.size(positions(n, x, c.synonyms)).alias("n_positions")) for n in parts])))

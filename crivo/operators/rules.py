@@ -150,6 +150,9 @@ def emitted(results: Column, first_of_group: bool) -> Column:
 def apply_rules(docs: DataFrame, rules: RuleSet, document: str = "text", first_of_group: bool = True, with_spans: bool = False, detail: bool = False) -> DataFrame:
     """``docs`` with ``labels`` (in the order of emission) and on demand ``fired`` rules and ``spans``.
 
+    With ``detail`` each fired rule comes with its weaker form and the text that it was tested on (as JSON
+    for paged and fielded documents), with ``with_spans`` too with its own spans.
+
     The texts that the rules need (cut to head and tail, rewritten) are bound once, then what is made of
     them (light texts, tokens), and all rules are tested on these in one expression: a document is folded
     and tokenised once for each different text, whatever the number of rules.
@@ -187,11 +190,16 @@ def apply_rules(docs: DataFrame, rules: RuleSet, document: str = "text", first_o
         found = emitted(F.array().cast(RESULTS), first_of_group)
     out = docs.withColumn("_rules_found", F.explode_outer(F.array(found)))
     out = out.withColumn("labels", F.col("_rules_found.labels"))
+    every = F.array(*spans) if spans else F.array().cast(f"array<{SPAN}>")
     if detail:
-        listed = F.array(*[F.struct(F.lit(r.group).alias("group"), F.lit(r.label).alias("label"), F.lit(r.rule).alias("rule"), F.lit(c.and_or_not).alias("and_or_not")) for r, c in rules.rules])
-        out = out.withColumn("fired", F.transform(F.col("_rules_found.at"), lambda k: F.get(listed, k)) if rules.rules else F.array())
+        as_text = lambda x: x.cast("string") if isinstance(kind, T.StringType) else F.to_json(x)
+        tested = {k: as_text(x) for k, x in enumerate(texts.values())}
+        text_of = {k: at for (at, _), k in forms.items()}
+        listed = [[F.lit(r.group).alias("group"), F.lit(r.label).alias("label"), F.lit(r.rule).alias("rule"), F.lit(c.and_or_not).alias("and_or_not"), tested[text_of[k]].alias("processed")] for _, r, c, k in tests]
+        if with_spans:
+            listed = [[*columns, x.alias("spans")] for columns, x in zip(listed, spans, strict=True)]
+        out = out.withColumn("fired", F.transform(F.col("_rules_found.at"), lambda k: F.get(F.array(*[F.struct(*x) for x in listed]), k)) if listed else F.array())
     if with_spans:
-        every = F.array(*spans) if spans else F.array().cast(f"array<{SPAN}>")
         out = out.withColumn("spans", F.flatten(F.transform(F.col("_rules_found.at"), lambda k: F.get(every, k))))
     return out.drop("_rules_found")
 

@@ -130,6 +130,13 @@ def touch(cache: DataFrame, now: Column, used_col: str = "used") -> DataFrame:
     return cache.withColumn(used_col, F.when(F.col(used_col) < now - F.expr("INTERVAL 1 DAY"), now).otherwise(F.col(used_col)))
 
 
+def touch_session(cache: DataFrame, session_docs: DataFrame, now: Column, used_col: str = "used") -> DataFrame:
+    """``touch`` for the cached rows (id) whose documents are in a session (id); the others stay as they are."""
+    held = session_docs.select("id", F.lit(True).alias("_held")).distinct()
+    old = F.col("_held") & (F.col(used_col) < now - F.expr("INTERVAL 1 DAY"))
+    return cache.join(held, "id", "left").withColumn(used_col, F.when(old, now).otherwise(F.col(used_col))).select(*cache.columns)
+
+
 def purge(table: DataFrame, now: Column, keep: str = "INTERVAL 12 HOURS", time_col: str = "created") -> DataFrame:
     """Rows that have not outlived ``keep``."""
     return table.where(F.col(time_col) >= now - F.expr(keep))

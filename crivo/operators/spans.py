@@ -101,6 +101,20 @@ def highlight_spans(text: Column, spans: Column, before: str = "<mark>", after:
     return F.replace(spliced(text, merged(spans), before, after), F.lit("\n"), F.lit(line_break))
 
 
+def highlight_extractions(docs: DataFrame, criterion: str, document: str = "text", name: str = "highlighted", macros: dict[str, str] | None = None) -> DataFrame:
+    """``docs`` with the spans of a regex or LIKE criterion marked in each page or field, in the document's shape."""
+    pattern, kind, column = compiled(criterion, macros), docs.schema[document].dataType, F.col(document)
+
+    def one(x: Column) -> Column:
+        return highlight_spans(x, spans_of_text(x, pattern))
+
+    if isinstance(kind, T.ArrayType):
+        return docs.withColumn(name, F.transform(column, one))
+    if isinstance(kind, T.MapType):
+        return docs.withColumn(name, F.transform_values(column, lambda _, x: one(x)))
+    return docs.withColumn(name, one(column))
+
+
 def term_pattern(term: str) -> str:
     """Where a normalised term stands in aligned text; digits and letters bound one another."""
     body = term.strip()

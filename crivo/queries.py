@@ -15,10 +15,10 @@ from crivo.functions import normalize as N
 from crivo.functions.patterns import expand, regex_matches
 from crivo.functions.tokens import page_text, postings, unique_words, with_tokens, words
 from crivo.operators import session as S
-from crivo.operators.criteria import compile_criterion, matching
+from crivo.operators.criteria import compile_criterion, matching, trace
 from crivo.operators.rewrite import rewritten_text, split_directives
 from crivo.operators.rules import Rule, apply_rules, compile_rules, filter_rules, label_rows
-from crivo.operators.spans import extract, highlight_spans, highlight_terms
+from crivo.operators.spans import extract, highlight_extractions, highlight_spans, highlight_terms
 from crivo.plans.parser import parse
 from crivo.plans.postings import search as postings_search
 from crivo.sources.ingest import rejoin_lines, turns_as_pages
@@ -82,7 +82,10 @@ def token_count(spark, sf_dir):
 
 @register("token_df", f"WITH {O.tokens()} SELECT w, count(DISTINCT doc_id) AS df, count(*) AS tf FROM tok GROUP BY w")
 def token_df(spark, sf_dir):
-    per_doc = postings(with_tokens(documents(spark, sf_dir)).select("doc_id", "tok")).groupBy("w", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    # Words are counted as they stand first, so that each word of a document is brought to its singular once.
+    found = documents(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all(N.full(F.col("text")), F.lit("[0-9]+|[a-z]+"), 0)).alias("word"))
+    per_form = found.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    per_doc = per_form.groupBy(N.singular(F.col("word")).alias("w"), "doc_id").agg(F.sum("n").alias("n"))
     return per_doc.groupBy("w").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf"))
 
 
@@ -160,7 +163,7 @@ register("equivalent", O.matching('"of the"', equivalents=EQUIVALENTS))(match_qu
 def field_query(criterion: str) -> Query:
     def run(spark, sf_dir):
         docs = fielded(spark, sf_dir)
-        return docs.where(compile_criterion(criterion).on(F.col("fields"), docs.schema["fields"].dataType)).select("doc_id")
+        return matching(docs, criterion, "fields").select("doc_id")
 
     return run
 
@@ -441,6 +444,28 @@ def paged_match(spark, sf_dir):
     return matching(paged, "the COM2 of", "pages").select("conv_id")
 
 
+@register("highlight_paged", f"SELECT conv_id, md5(string_agg(replace(regexp_replace({O.light('text')}, '([0-9]+)', '<mark>\\1</mark>', 'g'), chr(10), '<br>'), chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def highlight_paged(spark, sf_dir):
+    paged = turns_as_pages(table(spark, sf_dir, "conversations").withColumn("text", N.light(F.col("text"))))
+    return highlight_extractions(paged, "r:[0-9]+", "pages").select("conv_id", F.md5(page_text(F.col("highlighted"))).alias("digest"))
+
+
+@register("trace", f"WITH {O.tokens()} SELECT d.doc_id, count(*) FILTER (WHERE t.w = 'the') AS n_left, count(*) FILTER (WHERE t.w = 'of') AS n_right, (SELECT count(*) FROM ({O.select(parse('the ADJ2 of'))}) m WHERE m.doc_id = d.doc_id) AS n_all FROM documents d LEFT JOIN tok t USING (doc_id) GROUP BY d.doc_id")
+def trace_query(spark, sf_dir):
+    found = trace(documents(spark, sf_dir).select("doc_id", "text"), "the ADJ2 of")
+    return found.select("doc_id", *[F.get("trace", F.lit(k))["n_positions"].cast("long").alias(n) for k, n in enumerate(("n_left", "n_right", "n_all"))])
+
+
+@register("cache_touch", """WITH used AS (SELECT DISTINCT user_id AS id FROM events WHERE event_type = (SELECT max(event_type) FROM events)), cached AS (SELECT event_id, user_id AS id, ts AS used FROM events WHERE event_type = (SELECT min(event_type) FROM events))
+SELECT c.event_id, c.id, CASE WHEN u.id IS NOT NULL AND c.used < TIMESTAMP '2024-01-14 00:00:00' THEN TIMESTAMP '2024-01-15 00:00:00' ELSE c.used END AS used FROM cached c LEFT JOIN used u USING (id)""")
+def cache_touch(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    first, last = events.agg(F.min("event_type"), F.max("event_type")).first()
+    cached = events.where(F.col("event_type") == first).select("event_id", F.col("user_id").alias("id"), F.col("ts").alias("used"))
+    session = events.where(F.col("event_type") == last).select(F.lit("s1").alias("session"), F.col("user_id").alias("id"))
+    return S.touch_session(cached, session, F.lit("2024-01-15 00:00:00").cast("timestamp"))
+
+
 @register("rejoin_lines", None)
 def rejoin_lines_query(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", rejoin_lines(F.col("text")).alias("text"))

@@ -5,10 +5,10 @@ from crivo.functions import normalize as N
 from crivo.functions.patterns import can_be_empty, expand, regex_error
 from crivo.functions.tokens import posting_lists, postings, with_tokens
 from crivo.operators import session as S
-from crivo.operators.criteria import compile_criterion, evaluate, matching
+from crivo.operators.criteria import compile_criterion, evaluate, matching, trace
 from crivo.operators.rewrite import removal_pattern, rewritten_text, split_directives
 from crivo.operators.rules import Rule, apply_rules, compile_rules, filter_rules, label_rows, load_rules, rules_table
-from crivo.operators.spans import extract_many, highlight
+from crivo.operators.spans import extract_many, highlight, highlight_extractions
 from crivo.plans.parser import parse
 from crivo.plans.postings import search
 from crivo.plans.thesaurus import EQUIVALENTS, SYNONYMS
@@ -295,3 +295,24 @@ def test_equivalents_replace_whole_phrases():
     assert parse('"casa de papel"', table) == parse('("casa de papel" OU "maison" OU "la casa")')
     assert parse('telha E ("muro" NAO "casa de papel azul")', table) == parse('telha E (("muro" OU "parede") NAO "casa de papel azul")')
     assert parse("muro", table) == parse("muro")
+
+
+def test_fired_rules_carry_their_spans_and_texts(spark):
+    docs = spark.createDataFrame([(1, "Um muro 1234 e 567, casa")], "doc_id long, text string")
+    rules = compile_rules([Rule("a", "numbers", "r:[0-9]{3,}", 1), Rule("b", "wall", "muro remover(casa)", 2), Rule("c", "head", "r:muro", 3, head=7), Rule("d", "none", "telha", 4)])
+    row = apply_rules(docs, rules, with_spans=True, detail=True).collect()[0]
+    assert [f.label for f in row.fired] == ["numbers", "wall", "head"]
+    assert [[s.text for s in f.spans] for f in row.fired] == [["1234", "567"], [], ["muro"]]
+    assert row.fired[0].processed == "Um muro 1234 e 567, casa" and "casa" not in row.fired[1].processed and row.fired[2].processed == "um muro"
+
+
+def test_extractions_are_marked_in_every_page_and_field(spark):
+    paged = spark.createDataFrame([(["a 1", "b\n22", "c"], {"x": "3 z", "y": "w"})], "pages array<string>, fields map<string,string>")
+    assert highlight_extractions(paged, "r:[0-9]+", "pages").first().highlighted == ["a <mark>1</mark>", "b<br><mark>22</mark>", "c"]
+    assert highlight_extractions(paged, "r:[0-9]+", "fields").first().highlighted == {"x": "<mark>3</mark> z", "y": "w"}
+
+
+def test_trace_counts_positions_of_every_part(house):
+    got = trace(house, "(casa ADJ9 papel) NAO telha").first().trace
+    assert [x.n_positions for x in got][:3] == [2, 2, 2] and got[-1].n_positions == 1 and got[-2].n_positions == 0
+    assert trace(house, "").first().trace == []
