@@ -22,7 +22,7 @@ def lines_left(rows):
     n = Counter(s for _, _, _, s, _ in rows)
     strip = lambda x: x.strip(" \t\n\x0b\x0c\r")
     held = Counter((s, x) for _, t, _, s, _ in rows for x in {strip(x) for x in (t or "").split("\n")} - {""})
-    often = {(s, x) for (s, x), k in held.items() if n[s] >= line_dedup.MIN_PAGES and k > line_dedup.RATIO * n[s]}
+    often = {(s, x) for (s, x), k in held.items() if k >= line_dedup.MIN_HELD and k > line_dedup.RATIO * n[s]}
     clean = lambda t, s: "\n".join(x for x in t.split("\n") if (s, strip(x)) not in often)
     return sorted((i, clean(t, s), g, s, len(clean(t, s))) for i, t, g, s, _ in rows)
 
@@ -40,9 +40,10 @@ def test_stages(spark):
     found = brute.classes({r[0]: s for r in rows_of(clean) if (s := brute.shingles(r[1]))})
     assert sorted(rows_of(alone)) == sorted(r for r in rows_of(clean) if found.get(r[0], (r[0],))[0] == r[0])
     mixed = cut(stages["mixing sources to target weights"](spark, alone, DATA), "mixed")
-    assert mixed.columns == docs.columns and set(rows_of(mixed)) <= set(rows_of(alone))
+    # Every document is read, and again where its source is small.
+    assert mixed.columns == docs.columns and set(rows_of(mixed)) == set(rows_of(alone))
     total = lambda df: sum(len((r[1] or "").encode().split()) for r in rows_of(df))
-    assert abs(total(mixed) - total(alone)) < 0.1 * total(alone)
+    assert total(alone) <= total(mixed) <= 1.35 * total(alone) and max(Counter(r[0] for r in rows_of(mixed)).values()) <= 2
     packed = stages["best-fit packing"](spark, mixed, DATA).collect()
     assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r[0] for r in rows_of(mixed))
     filled = Counter()
