@@ -21,7 +21,8 @@ from crivo.operators.rules import Rule, apply_rules, compile_rules, filter_rules
 from crivo.operators.spans import extract, highlight_extractions, highlight_spans, highlight_terms
 from crivo.plans.parser import parse
 from crivo.plans.postings import search as postings_search
-from crivo.sources.ingest import rejoin_lines, turns_as_pages
+from crivo.sources.ingest import ABBREVIATIONS, rejoin_lines, turns_as_pages
+from crivo.sources.store import TokenStore, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -160,6 +161,35 @@ register("synonym", O.matching("the ADJ1 of", synonyms=SYNONYMS))(match_query("t
 register("equivalent", O.matching('"of the"', equivalents=EQUIVALENTS))(match_query('"of the"', equivalents=EQUIVALENTS))
 
 
+def stored_query(criterion: str) -> Query:
+    def run(spark, sf_dir):
+        docs = documents(spark, sf_dir).select("doc_id", "text")
+        store = TokenStore(shared_folder(spark, "tokens"))
+        store.refresh(docs)
+        return store.search(docs, criterion)
+
+    return run
+
+
+for _name in ("adj", "unary_not", "nested"):
+    register(f"{_name}_stored", O.matching(CRITERIA[_name]))(stored_query(CRITERIA[_name]))
+
+_CHANGED = "SELECT doc_id, '' AS c, CASE WHEN lang = 'en' THEN 'la de ' || text ELSE text END AS text FROM documents"
+
+
+@register("stored_refresh", f"WITH {O.tokens(_CHANGED)} SELECT DISTINCT doc_id FROM ({O.select(parse('(la ADJ1 de) NAO thing'))})")
+def stored_refresh(spark, sf_dir):
+    """English documents change after the first indexing; the second one reads them alone."""
+    at = lambda day: F.lit(f"2024-01-{day} 00:00:00").cast("timestamp")
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    store = TokenStore(shared_folder(spark, "tokens"), date_col="updated")
+    store.refresh(docs.withColumn("updated", at("01")))
+    english = F.col("lang") == "en"
+    changed = docs.withColumn("text", F.when(english, F.concat(F.lit("la de "), F.col("text"))).otherwise(F.col("text"))).withColumn("updated", F.when(english, at("02")).otherwise(at("01")))
+    store.refresh(changed)
+    return store.search(changed, "(la ADJ1 de) NAO thing")
+
+
 def field_query(criterion: str) -> Query:
     def run(spark, sf_dir):
         docs = fielded(spark, sf_dir)
@@ -466,7 +496,15 @@ def cache_touch(spark, sf_dir):
     return S.touch_session(cached, session, F.lit("2024-01-15 00:00:00").cast("timestamp"))
 
 
-@register("rejoin_lines", None)
+_EDGES = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+@register("rejoin_lines", f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM s),
+e AS (SELECT *, regexp_matches(line, '[.?!]\\s*$') AND NOT regexp_matches(line, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:{ABBREVIATIONS})\\.\\s*$') AS ended FROM l),
+g AS (SELECT *, coalesce(sum(ended::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM e),
+j AS (SELECT doc_id, g, list_reduce(list(line ORDER BY k), lambda a, b: {_EDGES.format("a")} || ' ' || b) AS paragraph FROM g GROUP BY doc_id, g)
+SELECT doc_id, string_agg(paragraph, chr(10) ORDER BY g) AS text FROM j GROUP BY doc_id""")
 def rejoin_lines_query(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", rejoin_lines(F.col("text")).alias("text"))
 

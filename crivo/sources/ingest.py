@@ -49,7 +49,7 @@ def rejoin_lines(text: Column) -> Column:
     start = F.struct(F.lit(True).alias("ended"), F.array().cast(kind).alias("done"))
 
     def step(acc: Column, line: Column) -> Column:
-        ends = line.rlike(r"[.?!]\s*$") & ~line.rlike(rf"(?i)\b(?:{ABBREVIATIONS})\.\s*$")
+        ends = line.rlike(r"[.?!]\s*$") & ~line.rlike(rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{ABBREVIATIONS})\.\s*$")
         last = F.regexp_replace(F.coalesce(F.try_element_at(acc["done"], F.lit(-1)), F.lit("")), SPACE_EDGES, "")
         joined = F.concat(F.slice(acc["done"], 1, F.greatest(F.size(acc["done"]) - 1, F.lit(0))), F.array(F.concat(last, F.lit(" "), line)))
         done = F.when(acc["ended"], F.concat(acc["done"], F.array(line))).otherwise(joined)
