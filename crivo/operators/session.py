@@ -125,6 +125,16 @@ def cache_key(criterion: Criterion) -> str:
     return hashlib.sha1(criterion.canonical.encode()).hexdigest()
 
 
+def digest(*parts: Column) -> Column:
+    """Hex digest of a text, or of several joined by bars."""
+    return F.sha1(F.concat_ws("|", *parts).cast("binary"))
+
+
+def mini_digest(*parts: Column, step: int = 4) -> Column:
+    """Every ``step``-th character of the digest."""
+    return F.concat(*[F.substring(digest(*parts), k, 1) for k in range(1, 41, step)])
+
+
 def touch(cache: DataFrame, now: Column, used_col: str = "used") -> DataFrame:
     """Set the time of use where it is more than a day old."""
     return cache.withColumn(used_col, F.when(F.col(used_col) < now - F.expr("INTERVAL 1 DAY"), now).otherwise(F.col(used_col)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,38 @@ def split_pages(text: Column) -> Column:
     return F.when(F.instr(text, PAGE_MARK) > 1, F.split(text, PAGE_MARK, -1)).otherwise(F.array(text))
 
 
+def read_pages(spark: SparkSession, path: str, parse: Callable[[bytes], list[str | None]] | None = None) -> DataFrame:
+    """(path, pages, error) of PDF and text files; one of pages and error is null.
+
+    ``parse`` gives the pages of a PDF's bytes and runs in the tasks, a file at a time: bring a library of
+    your own.  A file called .pdf that doesn't hold one is ``not a pdf``; what the parser raises is
+    ``extraction failed``; both are rows, so one bad file doesn't end the job.  Other files are texts.  Files
+    without a byte have no row: Spark's file sources leave them out.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    # The mark may stand anywhere in the first 1024 bytes.
+    holds = F.instr(F.decode(F.substring("content", 1, 1024), "ISO-8859-1"), "%PDF-") > 0
+    named = F.lower("path").endswith(".pdf")
+    utf8 = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
+    plain = files.where(~holds).select("path", F.when(~named, split_pages(utf8)).alias("pages"), F.when(named, F.lit("not a pdf")).alias("error"))
+    held = files.where(holds)
+    if parse is None:
+        return plain.unionByName(held.select("path", F.lit(None).cast("array<string>").alias("pages"), F.lit("no parser for pdf files").alias("error")))
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    row = name, [x or "" for x in parse(bytes(content))], None
+                except Exception as error:  # whatever the given parser raises belongs to its file
+                    row = name, None, f"extraction failed: {error}"
+                yield pd.DataFrame([row], columns=["path", "pages", "error"])
+
+    return plain.unionByName(held.mapInPandas(run, "path string, pages array<string>, error string"))
+
+
 def turns_as_pages(turns: DataFrame, id_col: str = "conv_id", order_col: str = "turn", text_col: str = "text") -> DataFrame:
     """One paged document for each id, its pages in order."""
     ordered = F.sort_array(F.collect_list(F.struct(order_col, text_col)))
@@ -66,4 +100,16 @@ def read_rules(spark: SparkSession, path: str) -> list[Rule]:
     return [rule_of({k: v for k, v in r.asDict(recursive=True).items() if v is not None}) for r in table.collect()]
 
 
-__all__ = ["PAGE_MARK", "RULE_SCHEMA", "read_rules", "read_texts", "rejoin_lines", "split_pages", "turns_as_pages", "write_texts"]
+def read_examples(spark: SparkSession, path: str) -> DataFrame:
+    """(n, label, text, criterion) of a JSON file that holds a list under ``exemplos``.
+
+    Entries with neither text nor criterion are left out; ``n`` is the place in the file's list.
+    """
+    schema = "exemplos array<struct<texto: string, criterios: string>>"
+    found = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("exemplos").alias("n", "e"))
+    text, criterion = F.col("e.texto"), F.col("e.criterios")
+    kept = found.where((F.coalesce(text, F.lit("")) != "") | (F.coalesce(criterion, F.lit("")) != ""))
+    return kept.select("n", F.concat(F.substring(F.coalesce(text, F.lit("")), 1, 15), F.lit("...")).alias("label"), text.alias("text"), criterion.alias("criterion"))
+
+
+__all__ = ["PAGE_MARK", "RULE_SCHEMA", "read_examples", "read_pages", "read_rules", "read_texts", "rejoin_lines", "split_pages", "turns_as_pages", "write_texts"]
