@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from crivo.llm._common import read_table
 from crivo.llm.chat import format_chats, read_back
 from crivo.llm.embedding_dedup import embedding_dedup
+from crivo.llm.filter_audit import filter_audit
 from crivo.llm.lattice_lm import lattice_scores
 from crivo.llm.line_dedup import BLOCKS, ENTITIES, MIN_HELD, RATIO, page_line_dedup
 from crivo.llm.mixing import mix_sources
@@ -67,7 +68,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(turns.unionByName(own), tokenizer_path("piece_bpe_32k.model")), dealt=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_temperature_mixing, op2_token_counts, op3_site_line_dedup, op4_paragraph_dedup, op5_best_fit_packing, op6_embedding_dedup, op7_lattice_lm, op8_ngram_jaccard_join, op9_quality_rules, op10_chat_formatting)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_temperature_mixing, op2_token_counts, op3_site_line_dedup, op4_paragraph_dedup, op5_best_fit_packing, op6_embedding_dedup, op7_lattice_lm, op8_ngram_jaccard_join, op9_quality_rules, op10_chat_formatting, op12_filter_audit)}
 
 #: Text of a page, one line a block element.
 _PAGE_TEXT = f"""regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)\\s*>|<!--.*?-->', '', 'g'),
@@ -89,4 +94,33 @@ SELECT k.page_id, k.host, coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FI
        count(*) FILTER (WHERE k.trimmed <> '') AS n_lines, count(*) FILTER (WHERE b.gone) AS n_dropped
 FROM k LEFT JOIN b ON k.host IS NOT DISTINCT FROM b.host AND k.trimmed = b.trimmed
 GROUP BY k.page_id, k.host""",
+    "op12_filter_audit": r"""
+WITH x AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+firsts AS (SELECT t, min(doc_id) AS least FROM x GROUP BY t),
+known AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+  FROM x JOIN firsts USING (t) LEFT JOIN known USING (doc_id)
+),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS v),
+o AS (SELECT a.v || b.v || c.v || d.v || e.v AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.v, b.v, c.v, d.v, e.v])) = 5),
+s AS (SELECT filter_order, k AS step, filter_order[k] AS own, filter_order[:k - 1] AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+c AS (
+  SELECT part, filter_order, step, own, contains(fails, own) AS failing, step > 1 AND length(translate(fails, before, '')) < length(fails) AS earlier, fails, n, good, toxic FROM g, s
+),
+r AS (
+  SELECT part, filter_order, step, own,
+    CAST(coalesce(sum(n) FILTER (WHERE NOT failing AND NOT earlier), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (WHERE failing AND NOT earlier), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (WHERE failing AND earlier), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (WHERE fails = own), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (WHERE failing AND NOT earlier), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (WHERE failing AND NOT earlier), 0) AS BIGINT) AS toxic_lost
+  FROM c GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
 }
