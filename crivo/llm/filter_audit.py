@@ -43,9 +43,12 @@ def word_totals(rows: DataFrame) -> DataFrame:
     """(doc, h, total, words): words and distinct words of each (doc, h, text), however often the row repeats.
 
     Every row adds one null word, so that rows without words are there and repetitions can be divided out.
+    Words travel as 64 bits of hash: two of a document's distinct words share one with a chance of their
+    number squared in 2^65.
     """
     said = F.split("text", f"{SPACE_CLASS}+")
     exploded = rows.select("doc", "h", F.explode(F.array_append(said, F.lit(None).cast("string"))).alias("word")).where("word IS NULL OR word <> ''")
+    exploded = exploded.select("doc", "h", F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("word"))
     by_word = exploded.groupBy("doc", "h", "word").agg(F.count(F.lit(1)).alias("n"))
     rows_alike = F.sum(F.when(F.col("word").isNull(), F.col("n")))
     by_doc = by_word.groupBy("doc", "h").agg(F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))), F.lit(0)).alias("said"), F.count("word").alias("words"), rows_alike.alias("rows"))
