@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from crivo.llm._common import read_table
 from crivo.llm.chat import format_chats, read_back
+from crivo.llm.compression_quality import quality_scores
 from crivo.llm.embedding_dedup import embedding_dedup
 from crivo.llm.filter_audit import filter_audit
+from crivo.llm.hard_negatives import hard_negatives
 from crivo.llm.lattice_lm import lattice_scores
 from crivo.llm.line_dedup import BLOCKS, ENTITIES, MIN_HELD, RATIO, page_line_dedup
 from crivo.llm.mixing import mix_sources
@@ -68,11 +71,21 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(turns.unionByName(own), tokenizer_path("piece_bpe_32k.model")), dealt=True)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read_table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_temperature_mixing, op2_token_counts, op3_site_line_dedup, op4_paragraph_dedup, op5_best_fit_packing, op6_embedding_dedup, op7_lattice_lm, op8_ngram_jaccard_join, op9_quality_rules, op10_chat_formatting, op12_filter_audit)}
+def op13_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_temperature_mixing, op2_token_counts, op3_site_line_dedup, op4_paragraph_dedup, op5_best_fit_packing, op6_embedding_dedup, op7_lattice_lm, op8_ngram_jaccard_join, op9_quality_rules, op10_chat_formatting, op11_hard_negatives, op12_filter_audit, op13_compression_quality)}
 
 #: Text of a page, one line a block element.
 _PAGE_TEXT = f"""regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)\\s*>|<!--.*?-->', '', 'g'),
@@ -94,6 +107,21 @@ SELECT k.page_id, k.host, coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FI
        count(*) FILTER (WHERE k.trimmed <> '') AS n_lines, count(*) FILTER (WHERE b.gone) AS n_dropped
 FROM k LEFT JOIN b ON k.host IS NOT DISTINCT FROM b.host AND k.trimmed = b.trimmed
 GROUP BY k.page_id, k.host""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+s AS (
+  SELECT a.id AS a, a.label AS of, b.id, b.label, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id
+),
+p AS (SELECT a, of, id, score FROM s WHERE label = of QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id) <= 5)
+SELECT p.a AS anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND s.label <> p.of AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.a, p.id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 10""",
     "op12_filter_audit": r"""
 WITH x AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 firsts AS (SELECT t, min(doc_id) AS least FROM x GROUP BY t),
