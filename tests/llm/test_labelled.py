@@ -66,8 +66,8 @@ def test_negatives_equal_brute_force(spark, cell_rows):
 
 
 def test_walk_visits_few_leaves():
-    rows = vectors(2, 3000, 3)
-    x = np.array([[math.floor(256 * e) for e in v] for _, v, _ in rows], float)
+    x = np.array([v for _, v, _ in vectors(2, 3000, 3)])
+    x = np.floor(256 * x / np.sqrt((x * x).sum(1, keepdims=True)))
     tree = H.Tree(x, float((x * x).sum(1).max()), H.LEAF_ROWS)
     windows = H.Windows([-(1 << 53)], [1 << 53], 5)
     seen = []
