@@ -40,19 +40,19 @@ KINDS = ("n", "good", "toxic")
 
 
 def word_totals(rows: DataFrame) -> DataFrame:
-    """(doc, h, total, words): words and distinct words of each (doc, h, text), however often the row repeats.
+    """(key, low, total, words): words and distinct words of each (key, low, text), however often the row repeats.
 
     Every row adds one null word, so that rows without words are there and repetitions can be divided out.
-    Words travel as 64 bits of hash: two of a document's distinct words share one with a chance of their
-    number squared in 2^65.
+    Words travel as 56 bits of hash: some two of a document's m distinct words share one with a chance of
+    m squared in 2^57.
     """
     said = F.split("text", f"{SPACE_CLASS}+")
-    exploded = rows.select("doc", "h", F.explode(F.array_append(said, F.lit(None).cast("string"))).alias("word")).where("word IS NULL OR word <> ''")
-    exploded = exploded.select("doc", "h", F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("word"))
-    by_word = exploded.groupBy("doc", "h", "word").agg(F.count(F.lit(1)).alias("n"))
+    exploded = rows.select("key", "low", F.explode(F.array_append(said, F.lit(None).cast("string"))).alias("word")).where("word IS NULL OR word <> ''")
+    exploded = exploded.select("key", "low", F.when(F.col("word").isNotNull(), F.xxhash64("word").bitwiseAND(F.lit((1 << 56) - 1))).alias("word"))
+    by_word = exploded.groupBy("key", "low", "word").agg(F.count(F.lit(1)).alias("n"))
     rows_alike = F.sum(F.when(F.col("word").isNull(), F.col("n")))
-    by_doc = by_word.groupBy("doc", "h").agg(F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))), F.lit(0)).alias("said"), F.count("word").alias("words"), rows_alike.alias("rows"))
-    return by_doc.select("doc", "h", F.expr("said div rows").alias("total"), "words")
+    by_doc = by_word.groupBy("key", "low").agg(F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))), F.lit(0)).alias("said"), F.count("word").alias("words"), rows_alike.alias("rows"))
+    return by_doc.select("key", "low", F.expr("said div rows").alias("total"), "words")
 
 
 def copies(rows: DataFrame) -> DataFrame:
@@ -64,20 +64,15 @@ def failed_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc, part, failed): the filters that each document fails, as bits from A on."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), text.alias("text"))
-    hashed = plain.withColumn("h", F.xxhash64("text"))
+    hashed = plain.withColumn("h", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text"))
+    # Rows of one id that differ in their texts are told apart by 32 bits of hash, rows without an id by 96.
+    keyed = hashed.withColumn("key", F.coalesce("doc", "h")).withColumn("low", F.col("h2").bitwiseAND(F.lit((1 << 32) - 1)))
     letters = F.regexp_count("text", F.lit("[A-Z]"))
-    flags = hashed.select(
-        "doc",
-        "part",
-        "h",
-        F.xxhash64(F.lit(1), "text").alias("h2"),
-        (100 * letters > UPPER_PERCENT * F.length("text")).alias("c"),
-        F.col("text").rlike(f"[{SYMBOLS}]").alias("d"),
-    )
+    flags = keyed.select("doc", "part", "h", "h2", "key", "low", (100 * letters > UPPER_PERCENT * F.length("text")).alias("c"), F.col("text").rlike(f"[{SYMBOLS}]").alias("d"))
     first = copies(flags.select("doc", "h", "h2"))
     met = flags.hint("merge").join(first, ["h", "h2"], "left")
-    counted = word_totals(hashed).withColumnsRenamed({"doc": "of", "h": "of_h"})
-    joined = met.join(counted.hint("merge"), F.col("doc").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h")), "full_outer")
+    counted = word_totals(keyed).withColumnsRenamed({"key": "of", "low": "of_low"})
+    joined = met.join(counted.hint("merge"), (F.col("key") == F.col("of")) & (F.col("low") == F.col("of_low")), "full_outer")
     total, words = F.coalesce("total", F.lit(0)), F.coalesce("words", F.lit(0))
     tests = (total < MIN_WORDS, 100 * words < DISTINCT_PERCENT * total, F.col("c"), F.col("d"), F.coalesce(F.col("doc") > F.col("least"), F.lit(False)))
     bits = sum((F.when(test, F.lit(1 << k)).otherwise(F.lit(0)) for k, test in enumerate(tests)), F.lit(0))
