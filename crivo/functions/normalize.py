@@ -80,6 +80,11 @@ def light(text: Column) -> Column:
     return F.translate(F.replace(fold(text), F.lit("<br>"), F.lit("\n")), "\r", "\n")
 
 
+def in_step(text: Column) -> Column:
+    """The original text, each character where its ``light`` form has it: line breaks are one character."""
+    return F.translate(F.regexp_replace(text, "(?i)<br>", "\n"), "\r", "\n")
+
+
 def light_text(text: str) -> str:
     return fold_text(text).replace("<br>", "\n").replace("\r", "\n")
 

@@ -14,12 +14,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crivo.functions.normalize import light, light_text, remove_quoted, unify_quotes
+from crivo.functions.normalize import in_step, light, light_text, remove_quoted, unify_quotes
 from crivo.functions.patterns import FLAGS
+from crivo.functions.scan import blocks, piece
 from crivo.functions.tokens import let
-from crivo.operators.spans import offsets
+from crivo.operators.spans import between, offsets
 from crivo.plans.syntax import CriterionError
 
+# --- fixed values: the directives and what the signs in their bodies stand for -----------------------
 DIRECTIVE = re.compile(r"\b(remover|recortar)\(([^)]*)\)", re.IGNORECASE)
 BRACKETS = r'["\[\]\(\){}\|]'
 LETTER, OTHER = "[a-z0-9]", "[^a-z0-9]{1,10}"
@@ -81,13 +83,8 @@ def removal_pattern(body: str) -> str:
 
 def removed(text: Column, pattern: str) -> Column:
     """``text`` with every match of the pattern (found on the folded text) turned into a space."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def cut(x: Column) -> Column:
-        step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(x, acc["at"] + 1, s["start"] - acc["at"]), F.lit(" ")).alias("out"))
-        return F.aggregate(offsets(light(x), FLAGS + pattern), start, step, lambda acc: F.trim(F.concat(acc["out"], F.substring(x, acc["at"] + 1, F.length(x)))))
-
-    return let(text, cut)
+    bound = lambda x: F.struct(offsets(light(x), FLAGS + pattern).alias("at"), blocks(x).alias("parts"), F.length(x).alias("size"))
+    return let(in_step(text), lambda x: let(bound(x), lambda z: F.trim(between(z["parts"], z["at"], z["size"], lambda _: F.lit(" ")))))
 
 
 def delimiter(raw: str) -> tuple[str, bool]:
@@ -101,6 +98,7 @@ def cropped(text: Column, start: str, end: str) -> Column:
     """The stretches from ``start`` to ``end``, both included, joined by line feeds."""
     if not start and not end:
         return text
+    text = in_step(text)
     first, start_optional = delimiter(start)
     last, end_optional = delimiter(end)
     at = lambda x, p: F.regexp_instr(light(x), F.lit(FLAGS + p))
@@ -115,7 +113,8 @@ def cropped(text: Column, start: str, end: str) -> Column:
     if not start_optional and not end_optional:
         # Looking ahead for the start lets the end be searched from the start's first character on.
         stretch = f"(?s)(?=(?:{first})).*?(?:{last})"
-        return let(text, lambda x: F.array_join(F.transform(offsets(light(x), FLAGS + stretch), lambda s: F.substring(x, s["start"] + 1, s["end"] - s["start"])), "\n"))
+        found = lambda x: F.struct(offsets(light(x), FLAGS + stretch).alias("at"), blocks(x).alias("parts"))
+        return let(text, lambda x: let(found(x), lambda z: F.array_join(F.transform(z["at"], lambda s: piece(z["parts"], s["start"], s["end"])), "\n")))
 
     def step(acc: Column, k: Column) -> Column:
         rest = acc["rest"]

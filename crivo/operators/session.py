@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from crivo.functions.tokens import let
 from crivo.operators.criteria import Criterion, compile_criterion
+from crivo.plans.arrays import matches
+from crivo.plans.postings import fits_nothing, gathered
 from crivo.plans.postings import search as postings_search
-from crivo.plans.syntax import words_of
+from crivo.plans.syntax import Blank, words_of
 
 LIMIT = 1000
 STATUS_ORDER = "NMP"
@@ -63,10 +65,14 @@ def search(docs: DataFrame, criterion: Criterion | str, tok: str = "tok", id_col
 def search_postings(postings: DataFrame, docs: DataFrame, criterion: Criterion | str, id_col: str = "doc_id", limit: int = LIMIT) -> DataFrame:
     """The same over stored postings."""
     c = compile_criterion(criterion) if isinstance(criterion, str) else criterion
-    found = postings_search(c.node, postings, docs, id_col, c.synonyms)
-    names = sorted({t.word for t in words_of(c.node) if not t.wild}) if c.node is not None else []
-    score = postings.where(F.col("w").isin(*names)).groupBy(id_col).agg(F.count(F.lit(1)).alias("score"))
-    return found.join(score, id_col, "left").select(id_col, F.coalesce("score", F.lit(0)).alias("score")).orderBy(F.desc("score"), id_col).limit(limit)
+    if c.node is None or isinstance(c.node, Blank) or fits_nothing(c.node):
+        found = postings_search(c.node, postings, docs, id_col, c.synonyms).select(id_col, F.lit(None).cast("array<struct<w:string>>").alias("tok"))
+        held = gathered(c.node, postings, id_col, c.synonyms).withColumnRenamed("tok", "held") if words_of(c.node or Blank()) else None
+        found = found.drop("tok").join(held, id_col, "left").withColumn("score", F.coalesce(term_score(F.col("held"), c), F.lit(0))) if held is not None else found.select(id_col, F.lit(0).cast("long").alias("score"))
+    else:
+        held = gathered(c.node, postings, id_col, c.synonyms)
+        found = held.where(matches(c.node, F.col("tok"), c.synonyms)).withColumn("score", term_score(F.col("tok"), c))
+    return found.select(id_col, "score").orderBy(F.desc("score"), id_col).limit(limit)
 
 
 def start_session(session: str, found: DataFrame, id_col: str = "doc_id", status: str = "P") -> DataFrame:

@@ -12,39 +12,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crivo.functions.normalize import BREAK, aligned, light
-from crivo.functions.patterns import can_be_empty, compiled, searched
+from crivo.functions.normalize import BREAK, aligned, in_step, light
+from crivo.functions.patterns import compiled
+from crivo.functions.scan import blocks, piece, running_max, running_sums
 from crivo.functions.tokens import let
 from crivo.plans.parser import parse
-from crivo.plans.syntax import CriterionError, words_of
+from crivo.plans.syntax import words_of
 
 SPAN = "array<struct<start:int,end:int,text:string,page:int,field:string>>"
+PLACES = "array<struct<start:int,end:int>>"
+#: Characters for private use that stand around matches; a text's own count as unknown characters.
+OPEN, CLOSE, STAND_IN = "\uf8fe", "\uf8ff", "\ufffd"
 
 
 def offsets(text: Column, pattern: str) -> Column:
-    """(start, end) of the matches in order, from the matches and the pieces between them."""
+    """(start, end) of the matches in order, empty ones too: every match is put between two marks, and the
+    lengths of what lies between marks are summed."""
+    plain = F.translate(text, OPEN + CLOSE, STAND_IN * 2)
+    marked = F.regexp_replace(plain, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}"))
+    sizes = F.transform(F.split(marked, f"[{OPEN}{CLOSE}]", -1), F.length)
 
-    def fold(z: Column) -> Column:
-        lengths = F.zip_with(F.transform(z["between"], F.length), F.transform(z["found"], F.length), lambda a, b: F.struct(a.alias("skip"), b.alias("size")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    def paired(at: Column) -> Column:
+        found = F.filter(F.transform(at, lambda x, i: F.when(i % 2 == 0, F.struct(x.alias("start"), F.get(at, i + 1).alias("end")))), lambda s: s["end"].isNotNull())
+        return F.when(F.size(at) > 1, found).otherwise(F.array().cast(PLACES))
 
-        def step(acc: Column, x: Column) -> Column:
-            begin = acc["at"] + x["skip"]
-            return F.struct((begin + x["size"]).alias("at"), F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), (begin + x["size"]).alias("end")))).alias("spans"))
-
-        return F.aggregate(F.slice(lengths, 1, F.size(z["found"])), start, step, lambda acc: acc["spans"])
-
-    return let(F.struct(searched(text, pattern).alias("found"), F.split(text, pattern, -1).alias("between")), fold)
+    return let(let(sizes, lambda n: F.when(F.size(n) > 1, running_sums(n)).otherwise(n)), paired)
 
 
 def spans_of_text(text: Column, pattern: str, page: Column | None = None, field: Column | None = None) -> Column:
     """Spans of a pattern: found on the folded text, their text taken from the original."""
-    if can_be_empty(pattern):
-        raise CriterionError("the pattern matches the empty text, so it has no spans")
-    return F.transform(
-        offsets(light(text), pattern),
-        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text"), (F.lit(None).cast("int") if page is None else page.cast("int")).alias("page"), (F.lit(None).cast("string") if field is None else field).alias("field")),
-    )
+
+    def taken(z: Column) -> Column:
+        return F.transform(
+            z["at"],
+            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), piece(z["parts"], s["start"], s["end"]).alias("text"), (F.lit(None).cast("int") if page is None else page.cast("int")).alias("page"), (F.lit(None).cast("string") if field is None else field).alias("field")),
+        )
+
+    return let(F.struct(offsets(light(text), pattern).alias("at"), blocks(in_step(text)).alias("parts")), taken)
 
 
 def extract(document: Column, kind: T.DataType, criterion: str, macros: dict[str, str] | None = None) -> Column:
@@ -70,35 +74,39 @@ def extract_many(text: Column, criteria: Sequence[Mapping[str, str]], key: str =
         meta = [F.lit(x) for k, v in c.items() if k != key and k not in drop for x in (k, str(v))]
         labels = F.create_map(*meta) if meta else F.create_map().cast("map<string,string>")
         parts.append(F.transform(spans_of_text(text, compiled("r:" + c[key])), with_meta(F.to_json(labels))))
-    return F.array_sort(F.flatten(F.array(*parts)))
+    return F.sort_array(F.flatten(F.array(*parts)))
 
 
 def merged(spans: Column) -> Column:
-    """Sorted (start, end) spans with overlapping and touching ones made one."""
-    kind = "array<struct<start:int,end:int>>"
+    """(start, end) of spans in order, with overlapping and touching ones made one."""
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (s["start"] <= F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(-1))), joined).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+    def joined(z: Column) -> Column:
+        at, upto = z["at"], z["upto"]
+        # A span begins where the earlier ones have all ended, and ends where the next one begins.
+        firsts = F.filter(F.transform(at, lambda s, i: F.when((i == 0) | (s["start"] > F.get(upto, i - 1)), s["start"])), lambda x: x.isNotNull())
+        lasts = F.filter(F.transform(upto, lambda e, i: F.when((i == F.size(upto) - 1) | (F.get(at, i + 1)["start"] > e), e)), lambda x: x.isNotNull())
+        return F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
 
-    plain = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    return F.aggregate(plain, F.array().cast(kind), step)
+    plain = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    ends = let(plain, lambda at: F.struct(at.alias("at"), running_max(F.transform(at, lambda s: s["end"])).alias("upto")))
+    return let(ends, joined)
 
 
-def spliced(text: Column, spans: Column, before: str, after: str) -> Column:
-    """``text`` with marks around sorted spans that don't overlap."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def between(parts: Column, spans: Column, size: Column, inside) -> Column:
+    """The pieces of a text in blocks around sorted spans that don't overlap, joined by what ``inside`` makes of each span."""
+    before = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+    pieces = F.transform(spans, lambda s, i: F.concat(piece(parts, before(i), s["start"]), inside(s)))
+    return F.concat(F.array_join(pieces, ""), piece(parts, before(F.size(spans)), size))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(before), F.substring(text, s["start"] + 1, s["end"] - s["start"]), F.lit(after))
-        return F.struct(s["end"].alias("at"), piece.alias("out"))
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+def spliced(text: Column, spans: Column, before: str, after: str) -> Column:
+    """``text`` with marks around sorted spans that don't overlap."""
+    bound = F.struct(spans.alias("at"), blocks(text).alias("parts"), F.length(text).alias("size"))
+    return let(bound, lambda z: between(z["parts"], z["at"], z["size"], lambda s: F.concat(F.lit(before), piece(z["parts"], s["start"], s["end"]), F.lit(after))))
 
 
 def highlight_spans(text: Column, spans: Column, before: str = "<mark>", after: str = "</mark>", line_break: str = "<br>") -> Column:
-    return F.replace(spliced(text, merged(spans), before, after), F.lit("\n"), F.lit(line_break))
+    return F.replace(spliced(in_step(text), merged(spans), before, after), F.lit("\n"), F.lit(line_break))
 
 
 def highlight_extractions(docs: DataFrame, criterion: str, document: str = "text", name: str = "highlighted", macros: dict[str, str] | None = None) -> DataFrame:

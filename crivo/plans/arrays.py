@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from crivo.functions.scan import running_max
 from crivo.functions.tokens import TOKEN, let, unique_words
 from crivo.plans.syntax import Absent, Binary, Blank, Compare, Node, Scope, Term, weaker
 
@@ -39,19 +40,53 @@ def word_matches(w: Column, term: Term, synonyms: Mapping[str, Sequence[str]]) -
     return w.isin(*spellings(term, synonyms))
 
 
-def band(name: str, number: int, a: Column, b: Column) -> Column:
-    """Whether position ``b`` of the right operand fits ``a`` of the left one."""
-    same = a["c"] == b["c"]
-    ahead, below = b["t"] - a["t"], b["p"] - a["p"]
-    if name == "MESMO":
-        return same
+def reach(name: str, number: int) -> tuple[bool, str | None, int]:
+    """What two positions must share and how far apart they may be: (paragraph too, what is counted, how many)."""
     if name == "COM":
-        return same & below.between(0, max(number - 1, 0))
-    if name in ("ADJC", "PROXC"):
-        same &= below == 0
-    if number == 0:
-        return same
-    return same & ahead.between(-number if name.startswith("PROX") else 0, number)
+        return False, "p", max(number - 1, 0)
+    paragraph = name in ("ADJC", "PROXC")
+    return (paragraph, None, 0) if name == "MESMO" or number == 0 else (paragraph, "t", number)
+
+
+def near(name: str, number: int, a: Column, b: Column) -> Column:
+    """The positions of ``b`` that stand at most so far behind one of ``a``; for PROX of either, on either side.
+
+    Both are sorted into one array, where the nearest of the other operand is the last one before or the
+    next one after; a running maximum of places finds it.
+    """
+    paragraph, counted, most = reach(name, number)
+    both = name.startswith("PROX")
+
+    def placed(x: Column, side: int) -> Column:
+        group = x["p"] if paragraph else F.lit(0)
+        order = x[counted] if counted else F.lit(0)
+        return F.struct(x["c"].alias("c"), group.alias("g"), order.alias("o"), F.lit(side).alias("side"), x["t"].alias("t"), x["p"].alias("p"), x["w"].alias("w"))
+
+    def latest(z: Column, side: int) -> Column:
+        return running_max(F.transform(z, lambda x, i: F.when(x["side"] == side, i)))
+
+    def fits(z: Column, x: Column, at: Column) -> Column:
+        other = F.get(z, at)
+        return F.coalesce((other["c"] == x["c"]) & (other["g"] == x["g"]) & (F.abs(other["o"] - x["o"]) <= most), F.lit(False))
+
+    def found(z: Column) -> Column:
+        ways = [z["up"], z["down"]] if both else [z["up"]]
+        last = {k: F.struct(*[latest(way, side).alias(f"s{side}") for side in ((0, 1) if both else (0,))]).alias(f"w{k}") for k, way in enumerate(ways)}
+
+        def kept(y: Column) -> Column:
+            def test(x: Column, i: Column) -> Column:
+                places = (i, F.size(ways[0]) - 1 - i)
+                behind = lambda side: F.greatest(*[fits(way, x, F.get(y[f"w{k}"][f"s{side}"], places[k])) for k, way in enumerate(ways)], F.lit(False))
+                return F.when(x["side"] == 1, behind(0)).otherwise(behind(1) if both else F.lit(False))
+
+            return F.filter(ways[0], test)
+
+        return let(F.struct(*last.values()), kept)
+
+    up = F.sort_array(F.concat(F.transform(a, lambda x: placed(x, 0)), F.transform(b, lambda x: placed(x, 1))))
+    ways = let(up, lambda z: F.struct(z.alias("up"), *([F.reverse(z).alias("down")] if both else [])))
+    rows = F.transform(let(ways, found), lambda x: F.struct(x["w"].alias("w"), x["t"].alias("t"), x["p"].alias("p"), x["c"].alias("c")))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), rows).otherwise(nothing())
 
 
 def compares(w: Column, sign: str, value: str) -> Column:
@@ -94,10 +129,7 @@ def combine(n: Binary, a: Column, b: Column) -> Column:
         return F.concat(a, b)
     if n.name == "NAO":
         return F.when((F.size(a) > 0) & (F.size(b) == 0), truth()).otherwise(nothing())
-    right = F.filter(b, lambda y: F.exists(a, lambda x: band(n.name, n.number, x, y)))
-    if not n.name.startswith("PROX"):
-        return right
-    return F.concat(right, F.filter(a, lambda x: F.exists(b, lambda y: band(n.name, n.number, x, y))))
+    return near(n.name, n.number, a, b)
 
 
 def matches(node: Node | None, tok: Column, synonyms: Mapping[str, Sequence[str]] | None = None) -> Column:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crivo.functions import normalize as N
-from crivo.functions.patterns import can_be_empty, expand, regex_error
+from crivo.functions.patterns import expand, regex_error
 from crivo.functions.tokens import posting_lists, postings, with_tokens
 from crivo.operators import session as S
 from crivo.operators.criteria import compile_criterion, evaluate, matching, trace
@@ -160,7 +160,6 @@ def test_ready_made_patterns(spark, pattern, text, want):
 
 def test_pattern_validity(spark):
     assert regex_error(spark, "(a") and regex_error(spark, expand("<OAB:SP123>")) is None
-    assert can_be_empty("a*") and not can_be_empty("a+")
 
 
 def test_several_patterns(house):
