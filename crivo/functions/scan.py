@@ -20,10 +20,8 @@ ROUNDS = 9
 BLOCK = 1024
 
 
-def _round(values: Column, step: int, join: Callable[[Column, Column], Column]) -> Column:
-    """Every element joined with those ``step``, 2 * ``step``, ... places before it."""
-
-    def spread(a: Column) -> Column:
+def _scan(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    def spread(a: Column, step: Column) -> Column:
         def add(x: Column, i: Column) -> Column:
             for j in range(1, RADIX):
                 x = join(x, F.get(a, i - j * step))
@@ -31,13 +29,7 @@ def _round(values: Column, step: int, join: Callable[[Column, Column], Column])
 
         return F.when(F.size(a) > step, F.transform(a, add)).otherwise(a)
 
-    return let(values, spread)
-
-
-def _scan(values: Column, join: Callable[[Column, Column], Column]) -> Column:
-    for k in range(ROUNDS):
-        values = _round(values, RADIX**k, join)
-    return values
+    return F.aggregate(F.array(*[F.lit(RADIX**k) for k in range(ROUNDS)]), values, spread)
 
 
 def running_sums(values: Column) -> Column:
