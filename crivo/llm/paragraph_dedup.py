@@ -1,20 +1,21 @@
 """Substring dedup on paragraphs: MinHash banding, exact Jaccard, removals by connected components.
 
-A paragraph is a text's part between line feeds that has ``min_words`` words or more; shorter ones are
-headings and menu lines, which this operator leaves to line dedup: ``min_words=1`` compares them too.
-Bands are tuned for recall: with rows of 3 values, the fewest bands that find a pair at the threshold
+A paragraph is a text's part between line feeds.  Those of ``min_words`` words or more are compared by
+MinHash bands tuned for recall: with rows of 3 values, the fewest bands that find a pair at the threshold
 with the wanted chance (10 bands: 99.9 %).  Equal paragraphs collapse before any comparison, pairs that
 share a band are verified exactly, and of each component the first occurrence (smallest document id, then
-position) stays.
+position) stays.  Shorter paragraphs, of a word or more, are compared by their hash alone: equal ones are
+classes and are reported, but all of them stay, since a heading or a notice that recurs is no copied text.
 
 A passage of ``PASSAGE_WORDS`` (50) words or more that stands word for word elsewhere is found wherever
 line feeds are.  Of every run of 50 words at least one 25-word gram is its neighbourhood's smallest hash
 (winnowing), so a run that occurs twice has a selected gram that occurs twice; around those grams all
-50-word windows are compared exactly, and windows that follow one another in both places make a passage.
-This covers what the lines leave: windows that stand wholly in dropped lines are not looked at.  The
-first occurrence of a window is its source.  A passage is marked if ``min_words`` or more of its words
-stand outside the lines that are dropped; its row has a null ``paragraph``, and so has its source's row.
-In one text a window counts as a copy only of one that it doesn't overlap.
+50-word windows are compared exactly.  This covers what the lines leave: windows that stand wholly in
+dropped lines are not looked at.  The first occurrence of a window is its source; a window is a copy if it
+doesn't overlap its source in the same text.  Copies that overlap are one passage, as are sources, so a
+text that repeats itself with any period is one source and one passage however long it is.  Passages and
+sources that share windows are a class.  A passage is marked if ``min_words`` or more of its words stand
+outside the lines that are dropped; its row has a null ``paragraph``, and so have its sources' rows.
 
 Defined cases: a null or empty text has no paragraphs; rows with a null id are not compared; repeated
 rows of one id repeat its paragraphs, and rows that can't be told apart are marked alike; a text without
@@ -29,8 +30,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crivo.llm._common import SHINGLE_WORDS, U64, chunks, cut, release, splitmix, string_buffers, word_hashes
+from crivo.functions.scan import blocks
+from crivo.functions.tokens import let
+from crivo.llm._common import SHINGLE_WORDS, U64, chunks, components, cut, release, splitmix, string_buffers, word_hashes
 from crivo.llm.near_sets import TILE_SHINGLES, hashed, near_links, representatives, tune_bands
+from crivo.operators.spans import between, merged
 
 ROWS = 3
 RECALL = 0.999
@@ -59,7 +63,10 @@ def small_batches(batches: Iterator, text_column: int) -> Iterator:
 
 
 def described(texts: DataFrame, bands: int, rows: int, size: int, min_words: int) -> DataFrame:
-    """(doc, paragraph, start, n_chars, n_words, k1, k2, n, bands) of the paragraphs of (doc, text) rows."""
+    """(doc, paragraph, start, n_chars, n_words, k1, k2, n, bands) of the paragraphs of (doc, text) rows.
+
+    Paragraphs of fewer than ``min_words`` words have no bands.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -81,14 +88,15 @@ def described(texts: DataFrame, bands: int, rows: int, size: int, min_words: int
                 _, where = word_hashes(data[bounds[at] : bounds[upto]], bounds[at : upto + 1] - bounds[at])
                 n_words[at:upto] = np.bincount(where, minlength=upto - at)
                 at = upto
-            take = np.flatnonzero(n_words >= min_words)
+            take = np.flatnonzero(n_words > 0)
             if not len(take):
                 continue
             parts = [data[s:e].tobytes() for s, e in zip(start[take].tolist(), end[take].tolist(), strict=True)]
             ids = batch.column(0).take(pa.array(row[take]))
             columns = [number[take].astype("int32"), (chars[start[take]] - chars[offsets[row[take]]]).astype("int32"), (chars[end[take]] - chars[start[take]]).astype("int32"), n_words[take].astype("int32")]
             for a, b, k1, k2, n, keys in hashed(pa.array(parts, pa.large_binary()), bands, rows, size):
-                lists = pa.ListArray.from_arrays(pa.array(range(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
+                long = n_words[take[a:b]] >= min_words
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(long * bands))), pa.int32()), pa.array(keys[long].ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), *(pa.array(c[a:b]) for c in columns), pa.array(k1), pa.array(k2), pa.array(n.astype("int32")), lists],
                     names=["doc", "paragraph", "start", "n_chars", "n_words", "k1", "k2", "n", "bands"],
@@ -187,79 +195,79 @@ def passages(plain: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
     near = cut(near.join(gone, "doc", "left"), "near")
     looked_at = texts.hint("merge").join(near, ["doc", "t"]).dropDuplicates(["doc", "t"])
     windows = cut(bare_windows(looked_at), "windows")
-    firsts = windows.groupBy("h").agg(F.min(F.struct("doc", "t", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "f")
-    found = windows.join(firsts, "h").select("doc", "t", "pos", "first", "last", "before", "upto", F.col("f.doc").alias("fd"), F.col("f.t").alias("ft"), F.col("f.pos").alias("fp"), (F.col("pos") - F.col("f.pos")).alias("ahead"))
-    # A window that overlaps its source in the same text is no copy.
-    own = F.expr("doc = fd AND t = ft AND ahead = 0")
-    found = found.where(own | F.expr(f"doc <> fd OR t <> ft OR ahead >= {PASSAGE_WORDS}"))
-    # Windows that follow one another in both places have the same distance and the same start.
-    by = ["doc", "t", "fd", "ft", "ahead"]
-    start = F.col("pos") - F.row_number().over(Window.partitionBy(*by).orderBy("pos"))
-    runs = found.withColumn("start", start).groupBy(*by, "start").agg(F.min("pos").alias("pos"), (F.max("pos") - F.min("pos") + PASSAGE_WORDS).alias("n_words"), F.min("first").alias("first"), F.max("last").alias("last"), (F.max("upto") - F.min("before")).alias("bare"))
-    placed = cut(runs.select("doc", "t", "fd", "ft", "pos", (F.col("pos") - F.col("ahead")).alias("fp"), "n_words", "first", (F.col("last") - F.col("first")).alias("n_chars"), "bare", own.alias("own")), "passages")
+    place = ["doc", "t", "pos", "first", "last"]
+    firsts = windows.groupBy("h").agg(F.min(F.struct(*place)).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    sources = spans_of(firsts.select("h", "f.*"), ["h"])
+    sources = cut(sources.withColumn("source", F.xxhash64(F.lit(0), "doc", "t", "span")), "sources")
+    met = windows.join(sources.select("h", "source", F.col("doc").alias("fd"), F.col("t").alias("ft"), F.col("pos").alias("fp")), "h")
+    # A window that overlaps its source in the same text is no copy; the source itself is at distance 0.
+    copies = spans_of(met.where(f"doc <> fd OR t <> ft OR pos - fp >= {PASSAGE_WORDS}"), ["source", "before", "upto"])
+    copies = cut(copies.withColumn("passage", F.xxhash64(F.lit(1), "doc", "t", "span")), "passages")
     release(chosen, near, windows)
-    copies = placed.where((~F.col("own")) & (F.col("bare") >= min_words)).drop("own", "bare")
-    sources = placed.where("own").select(F.col("doc").alias("fd"), F.col("t").alias("ft"), F.col("pos").alias("sp"), F.col("n_words").alias("sn"), F.col("first").alias("ss"), F.col("n_chars").alias("sc"))
-    linked = copies.join(sources, ["fd", "ft"]).where("fp >= sp AND fp + n_words <= sp + sn")
-    linked = cut(linked.withColumn("class_id", F.xxhash64("fd", "ft", "sp")), "linked")
-    size = linked.groupBy("class_id").agg((F.count(F.lit(1)) + 1).alias("n_class"), F.first(F.struct("fd", "ss", "sc", "sn")).alias("s"))
-    mark = lambda df, doc, first, chars, words, kept: df.select(F.col(doc).alias("doc"), F.lit(None).cast("int").alias("paragraph"), F.col(first).cast("int").alias("start"), F.col(chars).cast("int").alias("n_chars"), F.col(words).cast("int").alias("n_words"), "class_id", F.col(kept[0]).alias("class_doc"), "n_class", F.lit(kept[1]).alias("kept"))
-    return mark(linked.join(size.drop("s"), "class_id"), "doc", "first", "n_chars", "n_words", ("fd", False)).unionByName(mark(size, "s.fd", "s.ss", "s.sc", "s.sn", ("s.fd", True)))
+    whole = lambda df, name: df.groupBy(F.col(name).alias("span"), "doc").agg((F.max("pos") - F.min("pos") + PASSAGE_WORDS).alias("n_words"), F.min("first").alias("start"), (F.max("last") - F.min("first")).alias("n_chars"), *([(F.max("upto") - F.min("before")).alias("bare")] if name == "passage" else []))
+    marked = whole(copies, "passage").where(F.col("bare") >= min_words).drop("bare").withColumn("kept", F.lit(False))
+    edges = copies.select(F.col("passage").alias("a"), F.col("source").alias("b")).distinct().join(marked.select(F.col("span").alias("a")), "a", "left_semi")
+    classes = components(edges).select(F.col("node").alias("span"), F.col("component").alias("class_id"))
+    spans = marked.unionByName(whole(sources, "source").withColumn("kept", F.lit(True)))
+    rows = cut(spans.join(classes, "span"), "spans")
+    release(sources, copies)
+    size = rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_class"), F.min("doc").alias("class_doc"))
+    return rows.join(size, "class_id").select("doc", F.lit(None).cast("int").alias("paragraph"), F.col("start").cast("int").alias("start"), F.col("n_chars").cast("int").alias("n_chars"), F.col("n_words").cast("int").alias("n_words"), "class_id", "class_doc", "n_class", "kept")
+
+
+def spans_of(windows: DataFrame, carried: list[str]) -> DataFrame:
+    """``windows`` with the first position of the windows that overlap one another, as ``span``."""
+    order = Window.partitionBy("doc", "t").orderBy("pos")
+    apart = F.coalesce(F.col("pos") - F.lag("pos").over(order) >= PASSAGE_WORDS, F.lit(True))
+    opened = windows.withColumn("opens", F.when(apart, F.col("pos")))
+    return opened.select("doc", "t", "pos", "first", "last", *carried, F.max("opens").over(order).alias("span"))
 
 
 def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = SHINGLE_WORDS, min_words: int = MIN_WORDS, rows: int = ROWS, recall: float = RECALL, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """One row for each occurrence of a paragraph or passage that has an equal or similar one elsewhere.
 
     Columns: id, paragraph (number of the line, from 0; null for a passage), start and n_chars (in characters), n_words,
-    class_id, class_doc (smallest document id of the class), n_class (occurrences), kept (the first).
+    class_id, class_doc (smallest document id of the class), n_class (occurrences), kept (the first; short
+    paragraphs and the sources of passages all stay).
     """
     bands = tune_bands(threshold, recall, rows)
     plain = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     found = cut(described(plain, bands, rows, size, min_words), "paragraphs")
-    reps = cut(representatives(found.withColumn("at", F.struct("doc", "paragraph")), "at"), "reps")
+    reps = cut(representatives(found.where(F.size("bands") > 0).withColumn("at", F.struct("doc", "paragraph")), "at"), "reps")
 
     def with_text(members: DataFrame) -> DataFrame:
-        wanted = members.withColumn("doc", F.col("first.doc"))
-        return wanted.join(plain.hint("merge"), "doc").withColumn("text", F.get(F.split("text", "\n", -1), F.col("first.paragraph")))
+        # A text is joined and split once for all of its paragraphs.
+        by_doc = members.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct(*members.columns)).alias("of"))
+        lines = lambda z: F.transform(z["of"], lambda m: F.struct(*[m[c].alias(c) for c in members.columns], F.get(z["lines"], m["first"]["paragraph"]).alias("text")))
+        split = F.struct(F.col("of"), F.split("text", "\n", -1).alias("lines"))
+        return by_doc.join(plain.hint("merge"), "doc").select(F.inline(let(split, lines)))
 
     linked = near_links(reps, with_text, threshold=threshold, bands=bands, rows=rows, tolerance=None, tile_shingles=tile_shingles, size=size)
     classes = cut(reps.select("id", "k2", "copies", "first").join(linked.select("id", "root"), "id", "left").select("id", "k2", "copies", "first", F.coalesce("root", "id").alias("root")), "classes")
     whole = classes.groupBy("root").agg(F.sum("copies").alias("n_class"), F.min("first").alias("head")).where("n_class > 1")
     marked = classes.join(whole, "root").select(F.col("id").alias("k1"), "k2", "root", "n_class", "head")
-    lines = found.drop("bands").join(marked, ["k1", "k2"]).select(
-        "doc",
-        "paragraph",
-        "start",
-        "n_chars",
-        "n_words",
-        F.col("root").alias("class_id"),
-        F.col("head.doc").alias("class_doc"),
-        "n_class",
-        ((F.col("doc") == F.col("head.doc")) & (F.col("paragraph") == F.col("head.paragraph"))).alias("kept"),
-    )
+    columns = ("doc", "paragraph", "start", "n_chars", "n_words")
+    first = (F.col("doc") == F.col("head.doc")) & (F.col("paragraph") == F.col("head.paragraph"))
+    lines = found.where(F.size("bands") > 0).drop("bands").join(marked, ["k1", "k2"]).select(*columns, F.col("root").alias("class_id"), F.col("head.doc").alias("class_doc"), "n_class", first.alias("kept"))
     lines = cut(lines, "lines")
-    release(found, reps, classes)
-    return lines.unionByName(passages(plain, lines, min_words)).withColumnRenamed("doc", id_col)
+    short = found.where(F.size("bands") == 0).select(*columns, "k1", "k2")
+    equal = short.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_class"), F.min("doc").alias("class_doc")).where("n_class > 1")
+    recurring = short.join(equal, ["k1", "k2"]).select(*columns, F.xxhash64(F.lit(2), "k1", "k2").alias("class_id"), "class_doc", "n_class", F.lit(True).alias("kept"))
+    copied = passages(plain, lines, min_words)
+    out = cut(lines.unionByName(recurring).unionByName(copied), "marks")
+    release(found, reps, classes, lines)
+    return out.withColumnRenamed("doc", id_col)
 
 
 def remove_paragraphs(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the paragraphs and passages that ``marks`` doesn't keep; a text that loses all becomes empty."""
-    spans = F.struct("start", F.when(F.col("paragraph").isNull(), F.col("n_chars")).alias("cut"), "paragraph")
+    """``docs`` without the paragraphs and passages that ``marks`` doesn't keep; a text that loses all becomes empty.
+
+    A paragraph goes with the line feed before it (a text counts as if it began with one), a passage alone.
+    """
+    begin = F.when(F.col("paragraph").isNull(), F.col("start") + 1).otherwise(F.col("start"))
+    spans = F.struct(begin.alias("start"), (F.col("start") + F.col("n_chars") + 1).alias("end"))
     drop = marks.where("NOT kept").groupBy(F.col(id_col).alias("_gone_id")).agg(F.collect_set(spans).alias("_gone"))
-    numbers = F.transform(F.filter("_gone", lambda x: x["paragraph"].isNotNull()), lambda x: x["paragraph"])
-    within = F.filter("_gone", lambda x: x["paragraph"].isNull())
-    parts = F.split(F.col(text_col), "\n", -1)
-    begins = F.aggregate(parts, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x) + 1)))
-
-    def left_of(line, begin):
-        """``line`` without the passages' parts in it."""
-        end = begin + F.length(line)
-        inside = F.array_sort(F.transform(F.filter(within, lambda g: (g["start"] < end) & (g["start"] + g["cut"] > begin)), lambda g: F.struct(F.greatest(g["start"] - begin, F.lit(0)).alias("a"), F.least(g["start"] + g["cut"] - begin, F.length(line)).alias("b"))))
-        state = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-        step = lambda s, g: F.struct(F.concat(s["text"], F.substring(line, s["at"] + 1, F.greatest(g["a"] - s["at"], F.lit(0)))).alias("text"), F.greatest(s["at"], g["b"]).alias("at"))
-        return F.aggregate(inside, state, step, lambda s: F.concat(s["text"], F.substring(line, s["at"] + 1, F.length(line))))
-
-    placed = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.get("_begins", i).alias("b"))), lambda z: ~F.array_contains(F.col("_numbers"), z["i"]))
-    lines = F.transform(placed, lambda z: left_of(z["x"], z["b"]))
-    out = docs.join(drop, F.col(id_col) == F.col("_gone_id"), "left").withColumn("_begins", begins).withColumn("_numbers", numbers)
-    return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))).select(*docs.columns)
+    text = F.concat(F.lit("\n"), F.col(text_col))
+    left = let(F.struct(merged(F.col("_gone")).alias("at"), blocks(text).alias("parts"), F.length(text).alias("size")), lambda z: between(z["parts"], z["at"], z["size"], lambda _: F.lit("")))
+    out = docs.join(drop, F.col(id_col) == F.col("_gone_id"), "left")
+    return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.regexp_replace(left, "^\n", ""))).select(*docs.columns)

@@ -40,7 +40,7 @@ def op3_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Lines of fewer than 20 words (headings, notices, menus) are no paragraphs here; line dedup treats them.
+    # Lines of fewer than 20 words (headings, notices, menus) are compared by equality, reported and kept.
     return paragraph_dedup(read_table(spark, sf_dir, "documents"), min_words=20)
 
 

@@ -1,3 +1,5 @@
+from collections import Counter, defaultdict
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -107,7 +109,14 @@ def test_paragraph_dedup_equals_brute_force(spark, pages):
     sets = {(i, k): brute.shingles(p) for i, t in pages if i is not None for k, p in enumerate((t or "").split("\n")) if len(brute.words(p)) >= 20}
     found = brute.classes(sets)
     size = {c: sum(v[0] == c for v in found.values()) for c, _ in found.values()}
-    want = sorted((i, k, size[c], c == (i, k), c[0]) for (i, k), (c, _) in found.items() if size[c] > 1)
+    want = [(i, k, size[c], c == (i, k), c[0]) for (i, k), (c, _) in found.items() if size[c] > 1]
+    short = defaultdict(list)
+    for i, t in pages:
+        for k, p in enumerate((t or "").split("\n")):
+            if i is not None and 0 < len(brute.words(p)) < 20:
+                short[brute.shingles(p)].append((i, k))
+    want = sorted(want + [(i, k, len(at), True, min(at)[0]) for at in short.values() if len(at) > 1 for i, k in at])
+    assert any(w[1] == 2 and w[3] for w in want)
     got = paragraph_dedup(table)
     assert sorted((r.doc_id, r.paragraph, r.n_class, r.kept, r.class_doc) for r in got.collect()) == want
     texts = dict(pages)
@@ -122,6 +131,61 @@ def test_paragraph_dedup_of_nothing(no_docs, docs):
     assert {r.doc_id for r in paragraph_dedup(docs).collect()} >= {1, 2, 3}
 
 
+def passages_by_hand(rows):
+    """(doc, first word, words, kept) of sources and copies, windows that overlap one another made one."""
+    size, first, own, copied = 50, {}, defaultdict(set), defaultdict(set)
+    windows = [(tuple(w[p : p + size]), i, p) for i, t in sorted(rows) for w in [brute.words(t)] for p in range(len(w) - size + 1)]
+    for w, i, p in windows:
+        source = first.setdefault(w, (i, p))
+        if source[0] != i or p - source[1] >= size:
+            copied[i].add(p)
+            own[source[0]].add(source[1])
+    # A window that only overlaps its own source makes no source of it.
+    for w, i, p in windows:
+        if first[w][0] == i and 0 < p - first[w][1] < size:
+            own[i].add(first[w][1])
+    out = []
+    for kept, places in ((True, own), (False, copied)):
+        for i, at in places.items():
+            start = last = None
+            for p in sorted(at):
+                if last is None or p - last >= size:
+                    if last is not None:
+                        out.append((i, start, last + size - start, kept))
+                    start = p
+                last = p
+            out.append((i, start, last + size - start, kept))
+    return sorted(out)
+
+
+def test_passages_equal_brute_force(spark):
+    a, b, c = prose(70, 60), prose(71, 55), prose(72, 120)
+    rows = [(1, f"{prose(81, 30)} {a} {prose(82, 30)} {c}"), (2, f"{a} {b}"), (3, f"{prose(83, 15)} {b} {a} {prose(84, 40)}"), (4, f"{c} {prose(85, 9)}"), (5, f"{prose(86, 20)} {c[: len(c) // 2]} {prose(87, 70)}")]
+    rows += [(10, "again " * 3000), (11, " ".join([prose(88, 7)] * 500)), (12, f"{prose(89, 40)} " + " ".join([prose(88, 7)] * 20)), (13, " ".join([prose(90, 130)] * 3))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = paragraph_dedup(table)
+    got = []
+    for r in marks.collect():
+        if r.paragraph is None:
+            text = dict(rows)[r.doc_id]
+            got.append((r.doc_id, len(text[: r.start].split()), r.n_words, r.kept))
+            assert len(text[r.start : r.start + r.n_chars].split()) == r.n_words
+    assert sorted(got) == passages_by_hand(rows)
+    by_class = Counter(r.class_id for r in marks.collect() if r.paragraph is None)
+    assert all(r.n_class == by_class[r.class_id] for r in marks.collect() if r.paragraph is None)
+    assert sum(r[0] in (10, 11, 12, 13) for r in got) == 7
+    clean = {r.doc_id: r.text for r in remove_paragraphs(table, marks).collect()}
+    assert clean[10] == "again " * 50 + " " and len(clean[11].split()) == 56 and len(clean[13].split()) == 130
+
+
+def test_passages_over_lines_are_cut_with_their_breaks(spark):
+    shared = "\n".join(prose(91 + k, 12) for k in range(5))
+    rows = [(1, f"{prose(96, 30)}\n{shared}\nfirst tail"), (2, f"{prose(97, 30)}\n{shared}\nsecond close"), (3, "é\n\n" + prose(98, 25))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in remove_paragraphs(table, paragraph_dedup(table)).collect()}
+    assert clean == {1: rows[0][1], 2: f"{prose(97, 30)}\n\nsecond close", 3: rows[2][1]}
+
+
 def test_passages_inside_longer_lines_are_marked(spark):
     shared = prose(31, 55)
     rows = [(k, f"{prose(300 + k, 40)} {shared} {prose(400 + k, 40)}") for k in range(4)] + [(9, prose(500, 90) + "\n" + "é " + shared)]
