@@ -92,10 +92,11 @@ def every_part(document: Column, kind: T.DataType, test) -> Column:
     return F.coalesce(test(document), F.lit(True))
 
 
-def compile_criterion(text: str, synonyms: Mapping[str, Sequence[str]] | None = None, equivalents: Mapping[str, Sequence[str]] | None = None, macros: Mapping[str, str] | None = None, spark=None) -> Criterion:
+def compile_criterion(text: str, synonyms: Mapping[str, Sequence[str]] | None = None, equivalents: Mapping[str, Sequence[str]] | None = None, macros: Mapping[str, str] | None = None, spark=None, try_pattern: bool = True) -> Criterion:
     """Compile; what is wrong with the text goes into ``error``.
 
-    Patterns are tried on ``spark``, by default the active session; without any they are taken as they are.
+    Patterns are tried on ``spark``, by default the active session; without any, or where the caller tries
+    them itself, they are taken as they are.
     """
     spark = spark or SparkSession.getActiveSession()
     try:
@@ -105,7 +106,7 @@ def compile_criterion(text: str, synonyms: Mapping[str, Sequence[str]] | None =
     kind, body = route(directives.criterion)
     if kind != "dsl":
         made = Criterion(kind, body, directives, macros=macros)
-        return replace(made, error=regex_error(spark, made.pattern)) if spark is not None else made
+        return replace(made, error=regex_error(spark, made.pattern)) if spark is not None and try_pattern else made
     try:
         return Criterion(kind, body, directives, parse(body, equivalents), synonyms=synonyms)
     except CriterionError as error:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crivo.functions.normalize import full, head_tail, is_blank, light
+from crivo.functions.patterns import regex_error
 from crivo.functions.tokens import let, token_array
 from crivo.operators.criteria import Criterion, compile_criterion, every_part, lightened
 from crivo.operators.rewrite import rewritten
@@ -109,11 +110,15 @@ class RuleSet:
 
 
 def compile_rules(rules: Iterable[Rule], spark: SparkSession | None = None, **options) -> RuleSet:
+    """All rules, compiled; patterns are tried in one go, and one by one only if that fails."""
+    made = [(r, compile_criterion(r.rule, spark=spark, try_pattern=False, **options)) for r in sorted_rules(rules)]
+    spark = spark or SparkSession.getActiveSession()
+    patterns = list(dict.fromkeys(c.pattern for _, c in made if c.kind != "dsl" and not c.error))
+    wrong = {} if spark is None or not patterns or regex_error(spark, *patterns) is None else {p: regex_error(spark, p) for p in patterns}
     good, bad = [], []
-    for r in sorted_rules(rules):
-        c = compile_criterion(r.rule, spark=spark, **options)
-        wrong = c.error or (None if c.node is not None or c.kind != "dsl" else "empty criterion")
-        bad.append((r, wrong)) if wrong else good.append((r, c))
+    for r, c in made:
+        error = c.error or (wrong.get(c.pattern) if c.kind != "dsl" else None if c.node is not None else "empty criterion")
+        bad.append((r, error)) if error else good.append((r, c))
     return RuleSet(good, bad)
 
 

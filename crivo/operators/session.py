@@ -65,14 +65,15 @@ def search(docs: DataFrame, criterion: Criterion | str, tok: str = "tok", id_col
 def search_postings(postings: DataFrame, docs: DataFrame, criterion: Criterion | str, id_col: str = "doc_id", limit: int = LIMIT) -> DataFrame:
     """The same over stored postings."""
     c = compile_criterion(criterion) if isinstance(criterion, str) else criterion
-    if c.node is None or isinstance(c.node, Blank) or fits_nothing(c.node):
-        found = postings_search(c.node, postings, docs, id_col, c.synonyms).select(id_col, F.lit(None).cast("array<struct<w:string>>").alias("tok"))
-        held = gathered(c.node, postings, id_col, c.synonyms).withColumnRenamed("tok", "held") if words_of(c.node or Blank()) else None
-        found = found.drop("tok").join(held, id_col, "left").withColumn("score", F.coalesce(term_score(F.col("held"), c), F.lit(0))) if held is not None else found.select(id_col, F.lit(0).cast("long").alias("score"))
-    else:
+    if c.node is not None and not isinstance(c.node, Blank) and not fits_nothing(c.node):
         held = gathered(c.node, postings, id_col, c.synonyms)
-        found = held.where(matches(c.node, F.col("tok"), c.synonyms)).withColumn("score", term_score(F.col("tok"), c))
-    return found.select(id_col, "score").orderBy(F.desc("score"), id_col).limit(limit)
+        found = held.where(matches(c.node, F.col("tok"), c.synonyms)).select(id_col, term_score(F.col("tok"), c).alias("score"))
+    else:
+        found = postings_search(c.node, postings, docs, id_col, c.synonyms).withColumn("score", F.lit(0).cast("long"))
+        if c.node is not None and words_of(c.node):
+            held = gathered(c.node, postings, id_col, c.synonyms).select(id_col, term_score(F.col("tok"), c).alias("held"))
+            found = found.join(held, id_col, "left").select(id_col, F.coalesce("held", "score").alias("score"))
+    return found.orderBy(F.desc("score"), id_col).limit(limit)
 
 
 def start_session(session: str, found: DataFrame, id_col: str = "doc_id", status: str = "P") -> DataFrame:
@@ -96,8 +97,10 @@ def refine(session_docs: DataFrame, matched: DataFrame, limit: int | None = None
     out = session_docs.join(hits, "id", "left").withColumn("status", F.when(F.col("_hit"), F.lit("F")).otherwise(F.lit("X"))).select(*session_docs.columns)
     if limit is None:
         return out
-    best = Window.partitionBy("session").orderBy(F.col("status") != "F", F.desc("score"), "id")
-    return out.withColumn("_rank", F.row_number().over(best)).where((F.col("status") != "F") | (F.col("_rank") <= limit)).drop("_rank")
+    # A limit below the window leaves each task's first ``limit`` rows, so a large session isn't one task's work.
+    best = Window.partitionBy("session").orderBy(F.desc("score"), "id")
+    kept = out.where("status = 'F'").withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= limit).drop("_rank")
+    return out.where("status <> 'F'").unionByName(kept)
 
 
 def accepted(session_docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from crivo.functions.tokens import page_text, postings, unique_words, with_token
 from crivo.operators import session as S
 from crivo.operators.criteria import compile_criterion, matching, trace
 from crivo.operators.rewrite import rewritten_text, split_directives
-from crivo.operators.rules import Rule, apply_rules, compile_rules, filter_rules, label_rows
+from crivo.operators.rules import Rule, apply_rules, compile_rules, filter_rules, label_rows, load_rules
 from crivo.operators.spans import extract, highlight_extractions, highlight_spans, highlight_terms
 from crivo.plans.parser import parse
 from crivo.plans.postings import search as postings_search
@@ -28,7 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: Files from which on documents are read as they lie.
+#: Partitions of the scan from which on documents are read as they lie.
 MOST_PARTS = 64
 SYNONYMS = {"the": ["la", "der"], "of": ["de"]}
 EQUIVALENTS = {"of the": ["de la", "von der"]}
@@ -49,12 +49,12 @@ def register(name: str, sql: str | None) -> Callable[[Query], Query]:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, dealt anew where they lie in fewer files than there are shuffle partitions.
+    """The documents, dealt anew where their scan has fewer partitions than a shuffle.
 
     A file of one row group is one task, however costly the criteria are; a corpus of many files isn't moved.
     """
     docs, parts = table(spark, sf_dir, "documents"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return docs.repartition(parts) if len(docs.inputFiles()) < min(parts, MOST_PARTS) else docs
+    return docs.repartition(parts) if docs.rdd.getNumPartitions() < min(parts, MOST_PARTS) else docs
 
 
 def fielded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,16 +245,26 @@ def regex_offsets(spark, sf_dir):
     return spans.select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), N.light(F.col("s.text")).alias("hit"))
 
 
+@register("regex_zero_width", f"""WITH p AS (SELECT doc_id, string_split(x, 'tion') AS pieces FROM (SELECT doc_id, {O.light('text')} AS x FROM documents)),
+u AS (SELECT doc_id, unnest(pieces[:len(pieces) - 1]) AS piece, generate_subscripts(pieces[:len(pieces) - 1], 1) AS k FROM p)
+SELECT doc_id, CAST(k - 1 AS BIGINT) AS ord, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) + 4 * (k - 1) AS BIGINT) AS start, CAST(0 AS BIGINT) AS size FROM u""")
+def regex_zero_width(spark, sf_dir):
+    """Places before an ending, which are matches of no length."""
+    docs = documents(spark, sf_dir)
+    spans = docs.select("doc_id", F.posexplode(extract(F.col("text"), docs.schema["text"].dataType, "r:(?=tion)")).alias("ord", "s"))
+    return spans.select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("s.start").cast("long").alias("start"), (F.col("s.end") - F.col("s.start")).cast("long").alias("size"))
+
+
 #: The tables hold no registrations, so each document gets one, made from its number; Spark and SQL read this alike.
 _NUMBER = "lpad(CAST(doc_id AS VARCHAR(12)), 9, '0')"
-_MADE = f"""substr(text, 1, 60) || ' x ' || CASE doc_id % 5
+_MADE = f"""text || ' x ' || CASE doc_id % 5
  WHEN 0 THEN substr({_NUMBER}, 1, 3) || '.' || substr({_NUMBER}, 4, 3) || '.' || substr({_NUMBER}, 7, 3) || '-09'
  WHEN 1 THEN substr({_NUMBER}, 1, 2) || '.' || substr({_NUMBER}, 3, 3) || '.' || substr({_NUMBER}, 6, 3) || '/0001-95'
  WHEN 2 THEN '1.000,00'
  WHEN 3 THEN 'OAB/SP n. ' || substr({_NUMBER}, 4, 3) || '.' || substr({_NUMBER}, 7, 3)
  ELSE '1l.' || substr({_NUMBER}, 5, 2) END || ' y'"""
 
-for _name, _macro in {"macro_cpf": "<CPF>", "macro_cnpj": "<CNPJ>", "macro_num": "<NUM:1000>", "macro_oab": "<OAB>", "macro_oab_value": "<OAB:SP000123>"}.items():
+for _name, _macro in {"macro_cpf": "<CPF>", "macro_cnpj": "<CNPJ>", "macro_num": "<NUM:1000>", "macro_oab": "<OAB>", "macro_oab_value": "<OAB:SP000123>", "macro_cpf_value": "<CPF:00000000509>", "macro_cnpj_value": "<CNPJ:00000000>"}.items():
 
     def _macro_query(spark, sf_dir, macro=_macro):
         made = documents(spark, sf_dir).select("doc_id", F.expr(_MADE).alias("text"))
@@ -295,9 +305,40 @@ def highlight_regex(spark, sf_dir):
     return docs.select("doc_id", F.md5(highlight_spans(F.col("text"), extract(F.col("text"), docs.schema["text"].dataType, "r:[0-9]+"))).alias("digest"))
 
 
-@register("highlight_terms", None)
+_MARKED_TERMS = ("the", "of the", "tion")
+
+
+def _highlight_sql() -> str:
+    """Terms found in aligned text whose separators stand twice, so that neighbours can share them."""
+    br = "<\\s*/?\\s*[bB][rR]\\s*/?\\s*>"
+    digits = lambda x: f"regexp_replace({x}, '([0-9])[.,]([0-9])', '\\1_\\2', 'g')"
+    folded = f"replace({digits(digits(O.fold('x')))}, '-', ' ')"
+    word = f"list_transform(list_transform(string_split(z, ' '), lambda w: [w, replace(w, '~', '')]), lambda v: regexp_replace(rpad({O.singular('v[2]')}, CAST(length(v[1]) AS INTEGER), '~'), '[^a-z0-9~_\\n§-]', ' ', 'g'))"
+    parts = []
+    for k, term in enumerate(_MARKED_TERMS):
+        pattern = f"([0-9 \\n])(~*{term.replace(' ', '(?:[ ~]|' + chr(1) + '[ ~])*')}~*)([0-9 \\n])"
+        parts.append(f"SELECT doc_id, {k} AS term, regexp_replace(twice, '{pattern}', '\\1' || chr(2) || '\\2' || chr(3) || '\\3', 'g') AS m FROM w")
+    undone = f"regexp_replace(m, '([0-9 \\n])' || chr(1) || '[0-9 \\n]', '\\1', 'g')"
+    return f"""
+WITH s AS (SELECT doc_id, text, ' ' || replace(regexp_replace(text, '{br}', chr(10), 'g'), chr(13), chr(10)) || ' ' AS x FROM documents),
+y AS (SELECT doc_id, array_to_string({word}, ' ') AS y FROM (SELECT doc_id, {folded} AS z FROM s)),
+w AS (SELECT doc_id, regexp_replace(y, '([0-9 \\n])', '\\1' || chr(1) || '\\1', 'g') AS twice FROM y),
+t AS ({" UNION ALL ".join(parts)}),
+p AS (SELECT doc_id, term, string_split_regex({undone}, '[' || chr(2) || chr(3) || ']') AS pieces FROM t),
+u AS (SELECT doc_id, term, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM p),
+o AS (SELECT doc_id, term, k, sum(length(piece)) OVER (PARTITION BY doc_id, term ORDER BY k) AS upto, length(piece) AS size FROM u),
+a AS (SELECT doc_id, upto - size AS b, upto AS e FROM o WHERE k % 2 = 0),
+g AS (SELECT *, b > coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS opens FROM a),
+h AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS n FROM g),
+i AS (SELECT doc_id, n, min(b) AS b, max(e) AS e FROM h GROUP BY doc_id, n),
+j AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS before FROM i),
+r AS (SELECT doc_id, max(e) AS last, string_agg(substr(x, CAST(before AS BIGINT) + 1, CAST(b - before AS BIGINT)) || '<mark>' || substr(x, CAST(b AS BIGINT) + 1, CAST(e - b AS BIGINT)) || '</mark>', '' ORDER BY b) AS head FROM j JOIN s USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text = '' OR text IS NULL THEN text ELSE trim(coalesce(head, '') || substr(x, CAST(coalesce(last, 0) AS BIGINT) + 1)) END AS marked FROM s LEFT JOIN r USING (doc_id)"""
+
+
+@register("highlight_terms", _highlight_sql())
 def highlight_terms_query(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", highlight_terms(F.col("text"), ["the", "of the", "tion"]).alias("marked"))
+    return documents(spark, sf_dir).select("doc_id", highlight_terms(F.col("text"), _MARKED_TERMS).alias("marked"))
 
 
 # --- rules -------------------------------------------------------------------------------------------
@@ -353,9 +394,18 @@ for _name, _kept in {"rules_tag_filter": filter_rules(RULES, "lang"), "rules_att
     register(_name, _rule_sql(_kept, True))(rule_query(_kept, True))
 
 
-@register("rules_invalid", "SELECT 'never' AS label, 'two operators in a row' AS error")
+#: A rule made of the first two words of each text of the benchmark (an x before them makes no operator of
+#: any): three forms are wrong, one is right.
+_RULE_FORMS = """SELECT item_id, CASE item_id % 4 WHEN 0 THEN a || ' E E ' || b WHEN 1 THEN '(' || a || ' ADJ2 ' || b WHEN 2 THEN '"' || a || ' ' || b ELSE a || ' ADJ2 ' || b END AS rule
+FROM (SELECT item_id, 'x' || regexp_extract(text, '([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)', 1) AS a, 'x' || regexp_extract(text, '([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)', 2) AS b FROM benchmark)"""
+
+
+@register("rules_invalid", f"SELECT CAST(item_id AS VARCHAR) AS label, CASE item_id % 4 WHEN 0 THEN 'two operators in a row' WHEN 1 THEN 'parenthesis opened and not closed' ELSE 'quotes opened and not closed' END AS error FROM ({_RULE_FORMS}) WHERE item_id % 4 < 3")
 def rules_invalid(spark, sf_dir):
-    return spark.createDataFrame([(r.label, e) for r, e in compile_rules(RULES).bad], "label string, error string")
+    """The rules of a table that can't be compiled, with the reason."""
+    made = spark.sql(_RULE_FORMS.replace("FROM benchmark", "FROM {items}"), items=table(spark, sf_dir, "benchmark"))
+    rules = load_rules(made.select(F.lit("benchmark").alias("group"), F.col("item_id").cast("string").alias("label"), "rule"))
+    return spark.createDataFrame([(r.label, e) for r, e in compile_rules(rules).bad], "label string, error string")
 
 
 @register("rule_labels", f"SELECT l.label, count(*) AS n, CAST(sum(q.quality) AS BIGINT) AS n_quality FROM ({_rule_sql(RULES, True)}) l JOIN labels q USING (doc_id) GROUP BY l.label")

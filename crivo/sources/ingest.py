@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crivo.functions.tokens import let
 from crivo.operators.rules import RULE_SCHEMA, Rule, rule_of
 
 PAGE_MARK = "<<pg>>"
@@ -16,7 +17,8 @@ ABBREVIATIONS = (
     r"[a-z]+r\(as?\)|ed|pa?g|cod|prof|op|plan|edf?|func|ch|arts?|artigs?|artg|pars?|rel|tel|res|[a-z]|gab|bel|ilm[oa]|parc|proc|"
     r"adv|vols?|cels?|pp|ex[ao]|eg|pl|ref|reg|f[ilí]s?|inc|par|alin|fts|v. em|v.rev|des|des\(a\)|desemb"
 )
-SPACE_EDGES = r"^\s+|\s+$"
+#: A character for private use that stands for the end of a paragraph.
+STOP = "\uf8fe"
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -77,19 +79,30 @@ def rejoin_lines(text: Column) -> Column:
     """Lines that were broken inside a sentence are one paragraph again.
 
     A line goes on in the next one unless it ends with a full stop, a question or an exclamation mark; it
-    does go on after a known abbreviation.
+    does go on after a known abbreviation.  A paragraph's lines are joined by spaces without the white
+    space at their ends, blank ones left out; its last line stays as it is.
     """
-    kind = "array<string>"
-    start = F.struct(F.lit(True).alias("ended"), F.array().cast(kind).alias("done"))
+    bare = lambda x: F.regexp_replace(x, STOP, "")
 
-    def step(acc: Column, line: Column) -> Column:
+    def marked(line: Column) -> Column:
         ends = line.rlike(r"[.?!]\s*$") & ~line.rlike(rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{ABBREVIATIONS})\.\s*$")
-        last = F.regexp_replace(F.coalesce(F.try_element_at(acc["done"], F.lit(-1)), F.lit("")), SPACE_EDGES, "")
-        joined = F.concat(F.slice(acc["done"], 1, F.greatest(F.size(acc["done"]) - 1, F.lit(0))), F.array(F.concat(last, F.lit(" "), line)))
-        done = F.when(acc["ended"], F.concat(acc["done"], F.array(line))).otherwise(joined)
-        return F.struct(ends.alias("ended"), done.alias("done"))
+        return F.concat(bare(line), F.when(ends, F.lit(STOP)).otherwise(F.lit("\n")))
 
-    return F.aggregate(F.split(text, "\n", -1), start, step, lambda acc: F.array_join(acc["done"], "\n"))
+    def paragraph(part: Column) -> Column:
+        """Lines that all end in a line feed, but for the last of a part that a mark has ended."""
+
+        def joined(lines: Column) -> Column:
+            last = F.element_at(lines, -1)
+            before = F.filter(F.slice(lines, 1, F.size(lines) - 1), lambda x: x.rlike(r"\S"))
+            start = F.regexp_replace(F.array_join(F.transform(before, lambda x: F.regexp_replace(x, r"\s+$", "")), " "), r"^\s+", "")
+            return F.when(F.size(lines) == 1, last).otherwise(F.concat(start, F.lit(" "), last))
+
+        return let(F.split(part, "\n", -1), joined)
+
+    lines = F.array_join(F.transform(F.split(text, "\n", -1), marked), "")
+    # The last line has a mark of its own, whichever it is.
+    parts = F.split(F.substring(lines, F.lit(1), F.length(lines) - 1), STOP, -1)
+    return F.array_join(F.transform(parts, paragraph), "\n")
 
 
 def read_rules(spark: SparkSession, path: str) -> list[Rule]:
