@@ -8,7 +8,7 @@ and, on demand, if a rule of its group was.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -152,30 +152,30 @@ def emitted(results: Column, first_of_group: bool) -> Column:
     return F.aggregate(results, start, step)
 
 
-def apply_rules(docs: DataFrame, rules: RuleSet, document: str = "text", first_of_group: bool = True, with_spans: bool = False, detail: bool = False) -> DataFrame:
-    """``docs`` with ``labels`` (in the order of emission) and on demand ``fired`` rules and ``spans``.
+@dataclass
+class Tested:
+    """Rules as one expression: ``found`` is what the fold makes of their results, the rest what they were tested on."""
 
-    With ``detail`` each fired rule comes with its weaker form and the text that it was tested on (as JSON
-    for paged and fielded documents), with ``with_spans`` too with its own spans.
+    found: Column
+    tests: list[tuple[int, Rule, Criterion, int]]
+    texts: dict[tuple, Column]
+    forms: dict[tuple[int, str], int]
 
-    The texts that the rules need (cut to head and tail, rewritten) are bound once, then what is made of
-    them (light texts, tokens), and all rules are tested on these in one expression: a document is folded
-    and tokenised once for each different text, whatever the number of rules.
-    """
+
+def tested(docs: DataFrame, rules: Iterable[tuple[int, Rule, Criterion]], document: str, fold: Callable[[Column], Column]) -> Tested:
+    """All rules, numbered, on a document: texts and tokens that several need are made once."""
     kind, column = docs.schema[document].dataType, F.col(document)
     texts: dict[tuple, Column] = {}
     forms: dict[tuple[int, str], int] = {}
-    tests, spans = [], []
-    for at, (r, c) in enumerate(rules.rules):
+    tests = []
+    for at, r, c in rules:
         regex = c.kind != "dsl"
-        key = (regex and bool(r.head or r.tail), r.head, r.tail, replace(c.directives, criterion=""))
+        key = text_key(r, c)
         if key not in texts:
             text = trimmed(column, kind, r, light if regex else full)
             texts[key] = rewritten(text, kind, c.directives) if c.directives.any else text
         form = (list(texts).index(key), "light" if regex else "plain" if isinstance(c.node, Blank) else "tokens")
         tests.append((at, r, c, forms.setdefault(form, len(forms))))
-        if with_spans:
-            spans.append(extract(texts[key], kind, f"{'l' if c.kind == 'like' else 'r'}:{c.body}", dict(c.macros or {})) if regex else F.array().cast(SPAN))
     make = {"light": lightened, "tokens": token_array, "plain": lambda x, _: x}
 
     def result(at: int, r: Rule, c: Criterion, made: Column) -> Column:
@@ -186,13 +186,37 @@ def apply_rules(docs: DataFrame, rules: RuleSet, document: str = "text", first_o
         return F.struct(F.lit(at).alias("at"), F.lit(r.group).alias("group"), F.lit(r.label).alias("label"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
     def found_in(made: Column) -> Column:
-        return emitted(F.array(*[result(at, r, c, made[f"f{k}"]) for at, r, c, k in tests]).cast(RESULTS), first_of_group)
+        return fold(F.array(*[result(at, r, c, made[f"f{k}"]) for at, r, c, k in tests]).cast(RESULTS))
+
+    if not tests:
+        return Tested(fold(F.array().cast(RESULTS)), tests, texts, forms)
+    bound = F.struct(*[x.alias(f"x{k}") for k, x in enumerate(texts.values())])
+    found = let(bound, lambda z: let(F.struct(*[make[how](z[f"x{k}"], kind).alias(f"f{j}") for (k, how), j in forms.items()]), found_in))
+    return Tested(found, tests, texts, forms)
+
+
+def text_key(r: Rule, c: Criterion) -> tuple:
+    """What tells apart the texts that rules are tested on."""
+    return (c.kind != "dsl" and bool(r.head or r.tail), r.head, r.tail, replace(c.directives, criterion=""))
 
-    if tests:
-        bound = F.struct(*[x.alias(f"x{k}") for k, x in enumerate(texts.values())])
-        found = let(bound, lambda z: let(F.struct(*[make[how](z[f"x{k}"], kind).alias(f"f{j}") for (k, how), j in forms.items()]), found_in))
-    else:
-        found = emitted(F.array().cast(RESULTS), first_of_group)
+
+def apply_rules(docs: DataFrame, rules: RuleSet, document: str = "text", first_of_group: bool = True, with_spans: bool = False, detail: bool = False) -> DataFrame:
+    """``docs`` with ``labels`` (in the order of emission) and on demand ``fired`` rules and ``spans``.
+
+    With ``detail`` each fired rule comes with its weaker form and the text that it was tested on (as JSON
+    for paged and fielded documents), with ``with_spans`` too with its own spans.
+
+    The texts that the rules need (cut to head and tail, rewritten) are bound once, then what is made of
+    them (light texts, tokens), and all rules are tested on these in one expression: a document is folded
+    and tokenised once for each different text, whatever the number of rules.  Thousands of rules are for
+    ``rule_index.apply_rule_index``.
+    """
+    kind = docs.schema[document].dataType
+    made = tested(docs, [(at, r, c) for at, (r, c) in enumerate(rules.rules)], document, lambda results: emitted(results, first_of_group))
+    found, tests, texts, forms = made.found, made.tests, made.texts, made.forms
+    spans = []
+    if with_spans:
+        spans = [extract(texts[text_key(r, c)], kind, f"{'l' if c.kind == 'like' else 'r'}:{c.body}", dict(c.macros or {})) if c.kind != "dsl" else F.array().cast(SPAN) for _, r, c, _ in tests]
     out = docs.withColumn("_rules_found", F.explode_outer(F.array(found)))
     out = out.withColumn("labels", F.col("_rules_found.labels"))
     every = F.array(*spans) if spans else F.array().cast(f"array<{SPAN}>")

@@ -40,22 +40,21 @@ def word_matches(w: Column, term: Term, synonyms: Mapping[str, Sequence[str]]) -
     return w.isin(*spellings(term, synonyms))
 
 
-def reach(name: str, number: int) -> tuple[bool, str | None, int]:
-    """What two positions must share and how far apart they may be: (paragraph too, what is counted, how many)."""
+def reach(name: str, number: int) -> tuple[bool, str | None, int, bool]:
+    """What two positions must share and how far apart they may be: (paragraph too, what is counted, how many, either way)."""
+    both = name.startswith("PROX")
     if name == "COM":
-        return False, "p", max(number - 1, 0)
+        return False, "p", max(number - 1, 0), both
     paragraph = name in ("ADJC", "PROXC")
-    return (paragraph, None, 0) if name == "MESMO" or number == 0 else (paragraph, "t", number)
+    return (paragraph, None, 0, both) if name == "MESMO" or number == 0 else (paragraph, "t", number, both)
 
 
-def near(name: str, number: int, a: Column, b: Column) -> Column:
-    """The positions of ``b`` that stand at most so far behind one of ``a``; for PROX of either, on either side.
+def near(paragraph: bool, counted: str | None, most: int | Column, both: bool, a: Column, b: Column) -> Column:
+    """The positions of ``b`` that stand at most so far behind one of ``a``; with ``both`` of either, on either side.
 
     Both are sorted into one array, where the nearest of the other operand is the last one before or the
     next one after; a running maximum of places finds it.
     """
-    paragraph, counted, most = reach(name, number)
-    both = name.startswith("PROX")
 
     def placed(x: Column, side: int) -> Column:
         group = x["p"] if paragraph else F.lit(0)
@@ -129,7 +128,7 @@ def combine(n: Binary, a: Column, b: Column) -> Column:
         return F.concat(a, b)
     if n.name == "NAO":
         return F.when((F.size(a) > 0) & (F.size(b) == 0), truth()).otherwise(nothing())
-    return near(n.name, n.number, a, b)
+    return near(*reach(n.name, n.number), a, b)
 
 
 def matches(node: Node | None, tok: Column, synonyms: Mapping[str, Sequence[str]] | None = None) -> Column:

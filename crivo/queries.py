@@ -17,6 +17,7 @@ from crivo.functions.tokens import page_text, postings, unique_words, with_token
 from crivo.operators import session as S
 from crivo.operators.criteria import compile_criterion, matching, trace
 from crivo.operators.rewrite import rewritten_text, split_directives
+from crivo.operators.rule_index import apply_rule_index
 from crivo.operators.rules import Rule, apply_rules, compile_rules, filter_rules, label_rows, load_rules
 from crivo.operators.spans import extract, highlight_extractions, highlight_spans, highlight_terms
 from crivo.plans.parser import parse
@@ -408,6 +409,24 @@ def rules_invalid(spark, sf_dir):
     return spark.createDataFrame([(r.label, e) for r, e in compile_rules(rules).bad], "label string, error string")
 
 
+_PAIRS = f"""bw AS (SELECT item_id, list_transform(regexp_extract_all({O.full('text')}, '[0-9]+|[a-z]+'), lambda w: {O.singular('w')}) AS ws FROM benchmark),
+pairs AS (SELECT DISTINCT ws[k] AS a, ws[k + d] AS b FROM (SELECT ws, unnest(range(1, len(ws))) AS k FROM bw), (SELECT unnest([1, 2, 3]) AS d) WHERE k + d <= len(ws))"""
+
+
+@register("rules_indexed", f"WITH {O.tokens()}, {_PAIRS} SELECT DISTINCT x.doc_id, a || ' ' || b AS label FROM pairs JOIN tok x ON x.w = a JOIN tok y ON y.w = b AND y.doc_id = x.doc_id AND y.t - x.t BETWEEN 0 AND 2")
+def rules_indexed(spark, sf_dir):
+    """A rule for each two words of the benchmark that stand within three words: thousands, filed under their rarer word."""
+    items = table(spark, sf_dir, "benchmark").select(F.transform(F.regexp_extract_all(N.full(F.col("text")), F.lit("[0-9]+|[a-z]+"), 0), N.singular).alias("ws"))
+    near = lambda d: F.zip_with(F.slice("ws", 1, F.greatest(F.size("ws") - d, F.lit(0))), F.slice("ws", d + 1, F.greatest(F.size("ws") - d, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    made = items.select(F.explode(F.concat(near(1), near(2), near(3))).alias("p")).distinct()
+    rules = load_rules(made.orderBy("p").select(F.lit("benchmark").alias("group"), F.concat_ws(" ", "p.a", "p.b").alias("label"), F.concat(F.lit('"'), F.col("p.a"), F.lit('" ADJ2 "'), F.col("p.b"), F.lit('"')).alias("rule")))
+    labelled = apply_rule_index(documents(spark, sf_dir).select("doc_id", "text"), compile_rules(rules), first_of_group=False)
+    return label_rows(labelled).select("doc_id", "label")
+
+
+register("rules_index_mixed", _rule_sql(RULES, True))(lambda spark, sf_dir: label_rows(apply_rule_index(documents(spark, sf_dir).select("doc_id", "text"), compile_rules(RULES))).select("doc_id", "label"))
+
+
 @register("rule_labels", f"SELECT l.label, count(*) AS n, CAST(sum(q.quality) AS BIGINT) AS n_quality FROM ({_rule_sql(RULES, True)}) l JOIN labels q USING (doc_id) GROUP BY l.label")
 def rule_labels(spark, sf_dir):
     return QUERIES["rules_first_of_group"](spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("n_quality"))
