@@ -1,7 +1,7 @@
 """Helpers shared by the training-data operators: tables, durable cuts of lineage, hashing of words.
 
 ``cut`` writes a table into the shared folder that the session names in ``spark.checkpoint.dir`` and
-reads it back, so that lost executors cost a re-read and not a recomputation; ``release`` empties a table
+reads it back, so that lost executors cost a re-read and not a recomputation; ``release`` deletes a table
 that nothing reads any more.  Nothing here collects rows to the driver.
 """
 
@@ -58,9 +58,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Empty tables made by ``cut`` once everything that reads them is written itself."""
+    """Delete tables made by ``cut`` once everything that reads them is written itself; a late read fails."""
     for table in tables:
-        table.sparkSession.createDataFrame([], table.schema).coalesce(1).write.mode("overwrite").parquet(table.written_to)
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(column: Column | str) -> Column:

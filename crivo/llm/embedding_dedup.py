@@ -1,10 +1,11 @@
 """Embedding near-dedup with a forest of random-projection trees.
 
-Every tree splits the unit sphere by random planes, at the median of a bounded sample, down to leaves
+Every tree splits the unit sphere by a random plane at each node, at the median of a bounded sample, down to leaves
 of about ``LEAF_ROWS`` vectors of one label; vectors near a plane go to both sides (``SPILL``, in parts of
 the spread along the plane).  The sample (``SAMPLE_ROWS``) places the planes and says how many trees are
 needed: trees are added until ``RECALL`` of sampled vectors meet a made partner at the threshold in a leaf,
-so deeper trees come in larger numbers.  Every vector is routed through every tree and compared, in double
+so deeper trees come in larger numbers; where ``MOST_TREES`` don't reach that, a warning says what they reach,
+and below ``LEAST_RECALL`` it is an error.  Every vector is routed through every tree and compared, in double
 precision, with all vectors of its label in its leaves.  Where the tree is deeper than the sample can
 place, planes pass through the mean of the last sampled node.  Equal vectors collapse before that.
 
@@ -20,6 +21,7 @@ gives an empty result; further columns don't matter.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from math import ceil, log2
 
@@ -33,6 +35,7 @@ LEAF_ROWS = 512
 SPILL = 0.08
 RECALL = 0.999
 MOST_TREES = 64
+LEAST_RECALL = 0.9
 #: Sampled vectors that get a partner.
 PROBES = 4000
 SAMPLE_ROWS = 20_000
@@ -67,7 +70,13 @@ class Forest:
             row, leaf = (np.concatenate(x) for x in zip(self.leaves(probes, -1), self.leaves(partners, -1), strict=True))
             both = np.unique(np.stack((row, leaf)), axis=1, return_counts=True)
             apart[both[0][0][both[1] > 1]] = False
-            if apart.sum() <= (1 - recall) * len(probes) or len(self.planes) == MOST_TREES:
+            if apart.sum() <= (1 - recall) * len(probes):
+                break
+            if len(self.planes) == MOST_TREES:
+                reached = 1 - apart.mean()
+                if reached < LEAST_RECALL:
+                    raise ValueError(f"{MOST_TREES} trees let {reached:.3f} of partners meet; larger leaves or more spill are needed")
+                warnings.warn(f"{MOST_TREES} trees let {reached:.4f} of partners meet, {recall} were asked for", stacklevel=2)
                 break
 
     def partners(self, x: np.ndarray, threshold: float) -> np.ndarray:
@@ -77,48 +86,61 @@ class Forest:
         length = np.sqrt((away * away).sum(axis=1, keepdims=True))
         return threshold * x + np.sqrt(1 - threshold**2) * away / np.where(length > 0, length, 1)
 
+    def plane(self, n_dims: int) -> np.ndarray:
+        plane = self.dice.standard_normal(n_dims)
+        return plane / np.sqrt(plane @ plane)
+
     def add_tree(self, sample: np.ndarray) -> None:
+        """Planes by level and node; a level's node 0 has the plane of nodes that the sample can't place."""
         n_dims = sample.shape[1]
         planes, offsets, margins, nodes = [], [], [], {1: np.arange(len(sample))}
         centres = {0: sample.mean(axis=0) if len(sample) else np.zeros(n_dims)}
         for _level in range(self.depth):
-            plane = self.dice.standard_normal(n_dims)
-            plane /= np.sqrt(plane @ plane)
-            planes.append(plane)
-            side = sample @ plane
-            margins.append(self.spill * float(side.std()) if len(sample) else 0.0)
-            offset, below = {}, {}
+            of, at, room, below = {0: self.plane(n_dims)}, {}, {}, {}
+            room[0] = self.spill * float((sample @ of[0]).std()) if len(sample) else 0.0
             for node, rows in nodes.items():
                 if len(rows) < SAMPLE_NODE:
                     continue
-                offset[node] = float(np.median(side[rows]))
-                below[2 * node], below[2 * node + 1] = rows[side[rows] < offset[node]], rows[side[rows] >= offset[node]]
+                of[node] = self.plane(n_dims)
+                side = sample[rows] @ of[node]
+                at[node] = float(np.median(side))
+                # The margin is a part of the spread over all vectors, so that it doesn't shrink with the node.
+                room[node] = self.spill * float((sample @ of[node]).std())
+                below[2 * node], below[2 * node + 1] = rows[side < at[node]], rows[side >= at[node]]
                 centres[node] = sample[rows].mean(axis=0)
             nodes = below
-            offsets.append(offset)
+            planes.append(of)
+            offsets.append(at)
+            margins.append(room)
         self.planes.append(planes)
         self.offsets.append(offsets)
         self.centres.append(centres)
         self.margins.append(margins)
 
-    def offset(self, tree: int, level: int, node: int) -> float:
-        known = self.offsets[tree][level].get(node)
-        if known is not None:
-            return known
+    def split(self, tree: int, level: int, node: int) -> tuple[np.ndarray, float, float]:
+        """(plane, offset, margin) of a node."""
+        planes, offsets, margins = self.planes[tree][level], self.offsets[tree][level], self.margins[tree][level]
+        if node in planes:
+            return planes[node], offsets[node], margins[node]
         up = node
         while up and up not in self.centres[tree]:
             up >>= 1
-        return float(self.centres[tree][up] @ self.planes[tree][level])
+        return planes[0], float(self.centres[tree][up] @ planes[0]), margins[0]
 
     def leaves(self, x: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) pairs of the unit vectors ``x``."""
         rows, nodes = np.arange(len(x)), np.ones(len(x), np.int64)
         for level in range(self.depth):
-            names, which = np.unique(nodes, return_inverse=True)
-            offsets = np.array([self.offset(tree, level, int(n)) for n in names])
-            side = (x @ self.planes[tree][level])[rows] - offsets[which]
-            left, right = side < self.margins[tree][level], side >= -self.margins[tree][level]
-            rows, nodes = np.concatenate((rows[left], rows[right])), np.concatenate((2 * nodes[left], 2 * nodes[right] + 1))
+            order = np.argsort(nodes, kind="stable")
+            rows, nodes = rows[order], nodes[order]
+            names, starts = np.unique(nodes, return_index=True)
+            parts = []
+            for name, some in zip(names.tolist(), np.split(rows, starts[1:]), strict=True):
+                plane, offset, margin = self.split(tree, level, name)
+                side = x[some] @ plane - offset
+                for child, here in ((2 * name, some[side < margin]), (2 * name + 1, some[side >= -margin])):
+                    parts.append((here, np.full(len(here), child)))
+            rows, nodes = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (rows, nodes)
         return rows, nodes
 
 

@@ -220,15 +220,16 @@ def pack_level(items: DataFrame, shards: int, level: int, capacity: int, last: b
         import pyarrow as pa
 
         for batch in batches:
-            rows = batch.to_pylist()
-            for row in rows:
-                lengths = [c["length"] for c in row["content"]]
-                elites = [] if first else [listed(w) for w in row["elites"]]
-                best = evolve(lengths, capacity, elites, hash((level, row["shard"], row["island"], first)) & 0xFFFFFFFF, GENERATIONS, POPULATION)
-                row["bins"] = numbered(best, len(lengths))
-                row["worth_bins"], row["worth_fill"] = fitness(best, lengths, capacity)
-                row.pop("elites", None)
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("content", pa.list_(pa.struct([("item", pa.int64()), ("length", pa.int64())]))), ("bins", pa.list_(pa.int32())), ("worth_bins", pa.int64()), ("worth_fill", pa.float64())]))
+            # One shard at a time is unpacked, so a task holds its batch and one shard's lists.
+            for k in range(len(batch)):
+                row = batch.slice(k, 1)
+                shard, island = row.column("shard")[0].as_py(), row.column("island")[0].as_py()
+                lengths = row.column("content").flatten().field("length").to_pylist()
+                elites = [] if first else [listed(w) for w in row.column("elites")[0].as_py()]
+                best = evolve(lengths, capacity, elites, hash((level, shard, island, first)) & 0xFFFFFFFF, GENERATIONS, POPULATION)
+                worth = fitness(best, lengths, capacity)
+                columns = [row.column("shard"), row.column("island"), row.column("content"), pa.array([numbered(best, len(lengths))], pa.list_(pa.int32())), pa.array([worth[0]], pa.int64()), pa.array([worth[1]], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "island", "content", "bins", "worth_bins", "worth_fill"])
 
     schema = "shard long, island int, content array<struct<item:long,length:long>>, bins array<int>, worth_bins long, worth_fill double"
     islands = shard.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).repartition("shard", "island")
@@ -244,19 +245,21 @@ def pack_level(items: DataFrame, shards: int, level: int, capacity: int, last: b
         import pyarrow as pa
 
         for batch in batches:
-            out: dict[str, list] = {"item": [], "length": [], "sequence_id": [], "offset": []}
-            for row in batch.to_pylist():
-                content = row["best"]["content"]
-                for k, b in enumerate(listed(row["best"]["bins"])):
-                    at, total = 0, sum(content[i]["length"] for i in b)
+            for j in range(len(batch)):
+                out: dict[str, list] = {"item": [], "length": [], "sequence_id": [], "offset": []}
+                row = batch.slice(j, 1)
+                shard, packed = row.column("shard")[0].as_py(), row.column("best").field("content").flatten()
+                items, lengths = packed.field("item").to_pylist(), packed.field("length").to_pylist()
+                for k, b in enumerate(listed(row.column("best").field("bins")[0].as_py())):
+                    at, total = 0, sum(lengths[i] for i in b)
                     stays = last or total >= WELL_FILLED * capacity
                     for i in b:
-                        out["item"].append(content[i]["item"])
-                        out["length"].append(content[i]["length"])
-                        out["sequence_id"].append((level << 57) + (row["shard"] << 20) + k if stays else None)
+                        out["item"].append(items[i])
+                        out["length"].append(lengths[i])
+                        out["sequence_id"].append((level << 57) + (shard << 20) + k if stays else None)
                         out["offset"].append(at if stays else None)
-                        at += content[i]["length"]
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(n, pa.int64()) for n in out]))
+                        at += lengths[i]
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(n, pa.int64()) for n in out]))
 
     return best.mapInArrow(place, "item long, length long, sequence_id long, offset long")
 

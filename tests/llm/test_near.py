@@ -198,3 +198,23 @@ def test_passages_inside_longer_lines_are_marked(spark):
     assert all(texts[r.doc_id][r.start : r.start + r.n_chars] == shared for r in got)
     clean = {r.doc_id: r.text for r in remove_paragraphs(table, marks).collect()}
     assert clean == {k: t if k in (0, 20, 21) else "again " * 50 + " " if k == 30 else t.replace(shared, "") for k, t in texts.items()}
+
+
+def test_a_released_table_cannot_be_read(spark):
+    table = C.cut(spark.range(5), "gone")
+    assert table.count() == 5
+    C.release(table)
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        table.agg({"id": "sum"}).collect()
+
+
+def test_a_forest_that_cannot_reach_its_recall_says_so(monkeypatch):
+    from crivo.llm import embedding_dedup as E
+
+    sample = E.unit(np.random.default_rng(1).standard_normal((3000, 16)))
+    monkeypatch.setattr(E, "MOST_TREES", 1)
+    with pytest.raises(ValueError, match="partners"):
+        E.Forest(sample, 5, 0.0, 0.5, 0.999, 0)
+    monkeypatch.setattr(E, "LEAST_RECALL", 0.0)
+    with pytest.warns(UserWarning, match="partners"):
+        E.Forest(sample, 5, 0.0, 0.5, 0.999, 0)
