@@ -172,9 +172,37 @@ def stored_query(criterion: str) -> Query:
     return run
 
 
-for _name in ("adj", "unary_not", "nested"):
+for _name in ("adj", "unary_not", "nested", "wild_many"):
     register(f"{_name}_stored", O.matching(CRITERIA[_name]))(stored_query(CRITERIA[_name]))
 
+
+def stored_fields_query(criterion: str) -> Query:
+    def run(spark, sf_dir):
+        docs = fielded(spark, sf_dir)
+        store = TokenStore(shared_folder(spark, "tokens"), document="fields")
+        store.refresh(docs)
+        return store.search(docs, criterion)
+
+    return run
+
+
+for _name, _criterion in {"field_cmp_stored": "of E @source>=12", "field_scope_stored": "(de ADJ3 la).text. E fr.lang."}.items():
+    register(_name, O.matching(_criterion, fields=True))(stored_fields_query(_criterion))
+
+
+@register("topk_stored", f"""WITH {O.tokens()}, sizes AS (SELECT d.doc_id, count(t.w) AS size FROM documents d LEFT JOIN tok t USING (doc_id) GROUP BY d.doc_id),
+corpus AS (SELECT count(*) AS n, avg(size) AS mean FROM sizes),
+tf AS (SELECT doc_id, w, count(*) AS tf FROM tok WHERE w IN ('the', 'of') GROUP BY doc_id, w), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+scores AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS score FROM tf JOIN df USING (w) JOIN sizes USING (doc_id), corpus GROUP BY doc_id)
+SELECT doc_id, round(score, 6) AS score FROM (SELECT DISTINCT doc_id FROM ({O.select(parse('the ADJ2 of'))})) JOIN scores USING (doc_id) ORDER BY scores.score DESC, doc_id LIMIT 20""")
+def topk_stored(spark, sf_dir):
+    """The best matches by the weight of their words in the document and in the corpus."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    store = TokenStore(shared_folder(spark, "tokens"))
+    store.refresh(docs)
+    return store.ranked(docs, "the ADJ2 of", 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
 _CHANGED = "SELECT doc_id, '' AS c, CASE WHEN lang = 'en' THEN 'la de ' || text ELSE text END AS text FROM documents"
 
 
