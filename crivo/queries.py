@@ -15,6 +15,7 @@ from crivo.functions import normalize as N
 from crivo.functions.patterns import expand, regex_matches
 from crivo.functions.tokens import page_text, postings, unique_words, with_tokens, words
 from crivo.operators import session as S
+from crivo.operators.cached_search import CachedSearch
 from crivo.operators.criteria import compile_criterion, matching, trace
 from crivo.operators.rewrite import rewritten_text, split_directives
 from crivo.operators.rule_index import apply_rule_index
@@ -209,16 +210,22 @@ _CHANGED = "SELECT doc_id, '' AS c, CASE WHEN lang = 'en' THEN 'la de ' || text
 @register("stored_refresh", f"WITH {O.tokens(_CHANGED)} SELECT DISTINCT doc_id FROM ({O.select(parse('(la ADJ1 de) NAO thing'))})")
 def stored_refresh(spark, sf_dir):
     """English documents change after the first indexing; the second one reads them alone."""
-    at = lambda day: F.lit(f"2024-01-{day} 00:00:00").cast("timestamp")
-    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    docs, changed = changed_documents(spark, sf_dir)
     store = TokenStore(shared_folder(spark, "tokens"), date_col="updated")
-    store.refresh(docs.withColumn("updated", at("01")))
-    english = F.col("lang") == "en"
-    changed = docs.withColumn("text", F.when(english, F.concat(F.lit("la de "), F.col("text"))).otherwise(F.col("text"))).withColumn("updated", F.when(english, at("02")).otherwise(at("01")))
+    store.refresh(docs)
     store.refresh(changed)
     return store.search(changed, "(la ADJ1 de) NAO thing")
 
 
+def changed_documents(spark, sf_dir):
+    """Documents of one day, and as they are a day later, when the English ones have changed."""
+    at = lambda day: F.lit(f"2024-01-{day} 00:00:00").cast("timestamp")
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    english = F.col("lang") == "en"
+    text = F.when(english, F.concat(F.lit("la de "), F.col("text"))).otherwise(F.col("text"))
+    return docs.withColumn("updated", at("01")), docs.withColumn("text", text).withColumn("updated", F.when(english, at("02")).otherwise(at("01")))
+
+
 def field_query(criterion: str) -> Query:
     def run(spark, sf_dir):
         docs = fielded(spark, sf_dir)
@@ -482,6 +489,16 @@ def topk_postings(spark, sf_dir):
     return S.search_postings(postings(docs), docs, "the ADJ2 of", limit=20)
 
 
+@register("search_cached", f"WITH {O.tokens(_CHANGED)} SELECT doc_id, score FROM ({_score_sql('la ADJ1 de', chr(39) + 'la' + chr(39) + ', ' + chr(39) + 'de' + chr(39))}) ORDER BY score DESC, doc_id LIMIT 50")
+def search_cached(spark, sf_dir):
+    """English documents change after a first search; the second one tests them alone."""
+    at = lambda day: F.lit(f"2024-01-{day} 00:00:00").cast("timestamp")
+    docs, changed = changed_documents(spark, sf_dir)
+    search = CachedSearch(shared_folder(spark, "comparisons"), date_col="updated")
+    search.search(docs, "la ADJ1 de", at("01"))
+    return search.search(changed, "la ADJ1 de", at("03"), 50)
+
+
 def session_of(spark, sf_dir, name, criterion):
     return S.start_session(name, S.pre_search(tokenised(spark, sf_dir), compile_criterion(criterion)))
 
