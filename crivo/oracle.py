@@ -33,6 +33,15 @@ def singular(w: str) -> str:
     return f"CASE WHEN NOT suffix({w}, 's') OR {w} IN ({exceptions}) OR regexp_matches({w}, '{DOUBLED}|[yw]') OR NOT regexp_matches({w}, '[aeiou]') THEN {w} WHEN {w} IN ('leis', 'pais') THEN {w}[:-2]{cases} ELSE {w} END"
 
 
+def aligned(text: str) -> str:
+    """Normalised text whose characters stand where the original's stand."""
+    digits = lambda x: f"regexp_replace({x}, '([0-9])[.,]([0-9])', '\\1_\\2', 'g')"
+    broken = f"replace(regexp_replace({fold(text)}, '<\\s*/?\\s*[bB][rR]\\s*/?\\s*>', chr(10), 'g'), chr(13), chr(10))"
+    folded = f"replace({digits(digits(broken))}, '-', ' ')"
+    padded = f"regexp_replace(rpad({singular('v[2]')}, CAST(length(v[1]) AS INTEGER), '~'), '[^a-z0-9~_\\n§-]', ' ', 'g')"
+    return f"array_to_string(list_transform(list_transform(string_split({folded}, ' '), lambda w: [w, replace(w, '~', '')]), lambda v: {padded}), ' ')"
+
+
 def tokens(source: str = "SELECT doc_id, '' AS c, text FROM documents") -> str:
     """CTEs raw and tok(doc_id, c, w, t, p)."""
     return f"""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from crivo import oracle as O
 from crivo.functions import normalize as N
 from crivo.functions.patterns import expand, regex_matches
+from crivo.functions.sql import register_normaliser
 from crivo.functions.tokens import page_text, postings, unique_words, with_tokens, words
 from crivo.operators import session as S
 from crivo.operators.cached_search import CachedSearch
@@ -20,7 +21,7 @@ from crivo.operators.criteria import compile_criterion, matching, trace
 from crivo.operators.rewrite import rewritten_text, split_directives
 from crivo.operators.rule_index import apply_rule_index
 from crivo.operators.rules import Rule, apply_rules, compile_rules, filter_rules, label_rows, load_rules
-from crivo.operators.spans import extract, highlight_extractions, highlight_spans, highlight_terms
+from crivo.operators.spans import extract, extract_many, highlight, highlight_extractions, highlight_spans, highlight_terms
 from crivo.plans.parser import parse
 from crivo.plans.postings import search as postings_search
 from crivo.sources.ingest import ABBREVIATIONS, rejoin_lines, turns_as_pages
@@ -344,20 +345,17 @@ def highlight_regex(spark, sf_dir):
 _MARKED_TERMS = ("the", "of the", "tion")
 
 
-def _highlight_sql() -> str:
+def _highlight_sql(terms) -> str:
     """Terms found in aligned text whose separators stand twice, so that neighbours can share them."""
     br = "<\\s*/?\\s*[bB][rR]\\s*/?\\s*>"
-    digits = lambda x: f"regexp_replace({x}, '([0-9])[.,]([0-9])', '\\1_\\2', 'g')"
-    folded = f"replace({digits(digits(O.fold('x')))}, '-', ' ')"
-    word = f"list_transform(list_transform(string_split(z, ' '), lambda w: [w, replace(w, '~', '')]), lambda v: regexp_replace(rpad({O.singular('v[2]')}, CAST(length(v[1]) AS INTEGER), '~'), '[^a-z0-9~_\\n§-]', ' ', 'g'))"
     parts = []
-    for k, term in enumerate(_MARKED_TERMS):
+    for k, term in enumerate(terms):
         pattern = f"([0-9 \\n])(~*{term.replace(' ', '(?:[ ~]|' + chr(1) + '[ ~])*')}~*)([0-9 \\n])"
         parts.append(f"SELECT doc_id, {k} AS term, regexp_replace(twice, '{pattern}', '\\1' || chr(2) || '\\2' || chr(3) || '\\3', 'g') AS m FROM w")
     undone = f"regexp_replace(m, '([0-9 \\n])' || chr(1) || '[0-9 \\n]', '\\1', 'g')"
     return f"""
 WITH s AS (SELECT doc_id, text, ' ' || replace(regexp_replace(text, '{br}', chr(10), 'g'), chr(13), chr(10)) || ' ' AS x FROM documents),
-y AS (SELECT doc_id, array_to_string({word}, ' ') AS y FROM (SELECT doc_id, {folded} AS z FROM s)),
+y AS (SELECT doc_id, {O.aligned('x')} AS y FROM s),
 w AS (SELECT doc_id, regexp_replace(y, '([0-9 \\n])', '\\1' || chr(1) || '\\1', 'g') AS twice FROM y),
 t AS ({" UNION ALL ".join(parts)}),
 p AS (SELECT doc_id, term, string_split_regex({undone}, '[' || chr(2) || chr(3) || ']') AS pieces FROM t),
@@ -372,11 +370,65 @@ r AS (SELECT doc_id, max(e) AS last, string_agg(substr(x, CAST(before AS BIGINT)
 SELECT doc_id, CASE WHEN text = '' OR text IS NULL THEN text ELSE trim(coalesce(head, '') || substr(x, CAST(coalesce(last, 0) AS BIGINT) + 1)) END AS marked FROM s LEFT JOIN r USING (doc_id)"""
 
 
-@register("highlight_terms", _highlight_sql())
+@register("highlight_terms", _highlight_sql(_MARKED_TERMS))
 def highlight_terms_query(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", highlight_terms(F.col("text"), _MARKED_TERMS).alias("marked"))
 
 
+@register("highlight_criterion", _highlight_sql(("the", "la", "der", "of the")).replace(" AS marked FROM s", " AS highlighted FROM s"))
+def highlight_criterion(spark, sf_dir):
+    """All terms of a criterion and their synonyms, negated ones too, a phrase as one."""
+    return highlight(documents(spark, sf_dir).select("doc_id", "text"), 'the NAO "of the"', synonyms=SYNONYMS).select("doc_id", "highlighted")
+
+
+@register("aligned_norm", f"SELECT doc_id, md5({O.aligned('text')}) AS digest FROM documents")
+def aligned_norm(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.md5(N.aligned(F.col("text"))).alias("digest"))
+
+
+@register("sql_normaliser", f"SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all({O.full('text')}, '[0-9]+|[a-z]+|\\n'), lambda x: {O.singular('x')}), ' ')) AS digest FROM documents")
+def sql_normaliser(spark, sf_dir):
+    """The normaliser called from SQL."""
+    register_normaliser(spark, "crivo_normalised")
+    return spark.sql("SELECT doc_id, md5(crivo_normalised(text, false)) AS digest FROM {docs}", docs=documents(spark, sf_dir))
+
+
+#: The texts hold few quotes, so some are set before and inside words; Spark and SQL read this alike.
+_QUOTE = "chr(39)"
+_QUOTED = f"replace(replace(replace(text, ' t', ' ' || {_QUOTE} || 't'), 'ti', 't' || {_QUOTE} || 'i'), ' of ', ' “of” ')"
+_INNER = r"regexp_replace({}, '([\p{{L}}\p{{N}}_])' || chr(39) || '([\p{{L}}\p{{N}}_])', '\1' || chr(1) || '\2', 'g')"
+_UNIFIED = f"replace(translate({_INNER.format(_INNER.format('q'))}, '“”' || {_QUOTE}, '\"\"\"'), chr(1), {_QUOTE})"
+_UNQUOTED = "CASE WHEN n > 0 AND n % 2 = 0 THEN regexp_replace(trim(u), '\"[^\"]*\"', ' ', 'g') ELSE u END"
+
+
+@register("unify_quotes", f"SELECT doc_id, md5({_UNIFIED}) AS digest FROM (SELECT doc_id, {_QUOTED} AS q FROM documents)")
+def unify_quotes(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.md5(N.unify_quotes(F.expr(_QUOTED))).alias("digest"))
+
+
+@register("directives_in_order", f"""WITH u AS (SELECT doc_id, {_UNIFIED} AS u FROM (SELECT doc_id, {_QUOTED} AS q FROM documents)),
+x AS (SELECT doc_id, {O.light(_UNQUOTED)} AS x FROM (SELECT doc_id, u, length(u) - length(replace(u, '"', '')) AS n FROM u)),
+c AS (SELECT doc_id, array_to_string(list_filter([array_to_string(regexp_extract_all(x, '(?s)and.*?ing'), chr(10)), array_to_string(regexp_extract_all(x, '(?s)was.*?the'), chr(10))], lambda p: p <> ''), chr(10)) AS c FROM x)
+SELECT doc_id, md5(trim(regexp_replace(trim(regexp_replace(c, 'th[a-z0-9]?', ' ', 'g')), 'er', ' ', 'g'))) AS digest FROM c""")
+def directives_in_order(spark, sf_dir):
+    """Quotes first, then both stretches of the text, then the removals one after another."""
+    d = split_directives("of remover(th?) remover(er) recortar(and;ing) remover(aspas) recortar(was;the)")
+    return documents(spark, sf_dir).select("doc_id", F.md5(N.light(rewritten_text(F.expr(_QUOTED), d))).alias("digest"))
+
+
+def _many_sql() -> str:
+    parts = [f"SELECT doc_id, start, \"end\", hit, '{meta}' AS meta FROM ({_spans_sql(pattern)})" for pattern, meta in (("[0-9]+", '{"kind":"number"}'), ("[a-z]*tion", '{"kind":"ending"}'))]
+    return f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, \"end\", hit, meta) - 1 AS BIGINT) AS ord, start, \"end\", meta FROM ({' UNION ALL '.join(parts)})"
+
+
+@register("extract_many", _many_sql())
+def extract_many_query(spark, sf_dir):
+    """Spans of two patterns in one order, with what each pattern's entry says besides."""
+    criteria = [{"regex": "[0-9]+", "kind": "number", "note": "x"}, {"regex": "[a-z]*tion", "kind": "ending"}]
+    found = documents(spark, sf_dir).select("doc_id", F.posexplode(extract_many(F.col("text"), criteria, drop=("note",))).alias("ord", "s"))
+    return found.select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.meta").alias("meta"))
+
+
 # --- rules -------------------------------------------------------------------------------------------
 
 RULES = [
