@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crivo.llm._common import free_name
+from crivo.llm._common import cut, free_name
 
 RATIO = 0.1
 MIN_HELD = 3
@@ -67,7 +67,8 @@ def drop_site_lines(pages: DataFrame, host: Column, text_col: str, ratio: float
     rows = pages.select(host.cast("string").alias("host"), *[F.col(f"`{c}`").alias(n) for c, n in named.items()])
     rows = rows.withColumn("host_key", F.concat(F.when(F.col("host").isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce("host", F.lit(""))))
     text = named[text_col]
-    found = boilerplate(rows.select("host_key", F.col(text)), text, ratio, min_held)
+    # A written table is shuffled for the join, and only a join between two shuffles is split where it is skewed.
+    found = cut(boilerplate(rows.select("host_key", F.col(text)), text, ratio, min_held), "boilerplate")
     met = rows.hint("merge").join(found, "host_key", "left")
     lines = F.split(F.col(text), "\n", -1)
     known = lambda x: F.array_contains(F.col("boilerplate"), line_key(x))
