@@ -222,9 +222,9 @@ def apply_rules(docs: DataFrame, rules: RuleSet, document: str = "text", first_o
     every = F.array(*spans) if spans else F.array().cast(f"array<{SPAN}>")
     if detail:
         as_text = lambda x: x.cast("string") if isinstance(kind, T.StringType) else F.to_json(x)
-        tested = {k: as_text(x) for k, x in enumerate(texts.values())}
+        shown = {k: as_text(x) for k, x in enumerate(texts.values())}
         text_of = {k: at for (at, _), k in forms.items()}
-        listed = [[F.lit(r.group).alias("group"), F.lit(r.label).alias("label"), F.lit(r.rule).alias("rule"), F.lit(c.and_or_not).alias("and_or_not"), tested[text_of[k]].alias("processed")] for _, r, c, k in tests]
+        listed = [[F.lit(r.group).alias("group"), F.lit(r.label).alias("label"), F.lit(r.rule).alias("rule"), F.lit(c.and_or_not).alias("and_or_not"), shown[text_of[k]].alias("processed")] for _, r, c, k in tests]
         if with_spans:
             listed = [[*columns, x.alias("spans")] for columns, x in zip(listed, spans, strict=True)]
         out = out.withColumn("fired", F.transform(F.col("_rules_found.at"), lambda k: F.get(F.array(*[F.struct(*x) for x in listed]), k)) if listed else F.array())

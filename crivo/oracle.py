@@ -27,10 +27,11 @@ def light(text: str) -> str:
     return f"replace(replace({fold(text)}, '<br>', chr(10)), chr(13), chr(10))"
 
 
-def singular(w: str) -> str:
+def singular(w: str, twice: str | None = None) -> str:
+    """``twice``: whether a character other than s and r stands doubled; by default looked for among letters and digits."""
     exceptions = ", ".join(f"'{x}'" for x in PLURAL_EXCEPTIONS)
     cases = "".join(f" WHEN regexp_matches({w}, '{e}') THEN regexp_replace({w}, '{e}', '{i}')" for e, i in PLURAL_ENDINGS)
-    return f"CASE WHEN NOT suffix({w}, 's') OR {w} IN ({exceptions}) OR regexp_matches({w}, '{DOUBLED}|[yw]') OR NOT regexp_matches({w}, '[aeiou]') THEN {w} WHEN {w} IN ('leis', 'pais') THEN {w}[:-2]{cases} ELSE {w} END"
+    return f"CASE WHEN NOT suffix({w}, 's') OR {w} IN ({exceptions}) OR {twice or f"regexp_matches({w}, '{DOUBLED}')"} OR regexp_matches({w}, '[yw]') OR NOT regexp_matches({w}, '[aeiou]') THEN {w} WHEN {w} IN ('leis', 'pais') THEN {w}[:-2]{cases} ELSE {w} END"
 
 
 def aligned(text: str) -> str:
@@ -38,7 +39,8 @@ def aligned(text: str) -> str:
     digits = lambda x: f"regexp_replace({x}, '([0-9])[.,]([0-9])', '\\1_\\2', 'g')"
     broken = f"replace(regexp_replace({fold(text)}, '<\\s*/?\\s*[bB][rR]\\s*/?\\s*>', chr(10), 'g'), chr(13), chr(10))"
     folded = f"replace({digits(digits(broken))}, '-', ' ')"
-    padded = f"regexp_replace(rpad({singular('v[2]')}, CAST(length(v[1]) AS INTEGER), '~'), '[^a-z0-9~_\\n§-]', ' ', 'g')"
+    twice = "len(list_filter(range(1, length(v[2])), lambda i: v[2][i] = v[2][i + 1] AND v[2][i] NOT IN ('s', 'r'))) > 0"
+    padded = f"regexp_replace(rpad({singular('v[2]', twice)}, CAST(length(v[1]) AS INTEGER), '~'), '[^a-z0-9~_\\n§-]', ' ', 'g')"
     return f"array_to_string(list_transform(list_transform(string_split({folded}, ' '), lambda w: [w, replace(w, '~', '')]), lambda v: {padded}), ' ')"
 
 
