@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crivo.functions.ambiguity import ambiguous
 from crivo.functions.normalize import full, head_tail, is_blank, light
 from crivo.functions.patterns import regex_error
 from crivo.functions.tokens import let, token_array
@@ -103,23 +104,34 @@ def filter_rules(rules: Iterable[Rule], tags: str = "", request: Mapping[str, st
 
 @dataclass(frozen=True)
 class RuleSet:
-    """Compiled rules: those that can be applied, in order, and those that can't with the reason."""
+    """Compiled rules: those that can be applied, in order, those that can't with the reason, and of those that
+    can the ones whose patterns may take exponential time."""
 
     rules: list[tuple[Rule, Criterion]]
     bad: list[tuple[Rule, str]]
+    flagged: list[tuple[Rule, str]] = field(default_factory=list)
 
 
-def compile_rules(rules: Iterable[Rule], spark: SparkSession | None = None, **options) -> RuleSet:
-    """All rules, compiled; patterns are tried in one go, and one by one only if that fails."""
+AMBIGUOUS = "a loop of the pattern reads a text in two ways, which can take exponential time"
+
+
+def compile_rules(rules: Iterable[Rule], spark: SparkSession | None = None, refuse_ambiguous: bool = False, **options) -> RuleSet:
+    """All rules, compiled; patterns are tried in one go, and one by one only if that fails.
+
+    Rules with a pattern that can take exponential time are flagged, or refused if asked for.
+    """
     made = [(r, compile_criterion(r.rule, spark=spark, try_pattern=False, **options)) for r in sorted_rules(rules)]
     spark = spark or SparkSession.getActiveSession()
     patterns = list(dict.fromkeys(c.pattern for _, c in made if c.kind != "dsl" and not c.error))
     wrong = {} if spark is None or not patterns or regex_error(spark, *patterns) is None else {p: regex_error(spark, p) for p in patterns}
-    good, bad = [], []
+    good, bad, flagged = [], [], []
     for r, c in made:
         error = c.error or (wrong.get(c.pattern) if c.kind != "dsl" else None if c.node is not None else "empty criterion")
+        if not error and c.kind != "dsl" and ambiguous(c.pattern):
+            flagged.append((r, AMBIGUOUS))
+            error = AMBIGUOUS if refuse_ambiguous else None
         bad.append((r, error)) if error else good.append((r, c))
-    return RuleSet(good, bad)
+    return RuleSet(good, bad, flagged)
 
 
 def trimmed(document: Column, kind: T.DataType, r: Rule, form) -> Column:
