@@ -24,7 +24,8 @@ from crivo.operators.rules import Rule, apply_rules, compile_rules, filter_rules
 from crivo.operators.spans import extract, extract_many, highlight, highlight_extractions, highlight_spans, highlight_terms
 from crivo.plans.parser import parse
 from crivo.plans.postings import search as postings_search
-from crivo.sources.ingest import ABBREVIATIONS, rejoin_lines, turns_as_pages
+from crivo.plans.syntax import special
+from crivo.sources.ingest import ABBREVIATIONS, rejoin_lines, split_pages, turns_as_pages
 from crivo.sources.store import TokenStore, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,9 +266,9 @@ def like_match(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").where(regex_matches(F.col("text"), "l:%the%of%")).select("item_id")
 
 
-def _spans_sql(pattern: str) -> str:
+def _spans_sql(pattern: str, source: str = "SELECT doc_id, text FROM documents") -> str:
     return f"""
-WITH f AS (SELECT doc_id, regexp_extract_all(x, '{pattern}') AS found, string_split_regex(x, '{pattern}') AS pieces FROM (SELECT doc_id, {O.light("text")} AS x FROM documents)),
+WITH f AS (SELECT doc_id, regexp_extract_all(x, '{pattern}') AS found, string_split_regex(x, '{pattern}') AS pieces FROM (SELECT doc_id, {O.light("text")} AS x FROM ({source}))),
 u AS (SELECT doc_id, unnest(found) AS found, unnest(pieces[:len(found)]) AS piece, generate_subscripts(found, 1) AS k FROM f)
 SELECT doc_id, CAST(k - 1 AS BIGINT) AS ord,
   CAST(sum(length(piece)) OVER w + coalesce(sum(length(found)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
@@ -443,7 +444,7 @@ RULES = [
 ]
 
 
-def _rule_sql(rules: list[Rule], first_of_group: bool) -> str:
+def _rule_sql(rules: list[Rule], first_of_group: bool, more=None) -> str:
     """Rules tested one by one, the fold written as a chain of conditions."""
     tests = {
         "the ADJ20 of": "EXISTS (SELECT 1 FROM m1 WHERE m1.doc_id = d.doc_id)",
@@ -464,7 +465,7 @@ def _rule_sql(rules: list[Rule], first_of_group: bool) -> str:
     for k, f in enumerate(fired):
         steps.append(f"s{k} AS (SELECT d.*, {f} FROM {last})")
         last = f"s{k} d"
-    rows = " UNION ALL ".join(f"SELECT doc_id, {O.literal(r.label)} AS label FROM {last} WHERE f{k}" for k, r in enumerate(good))
+    rows = " UNION ALL ".join(f"SELECT doc_id, {O.literal(r.label)} AS label{', ' + more(r) if more else ''} FROM {last} WHERE f{k}" for k, r in enumerate(good))
     return f"WITH {O.tokens()}, {members}, {', '.join(steps)} {rows}"
 
 
@@ -519,6 +520,78 @@ def rule_labels(spark, sf_dir):
     return QUERIES["rules_first_of_group"](spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("n_quality"))
 
 
+_PAGED = "SELECT conv_id * 100000 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS doc_id, text FROM conversations"
+
+
+@register("extract_paged", f"SELECT doc_id // 100000 AS conv_id, CAST(doc_id % 100000 AS INTEGER) AS page, start, \"end\" FROM ({_spans_sql('[a-z]+ing', _PAGED)})")
+def extract_paged(spark, sf_dir):
+    """Spans in every page, with the page's number."""
+    paged = turns_as_pages(table(spark, sf_dir, "conversations"))
+    found = paged.select("conv_id", F.explode(extract(F.col("pages"), paged.schema["pages"].dataType, "r:[a-z]+ing")).alias("s"))
+    return found.select("conv_id", F.col("s.page").alias("page"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
+
+
+@register("pages_by_mark", """SELECT doc_id, CAST(k - 1 AS BIGINT) AS page, md5(piece) AS digest FROM (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k
+FROM (SELECT doc_id, CASE WHEN instr(marked, '<<pg>>') > 1 THEN string_split(marked, '<<pg>>') ELSE [marked] END AS pieces FROM (SELECT doc_id, replace(text, chr(10), '<<pg>>') AS marked FROM documents)))""")
+def pages_by_mark(spark, sf_dir):
+    marked = documents(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), F.lit("<<pg>>")).alias("text"))
+    return marked.select("doc_id", F.posexplode(split_pages(F.col("text"))).alias("page", "x")).select("doc_id", F.col("page").cast("long").alias("page"), F.md5("x").alias("digest"))
+
+
+@register("literal_breaks", "SELECT doc_id, md5(regexp_replace(x, '([^\\\\])\\\\n', '\\1' || chr(10), 'g')) AS digest FROM (SELECT doc_id, replace(text, ' the ', ' the\\n ') AS x FROM documents)")
+def literal_breaks(spark, sf_dir):
+    """A backslash and an n, written out in the texts, become line feeds."""
+    written = F.replace("text", F.lit(" the "), F.lit(" the\\n "))
+    return documents(spark, sf_dir).select("doc_id", F.md5(N.literal_breaks(written)).alias("digest"))
+
+
+@register("digests", "SELECT doc_id, sha1(concat_ws('|', lang, text)) AS digest, array_to_string(list_transform(range(0, 10), lambda k: substr(sha1(text), CAST(4 * k + 1 AS BIGINT), 1)), '') AS mini FROM documents")
+def digests(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", S.digest(F.col("lang"), F.col("text")).alias("digest"), S.mini_digest(F.col("text")).alias("mini"))
+
+
+#: Criteria of two words of each text of the benchmark in six forms, and what is printed for each form.
+_WORDS = "(SELECT item_id, lower('x' || regexp_extract(text, '([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)', 1)) AS a, lower('x' || regexp_extract(text, '([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)', 2)) AS b FROM benchmark)"
+_FORMS = f"""SELECT item_id, CASE item_id % 6 WHEN 0 THEN a || ' ADJ2 ' || b WHEN 1 THEN '"' || a || '" OU ' || b || '$' WHEN 2 THEN a || ' NAO (' || b || ' E ' || a || ')'
+WHEN 3 THEN '(' || a || ' PROX3 ' || b || ').text.' WHEN 4 THEN '"' || a || '"$' ELSE a || ' E ? ' || b END AS rule FROM {_WORDS}"""
+
+
+@register("criterion_forms", f"""SELECT item_id, CASE item_id % 6 WHEN 0 THEN a || ' ADJ2 ' || b WHEN 1 THEN '"' || a || '" OU ' || r || '$' WHEN 2 THEN a || ' NAO (' || b || ' E ' || a || ')'
+WHEN 3 THEN a || '.text. PROX3 ' || b || '.text.' WHEN 4 THEN '"' || q || '$"' ELSE a || ' E ?' || b END AS canonical,
+CASE item_id % 6 WHEN 1 THEN '"' || a || '" OR ' || r || '*' WHEN 2 THEN a || ' NOT (' || b || ' AND ' || a || ')' WHEN 4 THEN q || '*' ELSE a || ' AND ' || b END AS and_or_not, item_id % 6 IN (0, 3) AS has_positions
+FROM (SELECT item_id, {O.singular('a')} AS a, {O.singular('b')} AS b, a AS q, b AS r FROM {_WORDS})""")
+def criterion_forms(spark, sf_dir):
+    """The canonical text of criteria, their AND/OR/NOT form, and whether they need positions."""
+    made = spark.sql(_FORMS.replace("FROM benchmark", "FROM {items}"), items=table(spark, sf_dir, "benchmark")).collect()
+    rows = [(r["item_id"], c.canonical, c.and_or_not, special(c.node)) for r in made for c in [compile_criterion(r["rule"])]]
+    return spark.createDataFrame(rows, "item_id long, canonical string, and_or_not string, has_positions boolean")
+
+
+@register("regex_validity", f"SELECT item_id, item_id % 3 = 0 AS valid FROM {_WORDS}")
+def regex_validity(spark, sf_dir):
+    """Which patterns of a table compile."""
+    made = spark.sql(f"SELECT CAST(item_id AS VARCHAR(20)) AS label, CASE item_id % 3 WHEN 0 THEN 'r:' || a || '[0-9]+' WHEN 1 THEN 'r:(' || a ELSE 'r:' || a || '{{{{2' END AS rule FROM {_WORDS.replace('FROM benchmark', 'FROM {items}')}", items=table(spark, sf_dir, "benchmark"))
+    rules = compile_rules(load_rules(made.select(F.lit("benchmark").alias("group"), "label", "rule")))
+    return spark.createDataFrame([(int(r.label), True) for r, _ in rules.rules] + [(int(r.label), False) for r, _ in rules.bad], "item_id long, valid boolean")
+
+
+_PRINTED = {"the ADJ20 of": "the AND of", "la ADJ20 de": "la AND de", "der PROX20 die": "der AND die", "thing": "thing"}
+
+
+@register("rules_detail", _rule_sql(RULES, False, lambda r: f"{O.literal(r.rule)} AS rule, {O.literal(_PRINTED.get(r.rule, ''))} AS and_or_not"))
+def rules_detail(spark, sf_dir):
+    """The rules that fired, with what they ask for and their weaker form."""
+    found = apply_rules(documents(spark, sf_dir).select("doc_id", "text"), compile_rules(RULES), first_of_group=False, detail=True)
+    return found.select("doc_id", F.inline("fired")).select("doc_id", "label", "rule", "and_or_not")
+
+
+@register("json_fields", O.matching("(de ADJ3 la).text. E fr.lang.", fields=True))
+def json_fields(spark, sf_dir):
+    """Documents whose fields lie in a JSON text."""
+    written = documents(spark, sf_dir).select("doc_id", F.to_json(F.struct("lang", "source", "text")).alias("text"))
+    return matching(S.DocSource("documents", json=True).read(written), "(de ADJ3 la).text. E fr.lang.").select("doc_id")
+
+
 # --- search sessions ---------------------------------------------------------------------------------
 
 
@@ -583,6 +656,24 @@ def status_rollup(spark, sf_dir):
     return S.rollup(_refined(spark, sf_dir)).select("session", "n_docs", "n_accepted", "n_removed")
 
 
+@register("session_accepted", f"WITH {O.tokens()}, a AS ({_HAS.format('the', 'of')}) SELECT DISTINCT doc_id AS id FROM ({O.select(parse('the ADJ2 of'))}) JOIN a USING (doc_id)")
+def session_accepted(spark, sf_dir):
+    return S.accepted(_refined(spark, sf_dir)).select("id")
+
+
+@register("session_status", """WITH s AS (SELECT CAST(doc_id % 40 AS VARCHAR) AS session, ['F', 'X', 'F', 'X', 'P', 'M', 'N'][1 + CASE WHEN doc_id % 40 < 8 THEN doc_id % 4 WHEN doc_id % 40 < 20 THEN doc_id // 40 % 5 ELSE doc_id // 40 % 7 END] AS status FROM documents)
+SELECT session, count(*) AS n_docs, count(*) FILTER (WHERE status = 'F') AS n_accepted, count(*) FILTER (WHERE status = 'X') AS n_removed,
+  ['N', 'M', 'P'][least(min(CASE status WHEN 'N' THEN 1 WHEN 'M' THEN 2 WHEN 'P' THEN 3 ELSE 9 END), 3)] AS least, min(CASE status WHEN 'N' THEN 1 WHEN 'M' THEN 2 WHEN 'P' THEN 3 ELSE 9 END) = 9 AS settled FROM s GROUP BY session""")
+def session_status(spark, sf_dir):
+    """The least advanced status of each session's documents, and whether all are settled."""
+    turn = F.when(F.col("doc_id") % 40 < 8, F.col("doc_id") % 4).when(F.col("doc_id") % 40 < 20, F.floor(F.col("doc_id") / 40) % 5).otherwise(F.floor(F.col("doc_id") / 40) % 7)
+    status = F.get(F.array(*map(F.lit, "FXFXPMN")), turn.cast("int"))
+    rows = documents(spark, sf_dir).select((F.col("doc_id") % 40).cast("string").alias("session"), status.alias("status"))
+    out = S.rollup(rows)
+    settled = F.col("status").isin("F", "X")
+    return out.select("session", "n_docs", "n_accepted", "n_removed", F.when(settled, F.lit("P")).otherwise(F.col("status")).alias("least"), settled.alias("settled"))
+
+
 @register("cache_freshness", """WITH latest AS (SELECT user_id AS id, max(ts) AS updated FROM events GROUP BY user_id), cached AS (SELECT event_id, user_id AS id, ts AS created FROM events WHERE event_type = (SELECT min(event_type) FROM events))
 SELECT c.event_id, c.id FROM cached c JOIN latest l USING (id) WHERE l.updated <= c.created""")
 def cache_freshness(spark, sf_dir):
