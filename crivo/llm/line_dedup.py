@@ -36,10 +36,22 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
+def one_of(words: list[str]) -> str:
+    """A pattern of the words that tells them apart letter by letter instead of trying one after another."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[:1], []).append(w[1:])
+    ways = [letter + one_of(rest) for letter, rest in by.items() if letter]
+    if not ways:
+        return ""
+    return f"(?:{'|'.join(ways)}){'?' if '' in by else ''}" if len(ways) > 1 or "" in by else ways[0]
+
+
 def html_lines(html: Column) -> Column:
     """Text of a page, one line a block element: without scripts, styles, comments and tags."""
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->", "")
-    text = F.regexp_replace(text, rf"(?i)</?({BLOCKS})\b[^>]*>", "\n")
+    # Every pattern starts with one character, which an engine looks for much faster than for alternatives.
+    text = F.regexp_replace(html, r"(?is)<(?:(?:script|style)\b.*?</(?:script|style)\s*>|!--.*?-->)", "")
+    text = F.regexp_replace(text, rf"(?i)</?{one_of(BLOCKS.split('|'))}\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
     for name, character in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(character))

@@ -510,3 +510,12 @@ def test_windows_hold_the_vocabulary_s_tokens(spark):
         assert {x for _, x, _, _ in turns} <= texts
         assert sum(cost) <= 200 or len(turns) == w.n_repeated + 1 == 1
         assert sum(cost[: w.n_repeated]) <= 80
+
+
+def test_names_of_elements_are_told_apart():
+    import re
+
+    names = line_dedup.BLOCKS.split("|")
+    pattern = re.compile(rf"</?{line_dedup.one_of(names)}\b[^>]*>")
+    assert all(pattern.fullmatch(f"<{n}>") and pattern.fullmatch(f"</{n} a='b'>") for n in names)
+    assert not any(pattern.fullmatch(f"<{n}>") for n in ("span", "b", "head", "t", "pr", "h7", "tablex", "d"))
