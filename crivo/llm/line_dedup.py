@@ -24,7 +24,8 @@ from crivo.llm._common import cut, free_name
 
 RATIO = 0.1
 MIN_HELD = 3
-TRIMMED = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+#: White space: what is trimmed off lines, and what blank lines consist of.
+BLANKS = " \t\n\x0b\x0c\r"
 #: Elements that end a line of text, and entities that stand for one character (fixed values).
 BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
@@ -59,13 +60,17 @@ def html_lines(html: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    return F.xxhash64(F.regexp_replace(line, TRIMMED, ""))
+    return F.xxhash64(F.btrim(line, F.lit(BLANKS)))
+
+
+def is_blank(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANKS)) == ""
 
 
 def boilerplate(pages: DataFrame, text: str, ratio: float, min_held: int) -> DataFrame:
     """(host_key, boilerplate): hashes of the lines above the ratio, for hosts that have any."""
     totals = pages.groupBy("host_key").agg(F.count(F.lit(1)).alias("pages"))
-    lines = F.array_distinct(F.transform(F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), line_key))
+    lines = F.array_distinct(F.transform(F.filter(F.split(F.col(text), "\n", -1), lambda x: ~is_blank(x)), line_key))
     held = pages.select("host_key", F.explode(lines).alias("line")).groupBy("host_key", "line").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= min_held)
     return held.join(totals, "host_key").where(F.col("held") > ratio * F.col("pages")).groupBy("host_key").agg(F.sort_array(F.collect_list("line")).alias("boilerplate"))
 
@@ -84,10 +89,9 @@ def drop_site_lines(pages: DataFrame, host: Column, text_col: str, ratio: float
     met = rows.hint("merge").join(found, "host_key", "left")
     lines = F.split(F.col(text), "\n", -1)
     known = lambda x: F.array_contains(F.col("boilerplate"), line_key(x))
-    blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
     none = F.col("boilerplate").isNull() | F.col(text).isNull()
-    kept = F.filter(lines, lambda x: blank(x) | ~known(x))
-    out = met.withColumn("kept", F.when(~none, kept)).withColumn("n_lines", F.coalesce(F.size(F.filter(lines, lambda x: ~blank(x))), F.lit(0)).cast("long") if counts else F.lit(0))
+    kept = F.filter(lines, lambda x: is_blank(x) | ~known(x))
+    out = met.withColumn("kept", F.when(~none, kept)).withColumn("n_lines", F.coalesce(F.size(F.filter(lines, lambda x: ~is_blank(x))), F.lit(0)).cast("long") if counts else F.lit(0))
     clean = F.when(none, F.col(text)).otherwise(F.array_join("kept", "\n"))
     columns = [(clean if c == text_col else F.col(n)).alias(c) for c, n in named.items()]
     if counts:
