@@ -44,7 +44,7 @@ SAMPLE_ROWS = 4096
 #: Sampled vectors that a cell of the top tree must hold.
 SAMPLE_NODE = 32
 CELL_ROWS = 2048
-LEAF_ROWS = 64
+LEAF_ROWS = 256
 CHUNK_ANCHORS = 1024
 EXACT = float(1 << 53)
 ROW_GROUP = 4096
@@ -90,6 +90,23 @@ class Tree:
         return point, radius, parts
 
 
+    def packed(self) -> np.ndarray:
+        """Put the rows of each leaf side by side, which leaves become slices of; the rows' new order."""
+        order: list[np.ndarray] = []
+
+        def place(node):
+            if isinstance(node, np.ndarray):
+                start = sum(map(len, order))
+                order.append(node)
+                return slice(start, start + len(node))
+            return node[0], node[1], [(low, high, place(part)) for low, high, part in node[2]]
+
+        self.root = place(self.root)
+        rows = np.concatenate(order)
+        self.x = self.x[rows]
+        return rows
+
+
 class Cells:
     """The leaves of a top tree, numbered; what routes vectors to them and bounds anchors' distances."""
 
@@ -164,7 +181,12 @@ class Windows:
         self.open = [w for w in self.open if most >= self.lo[w] and (len(self.ids[w]) < self.k or most >= self.scores[w][-1])]
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        if not len(scores):
+            return
+        least, most = scores.min(), scores.max()
         for w in self.open:
+            if most < self.lo[w] or least > self.hi[w] or len(self.ids[w]) == self.k and most < self.scores[w][-1]:
+                continue
             fit = (scores >= self.lo[w]) & (scores <= self.hi[w])
             if len(self.ids[w]) == self.k:
                 fit &= scores >= self.scores[w][-1]
@@ -175,7 +197,7 @@ class Windows:
 
 
 def walk(tree: Tree, ids: np.ndarray, wanted: np.ndarray, q: np.ndarray, windows: Windows) -> None:
-    """Fill the windows from the tree's wanted rows, nodes nearest to ``q`` first."""
+    """Fill the windows from the wanted rows of a packed tree, nodes nearest to ``q`` first."""
     total = float(q @ q) + tree.square
     heap = [(0.0, 0, inf, tree.root)]
     pushed = 0
@@ -185,9 +207,9 @@ def walk(tree: Tree, ids: np.ndarray, wanted: np.ndarray, q: np.ndarray, windows
         windows.close(most)
         if not any(least <= windows.hi[w] for w in windows.open):
             continue
-        if isinstance(node, np.ndarray):
-            rows = node[wanted[node]]
-            windows.add(tree.x[rows, :-1] @ q, ids[rows])
+        if isinstance(node, slice):
+            here = wanted[node]
+            windows.add((tree.x[node, :-1] @ q)[here], ids[node][here])
             continue
         point, _, parts = node
         d = sqrt(max(0.0, total - 2 * float(point[:-1] @ q)))
@@ -205,8 +227,10 @@ def mine(key, block, asked, square: float, width: int, k: int, same: bool):
         ids = block.column("id").combine_chunks().to_numpy()
         x = matrix(block.column("q").combine_chunks(), width)
         tree = Tree(x, square, LEAF_ROWS)
+        order = tree.packed()
         names = {}
         label = np.array([names.setdefault(v, len(names)) for v in block.column("label").to_pylist()])
+        ids, label = ids[order], label[order]
         queries = matrix(asked.column("q").combine_chunks(), width)
         for row, (a, of, lo, hi) in enumerate(zip(*(asked.column(c).to_pylist() for c in ("anchor", "label", "lo", "hi")), strict=True)):
             own = names.get(of, -1)

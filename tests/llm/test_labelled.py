@@ -68,13 +68,15 @@ def test_negatives_equal_brute_force(spark, cell_rows):
 def test_walk_visits_few_leaves():
     x = np.array([v for _, v, _ in vectors(2, 3000, 3)])
     x = np.floor(256 * x / np.sqrt((x * x).sum(1, keepdims=True)))
-    tree = H.Tree(x, float((x * x).sum(1).max()), H.LEAF_ROWS)
+    query = x[17]
+    tree = H.Tree(x, float((x * x).sum(1).max()), 64)
+    order = tree.packed()
     windows = H.Windows([-(1 << 53)], [1 << 53], 5)
     seen = []
     add = windows.add
     windows.add = lambda s, i: (seen.append(len(s)), add(s, i))
-    H.walk(tree, np.arange(len(x)), np.ones(len(x), bool), x[17], windows)
-    scores = x @ x[17]
+    H.walk(tree, np.arange(len(x))[order], np.ones(len(x), bool), query, windows)
+    scores = x @ query
     assert windows.ids[0].tolist() == np.lexsort((np.arange(len(x)), -scores))[:5].tolist()
     assert sum(seen) < len(x) / 3
 
