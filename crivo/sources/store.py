@@ -74,8 +74,8 @@ def digits(number: Column) -> Column:
 class TokenStore:
     """Where the tokens of a corpus lie; ids are unique in it, rows with a null id aren't indexed.
 
-    ``buckets`` is the number of parts that documents are dealt into, by default that of a shuffle; it is
-    settled by the first refresh.
+    ``buckets`` is the number of parts that documents are dealt into, by default that of the partitions in
+    which the first batch is read; it is settled by the first refresh.
     """
 
     path: str
@@ -122,14 +122,14 @@ class TokenStore:
     def id_kind(self, spark: SparkSession) -> str:
         return self.index(spark).schema[self.id_col].dataType.simpleString()
 
-    def dealt(self, spark: SparkSession) -> int:
-        """The number of buckets: as settled, else as asked for, else as of a shuffle."""
+    def dealt(self, spark: SparkSession, parts: int | None = None) -> int:
+        """The number of buckets: as settled, else as asked for, else ``parts``, else as of a shuffle."""
         try:
             return spark.read.parquet(f"{self.path}/layout").first()["buckets"]
         except Exception as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-        buckets = self.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = self.buckets or parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
         spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{self.path}/layout")
         return buckets
 
@@ -168,7 +168,10 @@ class TokenStore:
             wanted = docs.where(F.col(self.id_col).isNotNull())
             # The documents are settled once, so that postings and index speak of the same ones.
             self.outdated(wanted).select(self.id_col, self.document, stamp.alias("indexed")).write.mode("overwrite").parquet(changed)
-            settled = with_tokens(spark.read.parquet(changed), self.document)
+            scan = spark.read.parquet(changed)
+            # As many buckets as the first batch's scan has partitions, which follow its bytes.
+            self.dealt(spark, max(1, scan.rdd.getNumPartitions()))
+            settled = with_tokens(scan, self.document)
             self.write(postings(settled, self.id_col), batch)
             epoch = F.lit("1970-01-01").cast("timestamp")
             self.finish(settled.select(self.id_col, F.coalesce("indexed", epoch).alias("indexed"), F.size("tok").alias("n_tokens")), batch)
