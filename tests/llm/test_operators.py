@@ -218,6 +218,46 @@ def test_rank_file_gives_the_same_ids(text):
     assert fast(text).tolist() == own(text).tolist()
 
 
+@given(st.lists(st.none() | st.text(max_size=30) | st.text(alphabet="ab <|endoftx>\n'ſ \x00\x1c\x85\xa0\u3000٣漢", max_size=60), max_size=8), st.sampled_from([1, 9, 1 << 20]))
+@settings(max_examples=300, deadline=None)
+def test_texts_together_give_the_same_ids(texts, size):
+    import pyarrow as pa
+
+    own = _encoders.setdefault("own", packing.Encoder(IDS))
+    fast = _encoders.setdefault("fast", packing.Encoder(IDS, RANKS))
+    want = [own(t or "").tolist() for t in texts]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(packing, "GROUP_BYTES", size)
+        patch.setattr(packing, "TEXT_BYTES", size)
+        for encoder in (own, fast):
+            for kind in (pa.string(), pa.large_string()):
+                assert [x.tolist() for x in encoder.many(pa.array(["cut off", *texts], kind).slice(1))] == want
+
+
+def test_repeated_stretches_are_encoded_once(monkeypatch):
+    import pyarrow as pa
+
+    encoder = packing.Encoder(IDS, RANKS)
+    texts = [prose(k, 500) for k in range(40)]
+    want, read, plain = [encoder(t).tolist() for t in texts], [], encoder.fast.encode_to_numpy
+    monkeypatch.setattr(encoder.fast, "encode_to_numpy", lambda text, **more: read.append(len(text)) or plain(text, **more))
+    assert [x.tolist() for x in encoder.many(pa.array(texts))] == want
+    assert sum(read) < sum(map(len, texts)) / 50
+    assert packing.loaded(IDS, RANKS) is packing.loaded(IDS, RANKS)
+
+
+def test_a_pattern_that_joins_words_is_an_error():
+    import pyarrow as pa
+    import tiktoken
+
+    encoder = packing.Encoder(IDS, RANKS)
+    ranks = {bytes([k]): k for k in range(256)} | {b"b ": 256}
+    encoder.fast = tiktoken.Encoding("joined", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+    encoder.n_bytes = np.array([1] * 256 + [2])
+    with pytest.raises(ValueError, match="begins a word"):
+        list(encoder.many(pa.array(["x ab ac"])))
+
+
 def test_crossover_keeps_every_item_once():
     import random
 
