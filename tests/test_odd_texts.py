@@ -28,6 +28,6 @@ def equals_sql(spark, folder, name):
     assert len(want) and key(got) == key(want)
 
 
-@pytest.mark.parametrize("name", ["rules_all", "rule_labels", "rules_detail", "rules_first_of_group", "rules_index_mixed"])
+@pytest.mark.parametrize("name", ["rules_all", "rule_labels", "rules_detail", "rules_first_of_group", "rules_index_mixed", "rules_tag_key_filter"])
 def test_a_last_line_feed_counts_in_like(spark, made, name):
     equals_sql(spark, made, name)
