@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 from crivo import queries
+from crivo.functions.ambiguity import ambiguous
+from crivo.functions.patterns import MACROS, ascii_only, compiled, expand
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +33,18 @@ def equals_sql(spark, folder, name):
 @pytest.mark.parametrize("name", ["rules_all", "rule_labels", "rules_detail", "rules_first_of_group", "rules_index_mixed", "rules_tag_key_filter"])
 def test_a_last_line_feed_counts_in_like(spark, made, name):
     equals_sql(spark, made, name)
+
+
+@pytest.mark.parametrize("name", ["macro_oab", "macro_cpf", "macro_cnpj", "macro_num", "macro_oab_value"])
+def test_registrations_are_ascii(spark, tmp_path, name):
+    """A letter that folding leaves (a sharp s) or a foreign digit is neither part of a registration nor of a word beside it."""
+    texts = ["12 ßse x", "großes 12 x", "12 maß", "sp 12ß", "sp \u0663\u0663", "ßsp 123", "123 spß", "sp 12 x", "ß123.456.789-09", "123.456.789-0\u0663", "42.318.949/0001-84ß", "1.000ß", "ſp 123"]
+    rows = [(5 * k + 4, t, "de", "src", len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    equals_sql(spark, tmp_path, name)
+
+
+def test_only_ready_made_registrations_are_narrowed():
+    assert ascii_only(r"[\d.]\w\.\\b") == r"(?-i:[0-9.][a-z0-9_]\.\\b)"
+    assert compiled("r:<TERMO>").endswith(rf"({MACROS['TERMO']})") and compiled("r:<OAB>", {"OAB": r"\w"}).endswith(r"(\w)")
+    assert ambiguous(compiled("r:<OAB>")) == ambiguous(expand("<OAB>"))
